@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import ngram_join
+from tradeloom.llm import ngram_join, packing
 
-_ALL = [ngram_join.op2_ngram_jaccard_join]
+_ALL = [
+    ngram_join.op2_ngram_jaccard_join,
+    packing.op5_sum_of_squares_packing,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
