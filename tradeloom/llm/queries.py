@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import ngram_join, packing, pii, quality, toxicity
+from tradeloom.llm import decontaminate, ngram_join, packing, pii, quality, toxicity
 
 _ALL = [
     ngram_join.op2_ngram_jaccard_join,
     pii.op3_pii_sanitisation,
+    decontaminate.op4_template_decontamination,
     packing.op5_sum_of_squares_packing,
     quality.op7_compression_quality,
     toxicity.op8_nnpu_toxicity,
