@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import decontaminate, ngram_join, packing, pii, quality, toxicity
+from tradeloom.llm import decontaminate, ngram_join, packing, pii, quality, token_counts, toxicity
 
 _ALL = [
     ngram_join.op2_ngram_jaccard_join,
@@ -15,6 +15,7 @@ _ALL = [
     packing.op5_sum_of_squares_packing,
     quality.op7_compression_quality,
     toxicity.op8_nnpu_toxicity,
+    token_counts.op9_section_token_counts,
 ]
 
 
