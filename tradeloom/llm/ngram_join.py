@@ -167,6 +167,14 @@ def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs that link, and the tables made on the way; only the sets of classes in a pair are built."""
+    if pairs.isEmpty():
+        return pairs, []
+    wanted = durable(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls"))
+    return durable(_probe(pairs, _sets_of(texts, wanted, width), percent)), [wanted]
+
+
 def _possible(percent: int, one: str, two: str):
     """Whether two members of a short list can still reach the overlap their sizes ask for."""
     col = lambda side, name: F.col(f"{side}.{name}").cast("long")
@@ -193,10 +201,8 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     shared = durable(lists.join(leaders, "gram").select("gram", "cls", "n", "pos", "leader").distinct())
 
     to_leader = shared.alias("x").where("cls <> leader.cls").where(_possible(percent, "x", "leader")).select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
-    members = durable(shared.select("cls").distinct().join(classes, "cls"))
-    sets = durable(_sets_of(texts, members, width))
     tried = durable(to_leader)
-    links = durable(_probe(tried, sets, percent))
+    links, sets_used = _links(tried, classes, texts, width, percent)
     label = durable(connected_components(links, "a", "b"))
 
     marked = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
@@ -205,7 +211,8 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     x, y = marked.alias("x"), marked.alias("y")
     across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _possible(percent, "x", "y"))
     across = across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = durable(_probe(durable(across), sets, percent))
+    across = durable(across)
+    more, more_sets = _links(across, classes, texts, width, percent)
 
     named = durable(docs.join(classes.withColumnRenamed("id", "class_id"), "cls", "left"))
     # the component of a class, then the smallest document id of the component
@@ -217,7 +224,7 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "class_id", "id").alias("component_id")
     )
     out = durable(out)
-    for used in (scanned, shared, members, sets, tried, links, label, marked, more, named, groups):
+    for used in (scanned, shared, *sets_used, tried, links, label, marked, across, *more_sets, more, named, groups):
         discard(used)
     return out
 
