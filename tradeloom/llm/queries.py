@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import decontaminate, ngram_join, packing, pii, quality, token_counts, toxicity
+from tradeloom.llm import decontaminate, ngram_join, order_minhash, packing, pii, quality, token_counts, toxicity
 
 _ALL = [
     ngram_join.op2_ngram_jaccard_join,
@@ -16,6 +16,7 @@ _ALL = [
     quality.op7_compression_quality,
     toxicity.op8_nnpu_toxicity,
     token_counts.op9_section_token_counts,
+    order_minhash.op10_order_minhash,
 ]
 
 
