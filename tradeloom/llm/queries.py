@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import decontaminate, ngram_join, order_minhash, packing, pii, quality, token_counts, toxicity
+from tradeloom.llm import decontaminate, licences, ngram_join, order_minhash, packing, pii, quality, token_counts, toxicity, url_lists
 
 _ALL = [
+    licences.op1_licence_sentences,
     ngram_join.op2_ngram_jaccard_join,
     pii.op3_pii_sanitisation,
     decontaminate.op4_template_decontamination,
     packing.op5_sum_of_squares_packing,
+    url_lists.op6_temporal_url_lists,
     quality.op7_compression_quality,
     toxicity.op8_nnpu_toxicity,
     token_counts.op9_section_token_counts,
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licence_sentences": licences.sql(), "op6_temporal_url_lists": url_lists.SQL}
