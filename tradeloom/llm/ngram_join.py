@@ -127,8 +127,16 @@ def _short_lists(texts: DataFrame, width: int, percent: int, levels) -> DataFram
     return texts.select("text").mapInArrow(run, "gram long, cls long, n int, pos int")
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(cls, grams)`` of the documents in ``wanted(id, cls)``: a bounded filter first, then an exact join."""
+def _bit_map(grams: np.ndarray) -> bytes:
+    """A set as bits, two to four for each n-gram."""
+    size = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    flags = np.zeros(size, bool)
+    flags[grams & K.U64(size - 1)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, encode=np.ndarray.tobytes) -> DataFrame:
+    """``(cls, grams)`` of the documents in ``wanted(id, cls)``, encoded: a bounded filter first, then an exact join."""
     sc = texts.sparkSession.sparkContext
     bits = sc.broadcast(sketches.bit_set(wanted.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS))
     schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary())])
@@ -140,39 +148,72 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for a, b in K.slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 sets = list(shingle_sets(part.column("text"), width))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_class_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_class_of(g) for g in sets], pa.int64()), pa.array([encode(g) for g in sets], pa.binary())], schema=schema)
 
     found = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, cls long, grams binary")
     # a repeated document id may have several sets: the class tells which one is wanted
     return found.join(wanted, ["id", "cls"]).select("cls", "grams").dropDuplicates(["cls"])
 
 
-def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link: the n-grams of one set are looked up in the other by binary search."""
+def _pair_filter(pairs: DataFrame, sets: DataFrame, holds) -> DataFrame:
+    """The pairs ``(a, b)`` for which ``holds(encoded a, encoded b)``; both joins can split a hot class."""
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("of_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("of_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), K.U64), np.frombuffer(y.as_buffer(), K.U64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [holds(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _linked(percent: int):
+    """The n-grams of the smaller set are looked up in the other by binary search."""
+
+    def holds(x, y) -> bool:
+        x, y = np.frombuffer(x, K.U64), np.frombuffer(y, K.U64)
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return holds
+
+
+def _sized_map(grams: np.ndarray) -> bytes:
+    return np.array([len(grams)], "<u8").tobytes() + _bit_map(grams)
+
+
+def _may_link(percent: int):
+    """Whether the bits leave room for the overlap: each bit of one set alone stands for an n-gram the other lacks."""
+
+    def holds(x, y) -> bool:
+        n, m = int(np.frombuffer(x, "<u8", 1)[0]), int(np.frombuffer(y, "<u8", 1)[0])
+        x, y = np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)
+        size = min(len(x), len(y))
+        x, y = (np.bitwise_or.reduce(v.reshape(-1, size)) if len(v) > size else v for v in (x, y))
+        both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+        return 100 * both >= percent * (n + m - both)
+
+    return holds
+
+
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The pairs that link, and the tables made on the way; only the sets of classes in a pair are built."""
-    if pairs.isEmpty():
-        return pairs, []
-    wanted = durable(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls"))
-    return durable(_probe(pairs, _sets_of(texts, wanted, width), percent)), [wanted]
+    """The pairs that link, and the tables made on the way.
+
+    Pairs first meet as bit maps, a twentieth of the sets' size, which rule
+    most of them out; whole sets are built and moved only for the others.
+    """
+    made: list[DataFrame] = []
+    for encode, holds in ((_sized_map, _may_link(percent)), (np.ndarray.tobytes, _linked(percent))):
+        if pairs.isEmpty():
+            break
+        wanted = durable(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls"))
+        pairs = durable(_pair_filter(pairs, _sets_of(texts, wanted, width, encode), holds))
+        made += [wanted, pairs]
+    return pairs, made[:-1]
 
 
 def _possible(percent: int, one: str, two: str):
@@ -194,7 +235,7 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     counts = sketches.gather(scanned.where("block is not null").select("block", "cells"), SKETCH_CELLS, "u4")
     levels = spark.sparkContext.broadcast(np.floor(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8))
     docs = scanned.where("block is null").select("id", "cls", "n")
-    classes = docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
+    classes = durable(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")))  # a table, so that joins with it can split a hot class
 
     lists = _short_lists(texts, width, percent, levels).repartition("gram")  # one shuffle serves the counts and the lists
     leaders = lists.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.struct("pos", "cls", "n")).alias("leader")).where("low < high").select("gram", "leader")
@@ -224,7 +265,7 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "class_id", "id").alias("component_id")
     )
     out = durable(out)
-    for used in (scanned, shared, *sets_used, tried, links, label, marked, across, *more_sets, more, named, groups):
+    for used in (scanned, classes, shared, *sets_used, tried, links, label, marked, across, *more_sets, more, named, groups):
         discard(used)
     return out
 
