@@ -185,7 +185,7 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for a, b in K.slices(batch, "text", 4 << 20):
+            for a, b in K.slices(batch, "text", 8 << 20):
                 part = batch.slice(a, b - a)
                 for doc, ids in zip(part.column("id").to_pylist(), coder.encode(part.column("text").fill_null("").to_pylist()), strict=True):
                     packer.add(doc, ids + end)

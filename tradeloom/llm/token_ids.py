@@ -2,8 +2,11 @@
 
 The byte-level vocabulary's split rule never carries a token over a space that
 follows a visible character, so a text can be cut at those spaces and each
-piece encoded by itself; a piece met before costs a dictionary look-up. The
-ids are the tokenizer's own for the whole text.
+piece encoded by itself; a piece met before costs a dictionary look-up. New
+pieces are encoded many at a time, as one text that is cut again by the tokens'
+byte lengths, by the faster of two libraries with the same vocabulary and split
+rule; pieces with runs of white space go through the tokenizer file's own
+library. The ids are the tokenizer's own for the whole text.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept by a worker at most; the cache starts anew beyond that.
-CACHE_PIECES = 400_000
+#: Pieces of one generation of the cache; a worker holds two generations at most.
+CACHE_ENTRIES = 700_000
 _LONG = 64
 _ODD_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+_MIXED = re.compile(r"\s\s|^\s|\s$|^$")
 _workers: dict[str, PieceEncoder] = {}
 
 
@@ -34,71 +38,76 @@ def split_pieces(text: str) -> list[str]:
     return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
+class _Generations:
+    """A bounded look-up: when it is full it becomes the old generation, from which what is used again moves on."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys to be learned; all others are in ``new`` afterwards."""
+        if len(self.new) + len(keys) > CACHE_ENTRIES:
+            self.new, self.old = {}, self.new
+        out = keys - self.new.keys()
+        again = out & self.old.keys()
+        for k in again:
+            self.new[k] = self.old[k]
+        return list(out - again)
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.pieces = _Generations()
         self.lengths = token_bytes(path)
-
-    def _learn(self, words: set[str], space: str, known: dict[str, bytes]) -> dict[str, bytes]:
-        """Look-ups for ``words``; short ones stay for later texts."""
-        new = list(words - known.keys())
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(words)
-        coded = dict(zip(new, self._encode_new(new, space), strict=True))
-        long = {w: coded.pop(w) for w in new if len(w) > _LONG}
-        known.update(coded)
-        return {**known, **long} if long and len(known) < 1000 else _Both(known, long) if long else known
-
-    def _encode_new(self, words: list[str], space: str) -> Iterator[bytes]:
-        """Ids of each word. Many are encoded as one text, a call's cost being that of many short words, and cut by the tokens' lengths."""
-        if not space:
-            yield from (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
-            return
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            odd = [w for w in part if not w or w[-1].isspace() or w[0].isspace()]
-            if odd:  # white space at a joint could melt with the next piece
-                single = self.tokenizer.encode_batch_fast([space + w for w in part], add_special_tokens=False)
-                yield from (np.array(e.ids, "<u4").tobytes() for e in single)
-                continue
-            joined = self.tokenizer.encode_batch_fast([space + space.join(part)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            bounds = np.cumsum([len(w.encode()) + 1 for w in part])
-            cuts = np.searchsorted(ends, bounds, "left") + 1
+        byte_of = {c: b for b, c in enumerate(_printable_bytes())}
+        ranks = {bytes(map(byte_of.__getitem__, word)): k for word, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in word)}
+        self.fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        probe = ["It's 12.50€, naïve\nWörter — (test)!", "a\nb c", "don't###"]
+        if [self.fast.encode_ordinary(t) for t in probe] != [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]:
+            raise ValueError(f"{path} isn't a byte-level vocabulary with the usual split rule")
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each with the space before it."""
+        odd = [w for w in new if _MIXED.search(w)]
+        out = dict(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+        plain = [w for w in new if w not in out] if odd else new
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            text = " " + " ".join(part)
+            ids = np.array(self.fast.encode_ordinary(text), "<u4")
+            sizes = map(len, part) if text.isascii() else (len(w.encode()) for w in part)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([n + 1 for n in sizes])) + 1
             raw, a = ids.tobytes(), 0
-            for b in cuts.tolist():
-                yield raw[4 * a : 4 * b]
+            for w, b in zip(part, (4 * cuts).tolist(), strict=True):
+                out[w] = raw[a:b]
                 a = b
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [split_pieces(t) for t in texts]
-        heads = self._learn({p[0] for p in parts}, "", self.heads)
+        heads = self._whole([p[0] for p in parts])
         words: set[str] = set()
         for p in parts:
             words.update(p[1:])
-        tails = self._learn(words, " ", self.tails)
-        for p in parts:
-            yield heads[p[0]] + b"".join(map(tails.__getitem__, p[1:]))
-
-
-class _Both:
-    """Two look-ups as one."""
-
-    def __init__(self, one: dict[str, bytes], two: dict[str, bytes]):
-        self.one, self.two = one, two
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.one.get(key)
-        return self.two[key] if found is None else found
+        new = self._learn(self.pieces.missing(words))
+        known = self.pieces.new
+        known.update((w, ids) for w, ids in new.items() if len(w) <= _LONG)
+        long = {w: ids for w, ids in new.items() if len(w) > _LONG}
+        find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        for head, p in zip(heads, parts, strict=True):
+            yield head + b"".join(map(find, p[1:]))
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -108,6 +117,13 @@ def encoder(path: str) -> PieceEncoder:
     return _workers[path]
 
 
+def _printable_bytes() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next one free from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)]
+
+
 def token_bytes(path: str) -> np.ndarray:
     """The number of text bytes of each id of a byte-level vocabulary, whose printable form has one character a byte."""
     from tokenizers import Tokenizer
