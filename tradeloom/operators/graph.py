@@ -90,54 +90,60 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def _labels_forward(arcs: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
-    """``(node, colour)``: the least node id that reaches each node."""
-    state = durable(nodes.select("node", F.col("node").alias("colour")))
+def _least_labels(arcs: DataFrame, nodes: DataFrame, salt: int, max_rounds: int, steps: int = 4) -> DataFrame:
+    """``(node, f, b)``: the least label that reaches each node, and the least label that it reaches.
+
+    Labels are node ids under a hash order, so that they split long chains
+    evenly. Several steps go between two writes of the state.
+    """
+    label = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), F.col("node").alias("id"))
+    state = durable(nodes.select("node", label.alias("f"), label.alias("b")))
+    nothing = F.lit(None)
     for _ in range(max_rounds):
-        came = state.join(arcs, state.node == arcs.src).select(F.col("dst").alias("node"), "colour")
-        after = durable(state.unionByName(came).groupBy("node").agg(F.min("colour").alias("colour")))
-        moved = after.join(state.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty()
+        after = state
+        for _ in range(steps):
+            down = after.join(arcs, after.node == arcs.src).select(F.col("dst").alias("node"), "f", nothing.cast(state.schema["b"].dataType).alias("b"))
+            up = after.join(arcs, after.node == arcs.dst).select(F.col("src").alias("node"), nothing.cast(state.schema["f"].dataType).alias("f"), "b")
+            after = after.unionByName(down).unionByName(up).groupBy("node").agg(F.min("f").alias("f"), F.min("b").alias("b"))
+        after = durable(after)
+        settled = after.join(state.select("node", F.col("f").alias("f0"), F.col("b").alias("b0")), "node").where("f <> f0 OR b <> b0").isEmpty()
         state = after
-        if moved:
+        if settled:
             return state
-    raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(node, component, size)``: strongly connected components, named by their least node.
 
-    Nodes without an arc in or out are trimmed; the others take the least
-    node id that reaches them as colour; of each colour the nodes that reach
-    its root within the colour are one component. The rest goes round again.
+    Each round gives every node the least label upstream and downstream. Where
+    both are the same, node and label are on one cycle, so these nodes are
+    whole components. Components never cross nodes whose labels differ, so only
+    edges between nodes of equal labels stay, and all remaining parts go on at
+    the same time. Nodes without an edge left are components by themselves.
     """
     arcs = durable(edges.select("src", "dst").distinct())
     nodes = durable(nodes_of(arcs))
+    arcs = arcs.where("src <> dst")
     done: DataFrame | None = None
-    loops = arcs
-    for _ in range(max_rounds):
-        loops = durable(loops.where("src <> dst").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        inner = loops.select(F.col("src").alias("node")).distinct().intersect(loops.select(F.col("dst").alias("node")))
-        inner = durable(inner)
-        ends = nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))
-        if not ends.isEmpty():  # trimmed
-            ends = durable(ends)
-            done = ends if done is None else done.unionByName(ends)
-            nodes = inner
-            if nodes.isEmpty():
-                break
-            continue
-        colours = _labels_forward(loops, nodes, max_rounds)
-        marked = loops.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
-        roots = colours.where("node = colour").select(F.col("colour").alias("source"), "node")
-        found = durable(layers(marked, roots, None, "in", max_rounds).select("node", F.col("source").alias("component")))
-        done = found if done is None else done.unionByName(found)
-        nodes = durable(nodes.join(found, "node", "left_anti"))
+    for k in range(max_rounds):
+        touched = nodes_of(arcs)
+        lone = durable(nodes.join(touched, "node", "left_anti").select("node", F.col("node").alias("label")))
+        done = lone if done is None else done.unionByName(lone)
+        nodes = durable(nodes.join(touched, "node", "left_semi"))
         if nodes.isEmpty():
             break
+        labels = _least_labels(arcs, nodes, k, max_rounds)
+        found = durable(labels.where("f = b").select("node", F.col("f.id").alias("label")))
+        done = done.unionByName(found)
+        open_ = labels.where("f <> b")
+        nodes = durable(open_.select("node"))
+        one, two = open_.select(F.col("node").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")), open_.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2"))
+        arcs = durable(arcs.join(one, "src").join(two, "dst").where("f1 = f2 AND b1 = b2").select("src", "dst"))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    sizes = done.groupBy("component").agg(F.count("*").alias("size"))
-    return done.join(sizes, "component").select("node", "component", "size")
+    sizes = done.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("size"))
+    return done.join(sizes, "label").select("node", "component", "size")
 
 
 def cycle_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:

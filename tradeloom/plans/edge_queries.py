@@ -183,11 +183,11 @@ def a2_exposure_screen(v):
     return _rounded(X.screen(v("v_product_mix"), "05", direction="EXP", min_ratio=0.5), avg_ratio=4, max_ratio=4, score=4)
 
 
-@query("""SELECT company, code, round(sum(CASE WHEN direction = 'EXP' THEN weight ELSE 0 END), 3) AS export_weight, round(sum(CASE WHEN direction = 'IMP' THEN weight ELSE 0 END), 3) AS import_weight,
+@query("""SELECT company, code, round(sum(CASE WHEN direction = 'EXP' THEN weight ELSE 0 END), 6) AS export_weight, round(sum(CASE WHEN direction = 'IMP' THEN weight ELSE 0 END), 6) AS import_weight,
   string_agg(concat(cast(year AS string), direction), ',' ORDER BY year, direction) AS years FROM v_product_mix GROUP BY company, code""")
 def a10_code_weights(v):
     listed = F.array_join(F.transform("years", lambda y: F.concat(y.year.cast("string"), y.direction)), ",")
-    return _rounded(X.code_weights(v("v_product_mix")).withColumn("years", listed), export_weight=3, import_weight=3)
+    return _rounded(X.code_weights(v("v_product_mix")).withColumn("years", listed), export_weight=6, import_weight=6)
 
 
 @query("SELECT *, round(100 * amount / nullif(sum(amount) OVER (PARTITION BY company, year, direction, hs), 0), 4) AS ratio FROM v_country_mix")
