@@ -4,11 +4,12 @@ Patterns find e-mail addresses, IP numbers, payment cards and phone numbers in
 whole texts. Their values are the protected entities. A term's disclosure of
 an entity is its pointwise mutual information over the entity's information,
 ``PMI(t; e) / IC(e)``, from counts over all documents: 1 means that the term
-occurs only with the entity. A term that stands within ``REACH`` words of an
-entity in at least ``MOST_ALIKE`` different surroundings and discloses it by
-``THRESHOLD`` or more is a quasi-identifier: each of its occurrences becomes a
-span of kind ``term``, which sanitisation generalises. Copies of a text repeat
-its surroundings and so add no evidence; terms are at least four bytes long.
+occurs only with the entity. A term is a quasi-identifier if it stands within
+``REACH`` words of an entity, discloses it by ``THRESHOLD`` or more, and does so
+with at least ``LEAST_ALIKE`` different texts before and after the entity, which
+are at least half as many as the documents. Copies and near copies repeat those
+texts and so are no evidence. Each occurrence of such a term becomes a span of
+kind ``term``, which sanitisation generalises. Terms have four letters at least.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans.
 Repeated rows are scanned each; extra columns are kept by :func:`sanitise` and
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from tradeloom.session import discard, durable, read
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 8
-MOST_ALIKE = 3
+LEAST_ALIKE = 3
 THRESHOLD = 0.9
 FILTER_BITS = 1 << 22
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -110,60 +112,64 @@ def _value(text: str, kind: str) -> str:
 
 
 def _evidence(texts: DataFrame) -> DataFrame:
-    """``(entity, term, surroundings, doc)`` for the terms near each entity."""
-    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("surroundings", pa.int64()), ("doc", pa.int64())])
+    """``(entity, term, before, after, n)``: terms near an entity, hashes of the words on either side, and documents.
+
+    A row without a term counts the entity's documents; of a document's
+    mentions of one entity, the first one of a term counts.
+    """
+    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("before", pa.int64()), ("after", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text) if text else []
-                doc = _hash(text) if spans else 0
-                for start, end, kind in spans:
+                seen: set = set()
+                for start, end, kind in base_spans(text) if text else []:
                     entity = _hash(f"{kind} {_value(text[start:end], kind)}")
-                    left, right = text[max(0, start - 40 * REACH) : start].split()[-REACH:], text[end : end + 40 * REACH].split()[:REACH]
-                    around = _hash(" ".join([*left, "|", *right]).lower())
-                    terms = {t.lower() for t in _TERM.findall(" ".join([*left, *right]))}
-                    rows += [(entity, t, around, doc) for t in terms if not _DIGIT.search(t)]
+                    left, right = text[max(0, start - 40 * REACH) : start].lower().split()[-REACH:], text[end : end + 40 * REACH].lower().split()[:REACH]
+                    before, after = _hash(" ".join(left)), _hash(" ".join(right))
+                    for term in (None, *sorted({t for t in _TERM.findall(" ".join([*left, *right])) if not _DIGIT.search(t)})):
+                        rows.append((entity, term, before, after, int((entity, term) not in seen)))
+                        seen.add((entity, term))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.select("text").mapInArrow(run, "entity long, term string, surroundings long, doc long").distinct()
+    return texts.select("text").mapInArrow(run, "entity long, term string, before long, after long, n long")
 
 
-def disclosing_terms(documents: DataFrame, text_col: str = "text", reach_threshold: float = THRESHOLD, most_alike: int = MOST_ALIKE) -> DataFrame:
+def disclosing_terms(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least_alike: int = LEAST_ALIKE) -> DataFrame:
     """``(term, entity, disclosure)`` for the terms at or over the threshold, from counts over all documents.
 
-    A candidate term has enough different surroundings; only candidates are
-    counted over the corpus. A fixed-size filter drops other words early, and
-    the exact join decides.
+    Only terms with enough evidence are counted over the corpus: a fixed-size
+    filter drops other words, tasks add up what passes, and the exact join decides.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(text_col).alias("text"))
-    seen = durable(_evidence(texts))
-    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("surroundings").alias("alike"), F.countDistinct("doc").alias("both")).where(F.col("alike") >= most_alike)
-    pairs = durable(pairs)
+    seen = durable(_evidence(texts).groupBy("entity", "term", "before", "after").agg(F.sum("n").alias("n")))
+    alike = F.least(F.countDistinct("before"), F.countDistinct("after")).alias("alike")
+    pairs = seen.where("term IS NOT NULL").groupBy("entity", "term").agg(alike, F.sum("n").alias("both"))
+    pairs = durable(pairs.where(F.col("alike") >= F.greatest(F.lit(least_alike), F.col("both") / 2)))
     if pairs.isEmpty():
         discard(seen)
         return pairs.select("term", "entity", F.lit(0.0).alias("disclosure"))
     bits = spark.sparkContext.broadcast(sketches.bit_set(pairs.select(F.xxhash64("term").alias("h")).distinct(), "h", FILTER_BITS))
-    entities = seen.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
+    entities = seen.where("term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_entity"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            counts: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                terms = _passing(sorted({t.lower() for t in _TERM.findall(text or "")}), bits.value)
-                if terms:
-                    yield pa.RecordBatch.from_arrays([pa.array([_hash(text)] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["doc", "term"])
+                counts.update(_passing(list({t.lower() for t in _TERM.findall(text or "")}), bits.value))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-    said = texts.mapInArrow(words, "doc long, term string")
+    said = texts.mapInArrow(words, "term string, n long")
     candidates = pairs.select("term").distinct()
-    counted = said.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.where("text <> ''").select(F.xxhash64("text")).distinct().count()
+    counted = said.join(candidates, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    total = texts.where("text <> ''").count()
     scored = pairs.join(entities, "entity").join(counted, "term")
     p_entity, p_term, p_both = (F.col(c) / F.lit(float(total)) for c in ("n_entity", "n_term", "both"))
     ratio = F.log(p_both / (p_entity * p_term)) / F.greatest(-F.log(p_entity), F.lit(1e-9))
-    out = durable(scored.withColumn("disclosure", ratio).where(F.col("disclosure") >= reach_threshold).select("term", "entity", "disclosure"))
+    out = durable(scored.withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"))
     discard(seen)
     discard(pairs)
     return out
