@@ -307,21 +307,21 @@ _RATES = f"""SELECT shock_id, input_type, (CASE input_type WHEN 'TARIFF' THEN pa
   (CASE input_type WHEN 'IMPORT_PRICE' THEN price_m_change_rate * (1 + coalesce(price_m_elasticity, 0)) WHEN 'IMPORT_SHUTDOWN' THEN -import_change WHEN 'DOMESTIC_SHUTDOWN' THEN -import_change WHEN 'DOMESTIC_PRICE' THEN price_domestic_value ELSE 0 END) * duration_month / 12 AS cost_rate FROM ({_SHOCKS}) s"""
 
 
-@query(f"SELECT c.company, r.shock_id, round(r.revenue_rate * c.balance, 4) AS revenue, round(r.cost_rate * c.balance, 4) AS cost FROM v_company c CROSS JOIN ({_RATES}) r")
+@query(f"SELECT c.company, r.shock_id, round(r.revenue_rate * c.balance, 6) AS revenue, round(r.cost_rate * c.balance, 6) AS cost FROM v_company c CROSS JOIN ({_RATES}) r")
 def g21_shock_rates(v):
     r = I.shock_rates(_shocks(v)).select("shock_id", F.col("revenue_rate").cast("double"), F.col("cost_rate").cast("double"))
-    return v("v_company").join(F.broadcast(r), F.lit(True)).select("company", "shock_id", F.round(F.col("revenue_rate") * F.col("balance"), 4).alias("revenue"), F.round(F.col("cost_rate") * F.col("balance"), 4).alias("cost"))
+    return v("v_company").join(F.broadcast(r), F.lit(True)).select("company", "shock_id", F.round(F.col("revenue_rate") * F.col("balance"), 6).alias("revenue"), F.round(F.col("cost_rate") * F.col("balance"), 6).alias("cost"))
 
 
-@query(f"""SELECT r.shock_id, f.company AS firm, round(r.revenue_rate * CASE WHEN r.input_type IN ('TARIFF', 'GDP') THEN coalesce(x.a, 0) ELSE coalesce(f.sales_fin, 0) END, 2) AS delta_revenue,
-  round(r.cost_rate * CASE WHEN r.input_type IN ('TARIFF', 'GDP', 'B2C_REVENUE', 'GOV_REVENUE') THEN 0 ELSE coalesce(f.purchases, 0) END, 2) AS delta_cost FROM v_firms f CROSS JOIN ({_RATES}) r
+@query(f"""SELECT r.shock_id, f.company AS firm, round(r.revenue_rate * CASE WHEN r.input_type IN ('TARIFF', 'GDP') THEN coalesce(x.a, 0) ELSE coalesce(f.sales_fin, 0) END, 6) AS delta_revenue,
+  round(r.cost_rate * CASE WHEN r.input_type IN ('TARIFF', 'GDP', 'B2C_REVENUE', 'GOV_REVENUE') THEN 0 ELSE coalesce(f.purchases, 0) END, 6) AS delta_cost FROM v_firms f CROSS JOIN ({_RATES}) r
   LEFT JOIN (SELECT s.shock_id, e.company, sum(e.amount) AS a FROM v_country_mix e JOIN (SELECT 1 AS shock_id UNION ALL SELECT 2) s ON (s.shock_id = 1 AND e.hs IN ('07', '08')) OR (s.shock_id = 2 AND e.country IN ('NATION_1', 'NATION_2')) WHERE e.direction = 'EXP' GROUP BY s.shock_id, e.company) x
   ON x.shock_id = r.shock_id AND x.company = f.company""")
 def g22_first_round(v):
     exports = v("v_country_mix").where("direction = 'EXP'").select(F.col("company").alias("firm"), F.col("hs").alias("hs6"), F.col("country").alias("nation"), "amount")
     numbers = [c for c, t in _shocks(v).dtypes if t.startswith("decimal")]
     out = I.first_round(_shocks(v).withColumns({c: F.col(c).cast("double") for c in numbers}), _firms(v), exports, ["sales_fin", "sales_est"])
-    return out.select("shock_id", "firm", (F.round("delta_revenue", 2) + 0.0).alias("delta_revenue"), (F.round("delta_cost", 2) + 0.0).alias("delta_cost"))
+    return out.select("shock_id", "firm", (F.round("delta_revenue", 6) + 0.0).alias("delta_revenue"), (F.round("delta_cost", 6) + 0.0).alias("delta_cost"))
 
 
 @query("SELECT firm, round(CASE WHEN abs(rev_demand) > 0.004 * b THEN sign(rev_demand) * 0.004 * b ELSE rev_demand END, 4) AS value, coalesce(abs(rev_demand) > 0.004 * b, false) AS capped FROM (SELECT i.firm, i.rev_demand, f.sales_ml AS b FROM v_impact i LEFT JOIN v_firms f ON f.company = i.firm WHERE i.scenario_seq = 1998) x")
