@@ -185,16 +185,17 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for a, b in K.slices(batch, "text", 8 << 20):
+            for a, b in K.slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 for doc, ids in zip(part.column("id").to_pylist(), coder.encode(part.column("text").fill_null("").to_pylist()), strict=True):
                     packer.add(doc, ids + end)
                 yield from flush()
         packer.finish()
         yield from flush()
+        token_ids.rest()
 
     out = ", ".join(f"{c} long" for c in names) + (", ids array<long>" if keep_ids else "")
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
+#: Rows of a text table that a task gets at a time.
+ROWS_PER_BATCH = 1000
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 _SEED = U64(0x9E3779B97F4A7C15)
 #: Bytes 0x09-0x0D and 0x20.
@@ -33,6 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to send tasks few rows at a time, as a row may be a long text."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most_bytes`` of text each (one row at least), so that memory is bounded by the longest text."""
     col = batch.column(column)

@@ -11,20 +11,26 @@ library. The ids are the tokenizer's own for the whole text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import threading
 from collections.abc import Iterator
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of one generation of the cache; a worker holds two generations at most.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 600_000
+#: Seconds after a task's end at which an idle worker gives its cache up.
+IDLE_SECONDS = 2.0
 _LONG = 64
 _ODD_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 _MIXED = re.compile(r"\s\s|^\s|\s$|^$")
 _workers: dict[str, PieceEncoder] = {}
+_timer: threading.Timer | None = None
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -101,8 +107,9 @@ class PieceEncoder:
         words: set[str] = set()
         for p in parts:
             words.update(p[1:])
-        new = self._learn(self.pieces.missing(words))
-        known = self.pieces.new
+        held = self.pieces  # an idle worker's timer may put a new one in its place
+        new = self._learn(held.missing(words))
+        known = held.new
         known.update((w, ids) for w, ids in new.items() if len(w) <= _LONG)
         long = {w: ids for w, ids in new.items() if len(w) > _LONG}
         find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
@@ -110,8 +117,26 @@ class PieceEncoder:
             yield head + b"".join(map(find, p[1:]))
 
 
+def rest() -> None:
+    """At a task's end: the cache serves tasks that follow at once, an idle worker frees it."""
+    global _timer
+
+    def free() -> None:
+        for e in _workers.values():
+            e.pieces = _Generations()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # hand freed memory back to the system
+            trim(0)
+
+    _timer = threading.Timer(IDLE_SECONDS, free)
+    _timer.daemon = True
+    _timer.start()
+
+
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder, kept from task to task."""
+    if _timer is not None:
+        _timer.cancel()
     if path not in _workers:
         _workers[path] = PieceEncoder(path)
     return _workers[path]
