@@ -152,7 +152,7 @@ def tainted(
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     widths = [WIDTH, *_short_widths(items)]
     wanted = durable(_windows(items, widths))
     totals = wanted.groupBy("id").agg(F.max("windows").alias("windows"))

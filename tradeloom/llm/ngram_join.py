@@ -230,7 +230,7 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     smallest id reachable by links.
     """
     spark: SparkSession = documents.sparkSession
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = durable(_scan(texts, width))
     counts = sketches.gather(scanned.where("block is not null").select("block", "cells"), SKETCH_CELLS, "u4")
     levels = spark.sparkContext.broadcast(np.floor(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8))
@@ -271,12 +271,14 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
 
 
 def one_per_group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id is the smallest of their component; rows keep all their columns.
+    """``documents`` without those whose component has a smaller id; rows keep all their columns.
 
-    Where an id repeats, its rows stay together if their texts are the component's first.
+    An id that repeats stays with all its rows if one of them is the first of
+    its component. Rows without an id stay.
     """
-    kept = linked_documents(documents, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    linked = linked_documents(documents, width, percent)
+    gone = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first").select("doc_id")
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
