@@ -72,6 +72,17 @@ def test_ngram_join_of_nothing(empty):
     assert ngram_join.linked_documents(empty).count() == 0
 
 
+def test_removed_ids_are_exact_whatever_the_filter_lets_pass(spark, monkeypatch):
+    rows = [(i if i % 7 else None, f"t{i}") for i in range(400)] * 2
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
+    want = sorted((r for r in rows if r[0] is None or r[0] % 3), key=str)
+    for bits in (1 << 24, 1 << 9):
+        monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+        assert sorted(map(tuple, ngram_join.without_ids(docs, gone).collect()), key=str) == want
+        assert ngram_join.without_ids(docs, gone.limit(0)).count() == len(rows)
+
+
 def test_shingle_sets_match_plain_sets():
     import pyarrow as pa
 

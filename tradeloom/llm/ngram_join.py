@@ -277,8 +277,24 @@ def one_per_group(documents: DataFrame, width: int = 5, percent: int = 80) -> Da
     its component. Rows without an id stay.
     """
     linked = linked_documents(documents, width, percent)
-    gone = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    gone = durable(linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first").select("doc_id"))
+    return without_ids(documents, gone)
+
+
+def without_ids(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """``documents`` whose id is not in ``gone(doc_id)``, with whole rows moved for the filters' mistakes only.
+
+    A filter of fixed size lets most kept rows stay where they are. Ids that it
+    wrongly stops are found by a join of ids; a second filter holds these, and
+    the few rows that pass it are joined exactly. A full filter costs only time.
+    """
+    spark, columns = documents.sparkSession, documents.columns
+    number = F.col("doc_id").cast("long")
+    filter_of = lambda ids: sketches.may_hold(spark, sketches.bit_set(ids.select(F.xxhash64(number).alias("h")), "h", FILTER_BITS), FILTER_BITS)
+    stopped = filter_of(gone)(F.xxhash64(number))
+    spared = filter_of(documents.select("doc_id").where(stopped).join(gone, "doc_id", "left_anti"))(F.xxhash64(number))
+    unsure = documents.where(stopped).where(spared).join(gone, "doc_id", "left_anti")
+    return documents.where(~stopped).union(unsure.select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

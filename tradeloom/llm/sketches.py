@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCKS = 32
@@ -70,3 +70,16 @@ def bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
 def in_bit_set(packed: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     at = bit_places(keys, bits)
     return np.logical_and.reduce((packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+def may_hold(spark: SparkSession, packed: np.ndarray, bits: int):
+    """A column function: whether a hash (long) may be in the set; only the hashes leave the JVM."""
+    held = spark.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def passes(keys):
+        import pandas as pd
+
+        return pd.Series(in_bit_set(held.value, keys.to_numpy(np.int64).view(np.uint64), bits).astype(bool))
+
+    return passes
