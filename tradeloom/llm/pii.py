@@ -190,11 +190,12 @@ def find_spans(documents: DataFrame, terms: DataFrame, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[{"start": s, "end": e, "kind": k} for s, e, k in base_spans(t or "")] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.list_(span))], names=["doc_id", "text", "spans"])
+            may = [bits.value is not None and bool(_passing(list({m.lower() for m in _TERM.findall(t or "")}), bits.value)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.list_(span)), pa.array(may, pa.bool_())], names=["doc_id", "text", "spans", "may"])
 
-    found = texts.mapInArrow(run, f"{texts.schema.simpleString()[7:-1].replace(':', ' ')}, spans {kind_sql}")
+    found = texts.mapInArrow(run, f"{texts.schema.simpleString()[7:-1].replace(':', ' ')}, spans {kind_sql}, may boolean")
     if bits.value is None:
-        return found
+        return found.drop("may")
     listed = terms.select("term").distinct()
     keyed = durable(found.withColumn("row", F.monotonically_increasing_id()))
     schema = pa.schema([("row", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -209,12 +210,13 @@ def find_spans(documents: DataFrame, terms: DataFrame, id_col: str = "doc_id", t
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    more = keyed.select("row", "text").mapInArrow(words, "row long, term string, start long, end long").join(listed, "term", "left_semi")
+    more = keyed.where("may").select("row", "text").mapInArrow(words, "row long, term string, start long, end long").join(listed, "term", "left_semi")
     more = more.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"))).alias("more"))
     added = F.filter("more", lambda m: ~F.exists("spans", lambda s: (s.start < m.end) & (m.start < s.end)))
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
     whole = F.array_sort(F.concat("spans", F.coalesce(added, F.array().cast(kind_sql))), lambda x, y: F.when(x.start != y.start, F.signum(x.start - y.start)).otherwise(F.signum(rank(x.kind) - rank(y.kind))).cast("int"))
-    return keyed.join(more, "row", "left").select("doc_id", "text", whole.alias("spans"))
+    joined_rows = keyed.where("may").join(more, "row", "left").select("doc_id", "text", whole.alias("spans"))
+    return keyed.where("NOT may").select("doc_id", "text", "spans").union(joined_rows)  # other texts don't move
 
 
 def sanitise(documents: DataFrame, text_col: str = "text") -> DataFrame:
