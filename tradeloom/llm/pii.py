@@ -6,10 +6,10 @@ an entity is its pointwise mutual information over the entity's information,
 ``PMI(t; e) / IC(e)``, from counts over all documents: 1 means that the term
 occurs only with the entity. A term is a quasi-identifier if it stands within
 ``REACH`` words of an entity, discloses it by ``THRESHOLD`` or more, and does so
-with at least ``LEAST_ALIKE`` different texts before and after the entity, which
-are at least half as many as the documents. Copies and near copies repeat those
-texts and so are no evidence. Each occurrence of such a term becomes a span of
-kind ``term``, which sanitisation generalises. Terms have four letters at least.
+with at least ``LEAST_ALIKE`` different texts before and after the entity. All
+counts are of different texts, so copies neither add evidence nor take it away.
+Each occurrence of such a term becomes a span of kind ``term``, which
+sanitisation generalises. Terms have four letters at least.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans.
 Repeated rows are scanned each; extra columns are kept by :func:`sanitise` and
@@ -112,66 +112,77 @@ def _value(text: str, kind: str) -> str:
 
 
 def _evidence(texts: DataFrame) -> DataFrame:
-    """``(entity, term, before, after, n)``: terms near an entity, hashes of the words on either side, and documents.
+    """``(entity, term, before, after, doc)`` of ``texts(text, doc)``: terms near an entity, and hashes of the words on either side.
 
-    A row without a term counts the entity's documents; of a document's
-    mentions of one entity, the first one of a term counts.
+    A row without a term says that the text names the entity.
     """
-    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("before", pa.int64()), ("after", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("before", pa.int64()), ("after", pa.int64()), ("doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column("text").to_pylist():
-                seen: set = set()
+            for text, doc in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), strict=True):
                 for start, end, kind in base_spans(text) if text else []:
                     entity = _hash(f"{kind} {_value(text[start:end], kind)}")
                     left, right = text[max(0, start - 40 * REACH) : start].lower().split()[-REACH:], text[end : end + 40 * REACH].lower().split()[:REACH]
                     before, after = _hash(" ".join(left)), _hash(" ".join(right))
                     for term in (None, *sorted({t for t in _TERM.findall(" ".join([*left, *right])) if not _DIGIT.search(t)})):
-                        rows.append((entity, term, before, after, int((entity, term) not in seen)))
-                        seen.add((entity, term))
+                        rows.append((entity, term, before, after, doc))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.select("text").mapInArrow(run, "entity long, term string, before long, after long, n long")
+    return texts.select("text", "doc").mapInArrow(run, "entity long, term string, before long, after long, doc long")
 
 
 def disclosing_terms(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least_alike: int = LEAST_ALIKE) -> DataFrame:
-    """``(term, entity, disclosure)`` for the terms at or over the threshold, from counts over all documents.
+    """``(term, entity, disclosure)`` for the terms at or over the threshold, from counts over all different texts.
 
     Only terms with enough evidence are counted over the corpus: a fixed-size
-    filter drops other words, tasks add up what passes, and the exact join decides.
+    filter drops other words, and the exact join decides. Tasks add up the terms
+    of texts that have no copy; those of texts that may have one, by a second
+    filter, are sent with the text's hash, so that each text counts once.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col(text_col).alias("text"))
-    seen = durable(_evidence(texts).groupBy("entity", "term", "before", "after").agg(F.sum("n").alias("n")))
+    texts = documents.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("doc"))
+    seen = durable(_evidence(texts).distinct())
     alike = F.least(F.countDistinct("before"), F.countDistinct("after")).alias("alike")
-    pairs = seen.where("term IS NOT NULL").groupBy("entity", "term").agg(alike, F.sum("n").alias("both"))
-    pairs = durable(pairs.where(F.col("alike") >= F.greatest(F.lit(least_alike), F.col("both") / 2)))
+    pairs = seen.where("term IS NOT NULL").groupBy("entity", "term").agg(alike, F.countDistinct("doc").alias("both"))
+    pairs = durable(pairs.where(F.col("alike") >= least_alike))
     if pairs.isEmpty():
         discard(seen)
         return pairs.select("term", "entity", F.lit(0.0).alias("disclosure"))
     bits = spark.sparkContext.broadcast(sketches.bit_set(pairs.select(F.xxhash64("term").alias("h")).distinct(), "h", FILTER_BITS))
-    entities = seen.where("term IS NULL").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    entities = seen.where("term IS NULL").groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
+    different = durable(texts.where("text <> ''").groupBy("doc").agg(F.count("*").alias("copies")))
+    total = different.count()
+    copied = spark.sparkContext.broadcast(sketches.bit_set(different.where("copies > 1"), "doc", FILTER_BITS))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(_passing(list({t.lower() for t in _TERM.findall(text or "")}), bits.value))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    said = texts.mapInArrow(words, "term string, n long")
-    candidates = pairs.select("term").distinct()
-    counted = said.join(candidates, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = texts.where("text <> ''").count()
+            of_copies: dict[int, list[str]] = {}
+            may = sketches.in_bit_set(copied.value, np.asarray(batch.column("doc")).view(np.uint64), FILTER_BITS)
+            for text, doc, copy in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), may, strict=True):
+                if doc not in of_copies:
+                    terms = _passing(list({t.lower() for t in _TERM.findall(text or "")}), bits.value)
+                    if copy:
+                        of_copies[doc] = terms
+                    else:
+                        counts.update(terms)
+            repeated = [(t, doc) for doc, terms in of_copies.items() for t in terms]
+            terms, n = [*counts, *(t for t, _ in repeated)], [*counts.values(), *[1] * len(repeated)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([None] * len(counts) + [d for _, d in repeated], pa.int64()), pa.array(n, pa.int64())], names=["term", "doc", "n"])
+
+    said = texts.mapInArrow(words, "term string, doc long, n long").join(pairs.select("term").distinct(), "term", "left_semi")
+    once = said.groupBy("term", "doc").agg(F.when(F.col("doc").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    counted = once.groupBy("term").agg(F.sum("n").alias("n_term"))
     scored = pairs.join(entities, "entity").join(counted, "term")
     p_entity, p_term, p_both = (F.col(c) / F.lit(float(total)) for c in ("n_entity", "n_term", "both"))
     ratio = F.log(p_both / (p_entity * p_term)) / F.greatest(-F.log(p_entity), F.lit(1e-9))
     out = durable(scored.withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"))
     discard(seen)
     discard(pairs)
+    discard(different)
     return out
 
 
