@@ -10,3 +10,22 @@ def test_copies_take_no_evidence_away(spark):
     once = pii.disclosing_terms(spark.createDataFrame(rows[:100], "doc_id long, text string"))
     found = {(r.term, round(r.disclosure, 9)) for r in terms.collect()}
     assert found == {(r.term, round(r.disclosure, 9)) for r in once.collect()} == {("zorblax", 1.0), ("meets", 1.0)}
+
+
+def test_windows_are_judged_one_by_one(spark):
+    item = "a farmer sells 3 baskets of ripe plums and 5 sacks of dry beans at the old market each day so what does the farmer earn"
+    twice = item.replace("5", "3")
+    names = "we saw Mary walk past the old mill by the lake and then saw Mary again near the tall tower on the hill where many people had met"
+    dense = "add 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 then find out how many of these are even"
+    short = "sum 31 32 33 34 35 36 37 38 39 40 41 42"
+    items = spark.createDataFrame(list(enumerate([item, twice, names, dense, short], 1)), "item_id long, text string")
+    texts = [
+        (1, item.replace("3", "4").replace("5", "4")),
+        (2, twice.replace("3", "7", 1).replace("3", "8")),
+        (3, names.replace("Mary", "Dora", 1)),
+        (4, dense.replace("1", "5").replace("2", "6")),
+        (5, "so " + short),
+        (6, short.replace("3", "5")),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.tainted(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
+    assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)} <= got and not {i for d, i in got if d == 6}

@@ -3,15 +3,21 @@
 A text's tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z
 lower-cased. Numbers, names (capitalised inside a sentence) and units after a
 number become typed placeholders. Windows of ``WIDTH`` such tokens with enough
-literal ones are hashed and joined with those of the benchmark. Where a text
-and an item meet at one alignment, their slots must be consistent: equal values
-of the item stand for equal values of the text and the other way round, kind
-by kind. So a question with other names and numbers is found, and a text that
-only has the same frame with unrelated slots is not.
-
-An item taints a document if at one alignment the consistent windows are
-``MIN_SHARE`` of the item's or ``MIN_WINDOWS`` at least. An item of fewer
-tokens than a window is one window of its own length.
+literal ones are hashed and joined with those of the benchmark; an item's other
+windows are hashed with their own values and so are met word for word only.
+
+Where a text and an item meet at one alignment, a window counts if its values
+are the item's own or if none of its slots clashes. A number or unit clashes if
+its value of the item stands for several of the text and the other way round;
+either one alone happens by chance. A name clashes if the item's name does not
+stand for this one in most of its places. If most places of the names that the
+item repeats clash, the frame has unrelated slots, and only windows with the
+item's own values count.
+
+An item taints a document if at one alignment the windows that count are
+``MIN_WINDOWS`` at least or ``MIN_SHARE`` of the item's, or if those with enough
+literals are that share of the item's with enough. An item of fewer tokens than
+a window is one window of its own length.
 
 Windows of documents first pass a fixed-size filter made from the benchmark's
 hashes, then the exact hash join, so neither table is broadcast. Null and empty
@@ -87,14 +93,17 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.where(kinds > 0, _PLACEHOLDERS[kinds], values), kinds, values, first
 
 
-_WINDOW = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64()), ("kinds", pa.list_(pa.int8())), ("values", pa.list_(pa.int64())), ("windows", pa.int32())])
-_WINDOW_SQL = "id long, pos int, hash long, kinds array<tinyint>, values array<long>, windows int"
+_WINDOW = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64()), ("exact", pa.bool_()), ("places", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8())), ("values", pa.list_(pa.int64()))])
+_WINDOW_SQL = "id long, pos int, hash long, exact boolean, places array<int>, kinds array<tinyint>, values array<long>"
+_EXACT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def _windows(rows: DataFrame, widths: list[int], bits=None) -> DataFrame:
     """The windows of each text of ``rows(id, text)``; with ``bits`` those that pass the filter, without it a benchmark's.
 
-    A benchmark item has windows of the full width, or one of its own length.
+    A benchmark item has windows of the full width, or one of its own length,
+    each by its template or, short of literals, by its values (``exact``). A
+    text has both for each window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,28 +115,31 @@ def _windows(rows: DataFrame, widths: list[int], bits=None) -> DataFrame:
                 slots = _count(kinds > 0)
                 sizes = np.diff(first)
                 for width in widths:
-                    hashes = K.windows(frame, width)
-                    at = np.arange(len(hashes))
-                    row = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
-                    literal = width - (slots[width : width + len(at)] - slots[: len(at)])
-                    keep = (at + width <= first[1:][row]) & (literal >= min(MIN_LITERALS, width))
+                    n = max(0, len(frame) - width + 1)
+                    rows_of = np.repeat(np.arange(len(sizes)), sizes)[:n]
+                    inside = np.arange(n) + width <= first[1:][rows_of]
                     if bits is None and width < WIDTH:
-                        keep &= sizes[row] == width
-                    elif bits is not None:
-                        keep[keep] = sketches.in_bit_set(bits.value, hashes[keep], FILTER_BITS)
-                    at, row = at[keep], row[keep]
-                    if not len(at):
-                        continue
-                    spots = [np.flatnonzero(kinds[i : i + width]) + i for i in at]
-                    columns = [
-                        ids.take(pa.array(row)),
-                        pa.array((at - first[row]).astype(np.int32)),
-                        pa.array(hashes[at].view(np.int64)),
-                        pa.array([kinds[s] for s in spots], pa.list_(pa.int8())),
-                        pa.array([values[s].view(np.int64) for s in spots], pa.list_(pa.int64())),
-                        pa.array(np.maximum(1, sizes[row] - width + 1).astype(np.int32)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, schema=_WINDOW)
+                        inside &= sizes[rows_of] == width
+                    literal = width - (slots[width : width + n] - slots[:n]) >= min(MIN_LITERALS, width)
+                    for exact in (False, True):
+                        hashes = K.mix(K.windows(values, width) ^ _EXACT) if exact else K.windows(frame, width)
+                        keep = inside.copy() if exact and bits is not None else inside & (literal != exact)
+                        if bits is not None:
+                            keep[keep] = sketches.in_bit_set(bits.value, hashes[keep], FILTER_BITS)
+                        at, row = np.flatnonzero(keep), rows_of[keep]
+                        if not len(at):
+                            continue
+                        spots = [np.flatnonzero(kinds[i : i + width]) + i for i in at]
+                        columns = [
+                            ids.take(pa.array(row)),
+                            pa.array((at - first[row]).astype(np.int32)),
+                            pa.array(hashes[at].view(np.int64)),
+                            pa.array(np.full(len(at), exact)),
+                            pa.array([(s - f).astype(np.int32) for s, f in zip(spots, first[row], strict=True)], pa.list_(pa.int32())),
+                            pa.array([kinds[s] for s in spots], pa.list_(pa.int8())),
+                            pa.array([values[s].view(np.int64) for s in spots], pa.list_(pa.int64())),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, schema=_WINDOW)
 
     return rows.mapInArrow(run, _WINDOW_SQL)
 
@@ -148,6 +160,7 @@ def tainted(
 ) -> DataFrame:
     """``(doc_id, item_id, n_matched, n_windows, coverage, n_slots, same_values)`` for each pair of a document and an item it holds.
 
+    ``n_windows`` are the item's; ``coverage`` is the greater share, of these or of those with enough literals.
     ``n_slots`` counts the item's slots met; ``same_values`` says that all have the item's own values.
     """
     spark = documents.sparkSession
@@ -155,26 +168,37 @@ def tainted(
     texts = K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     widths = [WIDTH, *_short_widths(items)]
     wanted = durable(_windows(items, widths))
-    totals = wanted.groupBy("id").agg(F.max("windows").alias("windows"))
+    of_template = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
+    totals = wanted.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("n_windows"), of_template("pos").alias("windows"))
     bits = spark.sparkContext.broadcast(sketches.bit_set(wanted.select("hash"), "hash", FILTER_BITS))
-    d = _windows(texts, widths, bits).select(F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "hash", F.col("values").alias("d_values"))
-    i = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), "hash", "kinds", F.col("values").alias("i_values"))
-    hits = d.join(i, "hash").withColumn("shift", F.col("d_pos") - F.col("i_pos")).distinct()
-    hits = durable(hits)
+    d = _windows(texts, widths, bits).select(F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "hash", "exact", F.col("values").alias("d_values"))
+    i = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), "hash", "exact", "places", "kinds", F.col("values").alias("i_values"))
+    hits = d.join(i, ["hash", "exact"]).withColumn("shift", F.col("d_pos") - F.col("i_pos"))
+    hits = durable(hits.withColumn("d_values", F.when(F.col("exact"), F.col("i_values")).otherwise(F.col("d_values"))).distinct())
     keys = ["doc_id", "item_id", "shift"]
-    slot = hits.select(*keys, F.explode(F.arrays_zip("kinds", "i_values", "d_values")).alias("s")).select(*keys, "s.*").distinct()
-    one_way = slot.groupBy(*keys, "kinds", "i_values").agg(F.countDistinct("d_values").alias("n"))
-    other_way = slot.groupBy(*keys, "kinds", "d_values").agg(F.countDistinct("i_values").alias("n"))
-    clash = one_way.where("n > 1").select(*keys).unionByName(other_way.where("n > 1").select(*keys)).distinct()
-    changed = slot.groupBy(*keys).agg(F.count("*").alias("n_slots"), F.min((F.col("i_values") == F.col("d_values")).cast("int")).alias("same"))
-    met = hits.groupBy(*keys).agg(F.countDistinct("i_pos").alias("n_matched"))
-    met = met.join(clash, keys, "left_anti").join(changed, keys, "left").join(totals.withColumnRenamed("id", "item_id"), "item_id")
-    met = met.where((F.col("n_matched") >= min_windows) | (F.col("n_matched") >= min_share * F.col("windows")))
+    slot = hits.select(*keys, F.explode(F.arrays_zip("places", "kinds", "i_values", "d_values")).alias("s")).select(*keys, "s.*").distinct()
+    pair = slot.groupBy(*keys, "kinds", "i_values", "d_values").agg(F.count("*").alias("n"))
+    by_item = pair.groupBy(*keys, "kinds", "i_values").agg(F.sum("n").alias("n_item"), F.count("*").alias("stands_for"))
+    by_text = pair.groupBy(*keys, "kinds", "d_values").agg(F.count("*").alias("stood_for"))
+    name, clash = F.col("kinds") == NAME, F.col("clash")
+    pair = pair.join(by_item, [*keys, "kinds", "i_values"]).join(by_text, [*keys, "kinds", "d_values"])
+    pair = pair.withColumn("clash", F.when(name, 2 * F.col("n") <= F.col("n_item")).otherwise((F.col("stands_for") > 1) & (F.col("stood_for") > 1)))
+    places = lambda which: F.coalesce(F.sum(F.when(name & (F.col("n_item") > 1) & which, F.col("n"))), F.lit(0))
+    judged = pair.groupBy(*keys).agg(
+        F.count("*").alias("n_slots"), F.min((F.col("i_values") == F.col("d_values")).cast("int")).alias("same"),
+        F.collect_set(F.when(clash, F.struct("kinds", "i_values", "d_values"))).alias("clashes"), (places(clash) > places(~clash)).alias("unrelated"),
+    )
+    slots = F.transform(F.arrays_zip("kinds", "i_values", "d_values"), lambda s: F.struct(s.kinds.alias("kinds"), s.i_values.alias("i_values"), s.d_values.alias("d_values")))
+    counts = F.col("n_slots").isNull() | (F.col("i_values") == F.col("d_values")) | (~F.col("unrelated") & ~F.arrays_overlap(slots, "clashes"))
+    met = hits.join(judged, keys, "left").where(counts)
+    met = met.groupBy(*keys).agg(F.countDistinct("i_pos").alias("n_matched"), of_template("i_pos").alias("n_template"), F.first("n_slots").alias("n_slots"), F.first("same").alias("same")).join(totals, "item_id")
+    share = F.greatest(F.col("n_matched") / F.col("n_windows"), F.when(F.col("windows") > 0, F.col("n_template") / F.col("windows")))
+    met = met.withColumn("share", share).where((F.col("n_matched") >= min_windows) | (F.col("share") >= min_share))
     best = met.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n_matched", "windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("same", F.lit(1)).alias("same"))).alias("b")
+        F.max(F.struct("n_matched", "share", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("same", F.lit(1)).alias("same"))).alias("b")
     )
     return best.select(
-        F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.n_matched", F.col("b.windows").cast("long").alias("n_windows"), F.round(F.col("b.n_matched") / F.col("b.windows"), 4).alias("coverage"),
+        F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.n_matched", "b.n_windows", F.round("b.share", 4).alias("coverage"),
         "b.n_slots", (F.col("b.same") == 1).alias("same_values"),
     )
 
