@@ -149,7 +149,8 @@ def g31_shortest_paths(v):
 
 @query()
 def g30_betweenness(v):
-    return _rounded(G.betweenness(v("v_block_edge").where("src < 40 AND dst < 40").select("src", "dst", F.lit(1.0).alias("weight"))), betweenness=6)
+    pairs = v("v_pair").select("src", "dst")
+    return _rounded(G.betweenness(pairs, G.nodes_of(pairs).where("node % 50 = 0")), betweenness=6)
 
 
 _INIT = "SELECT company AS node, cast(100 AS double) AS value FROM v_company WHERE company IN (0, 2, 6)"
@@ -240,8 +241,8 @@ def g9_tariff_downstream(v):
 
 @query()
 def g10_tariff_both_directions(v):
-    nodes = v("v_company").where("company < 24").select(F.col("company").alias("node"))
-    return _rounded(S.run_tariff(v("v_block_edge"), nodes, _init(v).where("node < 24")).select("direction", "node", "value", "depth"), value=4)
+    nodes = v("v_company").select(F.col("company").alias("node"))
+    return _rounded(S.run_tariff(v("v_pair"), nodes, _init(v)).select("direction", "node", "value", "depth"), value=4)
 
 
 @query()
