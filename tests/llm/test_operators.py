@@ -1,6 +1,7 @@
 """Each operator against a plain version, with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tradeloom.llm import decontaminate, labelled, licences, ngram_join, order_minhash, packing, pii, quality, token_counts, token_ids, toxicity, url_lists
+from tradeloom.llm import decontaminate, labelled, licences, ngram_join, order_minhash, packing, pii, quality, sketches, token_counts, token_ids, toxicity, url_lists
 
 BASE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree near the river bank and wonder what all that noise is about today"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(20000))
@@ -62,8 +63,8 @@ def plain_components(rows, k, percent):
 
 
 def test_ngram_join_matches_all_pairs(docs):
-    rows = [(r.doc_id, r.text) for r in docs.where("doc_id IS NOT NULL").collect()]
-    got = ngram_join.linked_documents(docs.where("doc_id IS NOT NULL"), 4, 70)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "only rows without an id"), (None, "Only rows without an ID")]
+    got = ngram_join.linked_documents(docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(rows[-2:], "doc_id long, text string")), 4, 70)
     key = lambda t: tuple(-1 if v is None else v for v in t)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=key) == sorted(plain_components(rows, 4, 70), key=key)
 
@@ -77,8 +78,9 @@ def test_removed_ids_are_exact_whatever_the_filter_lets_pass(spark, monkeypatch)
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     gone = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
     want = sorted((r for r in rows if r[0] is None or r[0] % 3), key=str)
-    for bits in (1 << 24, 1 << 9):
-        monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+    for bits in (1 << 27, 1 << 8):  # 256 bits for 115 ids: each set passes many others wrongly
+        monkeypatch.setattr(sketches, "MOST_BITS", bits)
+        monkeypatch.setattr(sketches, "LEAST_BITS", min(bits, 1 << 13))
         assert sorted(map(tuple, ngram_join.without_ids(docs, gone).collect()), key=str) == want
         assert ngram_join.without_ids(docs, gone.limit(0)).count() == len(rows)
 
@@ -101,9 +103,70 @@ def test_pattern_spans_and_edges(docs, empty):
 
 def test_terms_that_disclose_are_generalised(spark):
     rows = [(i, f"w{i} u{i} zorblax meets bob.x@mail.com near {i} things v{i}") for i in range(6)] + [(50 + i, f"plain note {i} things") for i in range(60)] + [(200 + i, "copy of one text zorkol bob.y@mail.com with the same words") for i in range(9)]
-    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(table, least_texts=3).collect()}
     assert out[0] == "w0 u0 [TERM] [TERM] [EMAIL] [TERM] 0 things v0"
     assert out[200] == "copy of one text zorkol [EMAIL] with the same words"  # copies are no evidence
+    out = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert out[200] == "[TERM] of one [TERM] [TERM] [EMAIL] [TERM] the [TERM] [TERM]" and out[50] == "plain note 0 things"
+
+
+def plain_terms(texts, least, threshold=0.9, reach=8):
+    """Terms by their definition, from a list of texts."""
+    texts = sorted({t for t in texts if t})
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    usable = lambda t: len(t) >= 4 and not re.search("[0-9]", t)
+    with_term, with_entity, both = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, text in enumerate(texts):
+        spans = pii.base_spans(text)
+        every = [(m.start(), m.end(), lower(m[0])) for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", text)]
+        for _, _, t in every:
+            if usable(t):
+                with_term[t].add(k)
+        free = [w for w in every if not any(w[0] < e and s < w[1] for s, e, _ in spans)]
+        for s, e, kind in spans:
+            entity = (kind, pii._value(text[s:e], kind))
+            with_entity[entity].add(k)
+            for w in [x for x in free if x[1] <= s][-reach:] + [x for x in free if x[0] >= e][:reach]:
+                if usable(w[2]):
+                    both[entity, w[2]].add(k)
+    out = set()
+    for (entity, t), docs in both.items():
+        pe, pt, pb = len(with_entity[entity]) / len(texts), len(with_term[t]) / len(texts), len(docs) / len(texts)
+        ratio = math.log(pb / (pe * pt)) / max(-math.log(pe), 1e-9)
+        if len(docs) >= least and 2 * len(docs) > len(with_term[t]) and ratio >= threshold:
+            out.add((t, round(ratio, 9)))
+    return out
+
+
+def test_terms_match_their_definition(spark):
+    """Names planted beside addresses and phones, among shared words, with copies, non-ASCII words and close values."""
+    rng = np.random.default_rng(5)
+    common = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] + ["Élan", "groß", "né"]
+    texts = []
+    for p in range(40):
+        for _ in range(1 + p % 4):
+            w = [*rng.choice(common, 30)]
+            w[10:10] = [f"Nomen{chr(97 + p % 26)}{chr(97 + p // 26)}", f"p{p}.x@mail{p}.org"]
+            if p % 3 == 0:
+                w[20:20] = [f"+49 (30) {1000000 + p}", "Straße"]
+            texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(common, 25)) for _ in range(200)] + texts[:9] + [None, "", "Nomenaa alone"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (1, 3):
+        got = {(r.term, round(r.disclosure, 9)) for r in pii.disclosing_terms(table, least_texts=least).collect()}
+        assert got == plain_terms(texts, least)
+    terms, words = pii.study(table)
+    listed = {r.term for r in terms.collect()}
+    planted = {f"nomen{chr(97 + p % 26)}{chr(97 + p // 26)}" for p in range(40)}
+    assert len(planted & listed) >= 39  # "nomenaa" stands alone elsewhere
+    for r in pii.find_spans(table, terms, words).collect():
+        text = texts[r.doc_id] or ""
+        words_of = {(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", text) if re.sub("[A-Z]", lambda m: m[0].lower(), m[0]) in listed}
+        base = pii.base_spans(text)
+        assert {(s.start, s.end) for s in r.spans if s.kind == "term"} == {w for w in words_of if not any(w[0] < e and s < w[1] for s, e, _ in base)}
+        assert [(s.start, s.end, s.kind) for s in r.spans if s.kind != "term"] == base
+    assert {tuple(r) for r in pii.find_spans(table, terms).selectExpr("doc_id", "to_json(spans)").collect()} == {tuple(r) for r in pii.find_spans(table, terms, words).selectExpr("doc_id", "to_json(spans)").collect()}
 
 
 def test_reparameterised_questions_are_found(spark, docs, empty):

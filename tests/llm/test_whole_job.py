@@ -6,8 +6,8 @@ from tradeloom.llm import decontaminate, pii
 def test_copies_take_no_evidence_away(spark):
     rows = [(i, f"w{i} u{i} zorblax meets bob.x@mail.com near {i} things v{i}") for i in range(10)] + [(1000 + i, f"plain note {i} things near") for i in range(90)]
     rows += [(100 + i, rows[0][1]) for i in range(21)]
-    terms = pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"))
-    once = pii.disclosing_terms(spark.createDataFrame(rows[:100], "doc_id long, text string"))
+    terms = pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"), least_texts=3)
+    once = pii.disclosing_terms(spark.createDataFrame(rows[:100], "doc_id long, text string"), least_texts=3)
     found = {(r.term, round(r.disclosure, 9)) for r in terms.collect()}
     assert found == {(r.term, round(r.disclosure, 9)) for r in once.collect()} == {("zorblax", 1.0), ("meets", 1.0)}
 

@@ -19,7 +19,7 @@ An item taints a document if at one alignment the windows that count are
 literals are that share of the item's with enough. An item of fewer tokens than
 a window is one window of its own length.
 
-Windows of documents first pass a fixed-size filter made from the benchmark's
+Windows of documents first pass a filter, sized by their number, made from the benchmark's
 hashes, then the exact hash join, so neither table is broadcast. Null and empty
 texts and items have no windows. Rows that repeat a document id count as one
 document; extra columns are ignored.
@@ -34,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import sketches
+from tradeloom.llm import ngram_join, sketches
 from tradeloom.llm import text_kernel as K
-from tradeloom.session import durable, read
+from tradeloom.session import discard, durable, read
 
 WIDTH = 8
 MIN_LITERALS = 4
 MIN_SHARE = 0.3
 MIN_WINDOWS = 10
-FILTER_BITS = 1 << 24
 #: Unit words that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -125,7 +124,7 @@ def _windows(rows: DataFrame, widths: list[int], bits=None) -> DataFrame:
                         hashes = K.mix(K.windows(values, width) ^ _EXACT) if exact else K.windows(frame, width)
                         keep = inside.copy() if exact and bits is not None else inside & (literal != exact)
                         if bits is not None:
-                            keep[keep] = sketches.in_bit_set(bits.value, hashes[keep], FILTER_BITS)
+                            keep[keep] = sketches.in_bit_set(bits.value, hashes[keep], 8 * len(bits.value))
                         at, row = np.flatnonzero(keep), rows_of[keep]
                         if not len(at):
                             continue
@@ -170,7 +169,7 @@ def tainted(
     wanted = durable(_windows(items, widths))
     of_template = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
     totals = wanted.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("n_windows"), of_template("pos").alias("windows"))
-    bits = spark.sparkContext.broadcast(sketches.bit_set(wanted.select("hash"), "hash", FILTER_BITS))
+    bits = spark.sparkContext.broadcast(sketches.bit_set(wanted, "hash", sketches.bits_for(wanted.count())))
     d = _windows(texts, widths, bits).select(F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), "hash", "exact", F.col("values").alias("d_values"))
     i = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("i_pos"), "hash", "exact", "places", "kinds", F.col("values").alias("i_values"))
     hits = d.join(i, ["hash", "exact"]).withColumn("shift", F.col("d_pos") - F.col("i_pos"))
@@ -204,8 +203,11 @@ def tainted(
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` without those that hold a benchmark item."""
-    return documents.join(durable(tainted(documents, benchmark).select("doc_id").distinct()), "doc_id", "left_anti").select(*documents.columns)
+    """The rows of ``documents`` without those that hold a benchmark item; rows without an id stay."""
+    gone = durable(tainted(documents, benchmark).select("doc_id").distinct())
+    out = ngram_join.without_ids(documents, gone)
+    discard(gone)
+    return out
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Exact n-gram Jaccard join by T-occurrence search (DivideSkip), giving groups of linked documents.
 
 Two documents link when ``100 * |A n B| >= percent * |A u B|`` over their sets
-of distinct word n-grams. A pair that links shares at least
-``T = ceil(percent * (|A| + |B|) / (100 + percent))`` n-grams, so, as in
-DivideSkip, a document's inverted lists are divided: its ``n - T + 1`` rarest
-n-grams have the short lists, of which one at least must hold the partner; the
-other ``T - 1`` lists are long. The short lists are merged by Spark's sort by
-n-gram, which does a heap's work over many machines. The long lists are never
-merged: each candidate is probed in them by binary search in its sorted set.
+of distinct word n-grams. A document of ``n`` n-grams shares at least
+``T = ceil(percent * n / 100)`` with any partner, so it must be found T times in
+the inverted lists of its n-grams. As in DivideSkip these lists are divided by
+their length: the ``L`` longest are long, the ``n - L`` others short, and a
+partner stands in ``T - L`` short lists at least (``short_hits`` says how L
+follows from T). The short lists are merged by Spark's sort by n-gram, which
+does a heap's work over many machines; hits of a pair are counted, and pairs
+with too few are dropped. The long lists are never merged: each candidate that
+remains is probed in them by binary search, in the sorted n-grams of the
+candidate's own set, which hold a gram just if its list holds the candidate.
 
 Copies and near copies don't multiply the work:
 
@@ -15,16 +18,18 @@ Copies and near copies don't multiply the work:
 * in each short list every member is first compared with one leader, the
   member with the fewest rarer n-grams before the shared one; what links with
   its leader shares a component;
-* then only pairs of different components are left to compare, and the place
-  of the shared n-gram in both sets bounds the overlap still possible.
+* then only pairs of different components are left to count, and the place
+  of their first shared n-gram in both sets bounds the overlap still possible.
 
-"Rare" comes from a fixed-size count sketch over all documents. Any order gives
-the same result, so the sketch's errors cost time only. N-grams and whole sets
-are compared by 64-bit hashes.
+List lengths come from a fixed-size count sketch over all documents. Any order
+gives the same result, so the sketch's errors cost time only. N-grams and whole
+sets are compared by 64-bit hashes.
 
 Null and empty texts have no n-grams and link with nothing. A text of fewer
 words than the n-gram has its whole sequence as the one n-gram. Repeated rows
-are documents like any other; extra columns are ignored.
+are documents like any other, and so are rows with a null id: they link others,
+but never name a group unless nobody else in it has an id. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm import sketches
@@ -42,9 +47,10 @@ from tradeloom.llm import text_kernel as K
 from tradeloom.operators.components import connected_components
 from tradeloom.session import discard, durable, read
 
-#: Cells of the count sketch, and bits of the filter on candidate documents.
+#: Cells of the count sketch.
 SKETCH_CELLS = 1 << 19
-FILTER_BITS = 1 << 24
+#: Classes that a task remembers having sent.
+_HELD_CLASSES = 1 << 15
 _SHIFT = np.uint64(64 - 19)
 
 
@@ -73,56 +79,64 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def short_hits(least: int) -> int:
+    """``T - L``: in how many short lists a partner stands at least, for ``T = least``.
+
+    Two, and one more for each 32 n-grams asked for: few more list entries than
+    the least number, but pairs that share a chance n-gram or two fall out.
+    """
+    return min(least, 2 + least // 32)
+
+
 def _scan(texts: DataFrame, width: int) -> DataFrame:
-    """One row for each document (its class and set size) and blocks of the count sketch."""
-    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
+    """One row for each document (its class, set size and key) and blocks of the count sketch."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, some = np.zeros(SKETCH_CELLS, np.int64), [], 0
-        for batch in batches:
-            for a, b in K.slices(batch, "text"):
-                part = batch.slice(a, b - a)
-                cls, n = [], []
-                for grams in shingle_sets(part.column("text"), width):
-                    cls.append(_class_of(grams))
-                    n.append(len(grams))
-                    held.append(grams >> _SHIFT)
-                    some += len(grams)
-                if some > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH_CELLS)
-                    held, some = [], 0
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=schema)
+        for part in K.parts(batches, "text"):
+            cls, n = [], []
+            for grams in shingle_sets(part.column("text"), width):
+                cls.append(_class_of(grams))
+                n.append(len(grams))
+                held.append(grams >> _SHIFT)
+                some += len(grams)
+            if some > 1 << 18:
+                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH_CELLS)
+                held, some = [], 0
+            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), *none], schema=schema)
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH_CELLS)
         if counts.any():
             blocks, k = sketches.as_blocks(counts.astype(np.uint32)), sketches.BLOCKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + blocks.columns, schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + blocks.columns, schema=schema)
 
-    return texts.mapInArrow(run, "id long, cls long, n long, block int, cells binary")
+    return texts.mapInArrow(run, "id long, key long, cls long, n long, block int, cells binary")
 
 
 def _short_lists(texts: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """``(gram, cls, n, pos)`` for the rarest n-grams of each class; a task sends each class once."""
+    """``(gram, cls, n, pos)``: the entries of each class in its short lists; a task sends a class once or a few times."""
     schema = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = levels.value, set()
-        for batch in batches:
-            for a, b in K.slices(batch, "text"):
-                out = []
-                for grams in shingle_sets(batch.column("text").slice(a, b - a), width):
-                    n = len(grams)
-                    if not n or (cls := _class_of(grams)) in seen:
-                        continue
-                    if len(seen) >= 1 << 20:  # classes sent twice cost only time
-                        seen.clear()
-                    seen.add(cls)
-                    keep = int(n - _least(n, percent) + 1)
-                    place = (rank[grams >> _SHIFT].astype(K.U64) << K.U64(58)) | (grams >> K.U64(6))
-                    short = np.argsort(place, kind="stable")[:keep]
-                    out.append((grams[short].view(np.int64), np.full(keep, cls), np.full(keep, n, np.int32), np.arange(keep, dtype=np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+        for part in K.parts(batches, "text"):
+            out = []
+            for grams in shingle_sets(part.column("text"), width):
+                n = len(grams)
+                if not n or (cls := _class_of(grams)) in seen:
+                    continue
+                if len(seen) >= _HELD_CLASSES:  # classes sent again cost only time
+                    seen.clear()
+                seen.add(cls)
+                least = int(_least(n, percent))
+                keep = n - least + short_hits(least)
+                place = (rank[grams >> _SHIFT].astype(K.U64) << K.U64(58)) | (grams >> K.U64(6))
+                short = np.argsort(place, kind="stable")[:keep]
+                out.append((grams[short].view(np.int64), np.full(keep, cls), np.full(keep, n, np.int32), np.arange(keep, dtype=np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
 
     return texts.select("text").mapInArrow(run, "gram long, cls long, n int, pos int")
 
@@ -136,23 +150,24 @@ def _bit_map(grams: np.ndarray) -> bytes:
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, encode=np.ndarray.tobytes) -> DataFrame:
-    """``(cls, grams)`` of the documents in ``wanted(id, cls)``, encoded: a bounded filter first, then an exact join."""
-    sc = texts.sparkSession.sparkContext
-    bits = sc.broadcast(sketches.bit_set(wanted.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS))
-    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary())])
+    """``(cls, grams)`` of the documents in ``wanted(key, cls)``, encoded: a filter sized by their number first, then an exact join."""
+    bits = texts.sparkSession.sparkContext.broadcast(sketches.bit_set(wanted, "key", sketches.bits_for(wanted.count())))
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            keep = sketches.in_bit_set(bits.value, np.asarray(batch.column("h")).view(np.uint64), FILTER_BITS)
-            batch = batch.filter(pa.array(keep))
-            for a, b in K.slices(batch, "text"):
-                part = batch.slice(a, b - a)
+            keys = np.asarray(batch.column("key"))
+            keep = sketches.in_bit_set(bits.value, keys.view(np.uint64), 8 * len(bits.value))
+            keep = [i for i, k in zip(np.flatnonzero(keep), keys[keep].tolist(), strict=True) if k not in sent and not sent.add(k)]
+            if len(sent) >= _HELD_CLASSES:  # rows that repeat id and text, sent again, cost only time
+                sent.clear()
+            for part in K.parts([batch.take(pa.array(keep, pa.int64()))], "text"):
                 sets = list(shingle_sets(part.column("text"), width))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_class_of(g) for g in sets], pa.int64()), pa.array([encode(g) for g in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([_class_of(g) for g in sets], pa.int64()), pa.array([encode(g) for g in sets], pa.binary())], schema=schema)
 
-    found = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, cls long, grams binary")
-    # a repeated document id may have several sets: the class tells which one is wanted
-    return found.join(wanted, ["id", "cls"]).select("cls", "grams").dropDuplicates(["cls"])
+    found = texts.select("key", "text").mapInArrow(run, "key long, cls long, grams binary")
+    return found.join(wanted, ["key", "cls"]).select("cls", "grams").dropDuplicates(["cls"])
 
 
 def _pair_filter(pairs: DataFrame, sets: DataFrame, holds) -> DataFrame:
@@ -170,7 +185,7 @@ def _pair_filter(pairs: DataFrame, sets: DataFrame, holds) -> DataFrame:
 
 
 def _linked(percent: int):
-    """The n-grams of the smaller set are looked up in the other by binary search."""
+    """Probe one set's n-grams in the lists that hold the other, by binary search in the other's n-grams."""
 
     def holds(x, y) -> bool:
         x, y = np.frombuffer(x, K.U64), np.frombuffer(y, K.U64)
@@ -216,11 +231,16 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, p
     return pairs, made[:-1]
 
 
-def _possible(percent: int, one: str, two: str):
-    """Whether two members of a short list can still reach the overlap their sizes ask for."""
-    col = lambda side, name: F.col(f"{side}.{name}").cast("long")
-    least = F.ceil((col(one, "n") + col(two, "n")) * percent / F.lit(100 + percent) - 1e-9)
-    return F.least(col(one, "n") - col(one, "pos"), col(two, "n") - col(two, "pos")) >= least
+def _room(percent: int, n: str, pos: str, m: str, at: str) -> Column:
+    """Whether sets of ``n`` and ``m`` that first meet at places ``pos`` and ``at`` can still reach the overlap their sizes ask for."""
+    n, pos, m, at = (F.col(c).cast("long") for c in (n, pos, m, at))
+    return F.least(n - pos, m - at) >= F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
+
+
+def _hits(percent: int, n: str) -> Column:
+    """``short_hits`` of a set of ``n``."""
+    least = F.ceil(F.col(n).cast("long") * percent / F.lit(100) - 1e-9)
+    return F.least(least, 2 + F.floor(least / 32))
 
 
 def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,17 +251,18 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     """
     spark: SparkSession = documents.sparkSession
     texts = K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("key", F.xxhash64("id", "text"))
     scanned = durable(_scan(texts, width))
     counts = sketches.gather(scanned.where("block is not null").select("block", "cells"), SKETCH_CELLS, "u4")
     levels = spark.sparkContext.broadcast(np.floor(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8))
-    docs = scanned.where("block is null").select("id", "cls", "n")
-    classes = durable(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")))  # a table, so that joins with it can split a hot class
+    docs = scanned.where("block is null").select("id", "key", "cls", "n")
+    classes = durable(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key")))  # a table, so that joins with it can split a hot class
 
     lists = _short_lists(texts, width, percent, levels).repartition("gram")  # one shuffle serves the counts and the lists
     leaders = lists.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.struct("pos", "cls", "n")).alias("leader")).where("low < high").select("gram", "leader")
     shared = durable(lists.join(leaders, "gram").select("gram", "cls", "n", "pos", "leader").distinct())
 
-    to_leader = shared.alias("x").where("cls <> leader.cls").where(_possible(percent, "x", "leader")).select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
+    to_leader = shared.where("cls <> leader.cls").where(_room(percent, "n", "pos", "leader.n", "leader.pos")).select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
     tried = durable(to_leader)
     links, sets_used = _links(tried, classes, texts, width, percent)
     label = durable(connected_components(links, "a", "b"))
@@ -250,18 +271,20 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     open_lists = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     marked = durable(marked.join(open_lists, "gram", "left_semi"))
     x, y = marked.alias("x"), marked.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _possible(percent, "x", "y"))
-    across = across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    across = durable(across)
+    sized = (100 * F.least("x.n", "y.n").cast("long") >= percent * F.greatest("x.n", "y.n").cast("long"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & sized)
+    across = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("hits"), *[F.min(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "pos")])
+    across = across.where(F.col("hits") >= F.least(_hits(percent, "x_n"), _hits(percent, "y_n"))).where(_room(percent, "x_n", "x_pos", "y_n", "y_pos"))
+    across = durable(across.select("a", "b").join(tried, ["a", "b"], "left_anti"))
     more, more_sets = _links(across, classes, texts, width, percent)
 
-    named = durable(docs.join(classes.withColumnRenamed("id", "class_id"), "cls", "left"))
+    named = durable(docs.join(classes.select("cls", F.col("id").alias("class_id")), "cls", "left"))
     # the component of a class, then the smallest document id of the component
     groups = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "cls")
-    groups = durable(groups.join(classes, "cls"))
+    groups = durable(groups.join(classes.select("cls", "id"), "cls"))
     lowest = groups.groupBy("component").agg(F.min("id").alias("component_id"))
-    groups = groups.join(lowest, "component").select("cls", "component_id")
-    out = named.join(groups, "cls", "left").select(
+    groups_named = groups.join(lowest, "component").select("cls", "component_id")
+    out = named.join(groups_named, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "class_id", "id").alias("component_id")
     )
     out = durable(out)
@@ -277,24 +300,24 @@ def one_per_group(documents: DataFrame, width: int = 5, percent: int = 80) -> Da
     its component. Rows without an id stay.
     """
     linked = linked_documents(documents, width, percent)
-    gone = durable(linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("NOT first").select("doc_id"))
-    return without_ids(documents, gone)
+    first = durable(linked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("first")))
+    out = without_ids(documents, first.where("NOT first"))
+    for used in (linked, first):
+        discard(used)
+    return out
 
 
 def without_ids(documents: DataFrame, gone: DataFrame) -> DataFrame:
-    """``documents`` whose id is not in ``gone(doc_id)``, with whole rows moved for the filters' mistakes only.
-
-    A filter of fixed size lets most kept rows stay where they are. Ids that it
-    wrongly stops are found by a join of ids; a second filter holds these, and
-    the few rows that pass it are joined exactly. A full filter costs only time.
-    """
-    spark, columns = documents.sparkSession, documents.columns
+    """``documents`` whose id is not in ``gone(doc_id)``; no row moves, as bit sets decide exactly for every id that occurs."""
+    spark = documents.sparkSession
     number = F.col("doc_id").cast("long")
-    filter_of = lambda ids: sketches.may_hold(spark, sketches.bit_set(ids.select(F.xxhash64(number).alias("h")), "h", FILTER_BITS), FILTER_BITS)
-    stopped = filter_of(gone)(F.xxhash64(number))
-    spared = filter_of(documents.select("doc_id").where(stopped).join(gone, "doc_id", "left_anti"))(F.xxhash64(number))
-    unsure = documents.where(stopped).where(spared).join(gone, "doc_id", "left_anti")
-    return documents.where(~stopped).union(unsure.select(*[F.col(f"`{c}`") for c in columns]))
+    hashed = F.xxhash64(number).alias("h")
+    listed = durable(gone.where("doc_id IS NOT NULL").select(hashed).distinct())
+    others = durable(documents.where("doc_id IS NOT NULL").select(hashed).distinct().join(listed, "h", "left_anti"))
+    is_gone = sketches.member_column(spark, sketches.members(listed, others))
+    for used in (listed, others):
+        discard(used)
+    return documents.where(number.isNull() | ~is_gone(F.xxhash64(number)))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

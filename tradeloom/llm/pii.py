@@ -5,47 +5,54 @@ whole texts. Their values are the protected entities. A term's disclosure of
 an entity is its pointwise mutual information over the entity's information,
 ``PMI(t; e) / IC(e)``, from counts over all documents: 1 means that the term
 occurs only with the entity. A term is a quasi-identifier if it stands within
-``REACH`` words of an entity, discloses it by ``THRESHOLD`` or more, and does so
-with at least ``LEAST_ALIKE`` different texts before and after the entity. All
-counts are of different texts, so copies neither add evidence nor take it away.
-Each occurrence of such a term becomes a span of kind ``term``, which
-sanitisation generalises. Terms have four letters at least.
-
-Offsets are code points, ends exclusive. Null and empty texts have no spans.
-Repeated rows are scanned each; extra columns are kept by :func:`sanitise` and
-ignored by :func:`find_spans`.
+``REACH`` words of an entity in ``least_texts`` different texts or more,
+discloses it by ``THRESHOLD`` or more, and more than half of the texts with the
+term name the entity. So a rare name beside a single phone number is one, and a
+word that other texts use as well isn't. All counts are of different texts:
+copies neither add evidence nor take it away. Each occurrence of such a term
+becomes a span of kind ``term``, which sanitisation generalises.
+
+Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
+lower-cased; terms have no digit and four characters at least, and words inside
+a pattern's match are neither terms nor counted by ``REACH``. Words and texts
+are compared by 64-bit hashes. Ties play no part: every term over the
+thresholds counts.
+
+Offsets are code points, ends exclusive. Null and empty texts have no spans;
+rows with a null id are rows like any other. Repeated rows are scanned each;
+extra columns, whatever their names, are kept by :func:`sanitise` and ignored by
+:func:`find_spans`. Without documents there are no terms.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm import sketches
+from tradeloom.llm import text_kernel as K
 from tradeloom.session import discard, durable, read
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 8
-LEAST_ALIKE = 3
+LEAST_TEXTS = 1
 THRESHOLD = 0.9
-FILTER_BITS = 1 << 22
+LEAST_CHARACTERS = 4
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W_]{4,}")
 _NOT_DIGIT = str.maketrans("", "", " ().+-")
+#: Distinct words that a task counts before it sends their counts on.
+_HELD_WORDS = 1 << 19
 
 
 def _luhn(digits: str) -> bool:
@@ -101,173 +108,236 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _passing(terms: list[str], bits: np.ndarray) -> list[str]:
-    """The terms that a fixed-size filter lets pass; the hash is Spark's xxhash64."""
-    keys = np.array([xxhash.xxh64_intdigest(t, 42) for t in terms], np.uint64)
-    return [terms[i] for i in np.flatnonzero(sketches.in_bit_set(bits, keys, FILTER_BITS))] if terms else []
-
-
 def _value(text: str, kind: str) -> str:
     return text.lower() if kind in ("email", "ip") else text.translate(_NOT_DIGIT)
 
 
+class _Words:
+    """The words of a string array: code points of start and end, hash, whether they can be terms, and each row's first word."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, offsets = K.buffer_of(texts)
+        self.starts, self.ends, self.first = K.spans(K.WORD[self.data], offsets)
+        points, digits = K.running((self.data & 0xC0) != 0x80), K.running((self.data >= 48) & (self.data <= 57))
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        base = points[offsets[:-1]][self.row]
+        self.start, self.end = points[self.starts] - base, points[self.ends] - base
+        self.usable = (self.end - self.start >= LEAST_CHARACTERS) & (digits[self.starts] == digits[self.ends])
+        self.hashes = K.hash_runs(K.LOWER[self.data], self.starts, self.ends)
+
+    def text(self, k: int) -> str:
+        return K.LOWER[self.data[self.starts[k] : self.ends[k]]].tobytes().decode()
+
+
+def _outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, str]]) -> np.ndarray:
+    """Which words overlap no span."""
+    free = np.ones(len(start), bool)
+    for a, b, _ in spans:
+        free[np.searchsorted(end, a, "right") : np.searchsorted(start, b, "left")] = False
+    return free
+
+
 def _evidence(texts: DataFrame) -> DataFrame:
-    """``(entity, term, before, after, doc)`` of ``texts(text, doc)``: terms near an entity, and hashes of the words on either side.
+    """``(entity, term, h, doc)`` of ``texts(text, doc)``: the terms near an entity and their hashes.
 
     A row without a term says that the text names the entity.
     """
-    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("before", pa.int64()), ("after", pa.int64()), ("doc", pa.int64())])
+    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("h", pa.int64()), ("doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for text, doc in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), strict=True):
-                for start, end, kind in base_spans(text) if text else []:
-                    entity = _hash(f"{kind} {_value(text[start:end], kind)}")
-                    left, right = text[max(0, start - 40 * REACH) : start].lower().split()[-REACH:], text[end : end + 40 * REACH].lower().split()[:REACH]
-                    before, after = _hash(" ".join(left)), _hash(" ".join(right))
-                    for term in (None, *sorted({t for t in _TERM.findall(" ".join([*left, *right])) if not _DIGIT.search(t)})):
-                        rows.append((entity, term, before, after, doc))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return texts.select("text", "doc").mapInArrow(run, "entity long, term string, before long, after long, doc long")
-
-
-def disclosing_terms(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least_alike: int = LEAST_ALIKE) -> DataFrame:
-    """``(term, entity, disclosure)`` for the terms at or over the threshold, from counts over all different texts.
-
-    Only terms with enough evidence are counted over the corpus: a fixed-size
-    filter drops other words, and the exact join decides. Tasks add up the terms
-    of texts that have no copy; those of texts that may have one, by a second
-    filter, are sent with the text's hash, so that each text counts once.
+        for part in K.parts(batches, "text"):
+            named = [base_spans(t or "") for t in part.column("text").to_pylist()]
+            keep = [i for i, s in enumerate(named) if s]
+            if not keep:
+                continue
+            part = part.take(pa.array(keep))
+            w, rows = _Words(part.column("text")), []
+            for k, doc in enumerate(part.column("doc").to_pylist()):
+                a, b, spans = w.first[k], w.first[k + 1], named[keep[k]]
+                text = part.column("text")[k].as_py()
+                free = np.flatnonzero(_outside(w.start[a:b], w.end[a:b], spans)) + a
+                near: dict[int, set[int]] = {}
+                for start, end, kind in spans:
+                    found = near.setdefault(_hash(f"{kind} {_value(text[start:end], kind)}"), set())
+                    left, right = np.searchsorted(w.end[free], start, "right"), np.searchsorted(w.start[free], end, "left")
+                    found.update(i for i in (*free[max(0, left - REACH) : left], *free[right : right + REACH]) if w.usable[i])
+                for entity, found in near.items():
+                    rows.append((entity, None, None, doc))
+                    rows += [(entity, w.text(i), h, doc) for h, i in {int(w.hashes[i].view(np.int64)): i for i in sorted(found)}.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return texts.select("text", "doc").mapInArrow(run, "entity long, term string, h long, doc long")
+
+
+def _word_counts(texts: DataFrame, copied: np.ndarray) -> DataFrame:
+    """``(h, n_term)``: in how many different texts of ``texts(text, doc)`` each word stands.
+
+    Tasks add up the words of texts that have no copy; those of texts that may
+    have one, by the bit set ``copied``, are sent with the text's hash, so that
+    each text counts once.
     """
-    spark = documents.sparkSession
-    texts = documents.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("doc"))
+    held = texts.sparkSession.sparkContext.broadcast(copied)
+
+    def emit(h: np.ndarray, n: np.ndarray, doc: np.ndarray | None = None) -> pa.RecordBatch:
+        docs = pa.nulls(len(h), pa.int64()) if doc is None else pa.array(doc)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), docs, pa.array(n)], names=["h", "doc", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
+        for part in K.parts(batches, "text"):
+            docs = np.asarray(part.column("doc"))
+            once = np.zeros(len(docs), bool)
+            once[np.unique(docs, return_index=True)[1]] = True
+            w = _Words(part.column("text"))
+            use = w.usable & once[w.row]
+            rows, hashes = w.row[use], w.hashes[use]
+            order = np.lexsort((hashes, rows))
+            rows, hashes = rows[order], hashes[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+            rows, hashes = rows[new], hashes[new]
+            copy = sketches.in_bit_set(held.value, docs.view(np.uint64), 8 * len(held.value))[rows]
+            if copy.any():
+                yield emit(hashes[copy], np.ones(copy.sum(), np.int64), docs[rows[copy]])
+            waiting.append(hashes[~copy])
+            size += len(waiting[-1])
+            if size > _HELD_WORDS:
+                words, counts = _added(words, counts, waiting)
+                waiting, size = [], 0
+                if len(words) > _HELD_WORDS:
+                    yield emit(words, counts)
+                    words, counts = words[:0], counts[:0]
+        words, counts = _added(words, counts, waiting)
+        if len(words):
+            yield emit(words, counts)
+
+    said = texts.select("text", "doc").mapInArrow(run, "h long, doc long, n long")
+    once = said.groupBy("h", "doc").agg(F.when(F.col("doc").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    return once.groupBy("h").agg(F.sum("n").alias("n_term"))
+
+
+def _added(words: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, place = np.unique(np.concatenate([words, *more]), return_inverse=True)
+    return every, np.bincount(place, np.concatenate([counts, *[np.ones(len(m), np.int64) for m in more]]), len(every)).astype(np.int64)
+
+
+def study(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """``(term, h, entity, disclosure)`` of the terms at or over the threshold, and ``(h, n_term)`` of all words.
+
+    Both are durable tables, from counts over all different texts.
+    """
+    texts = K.small_batches(documents).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("doc")).where("text <> ''")
     seen = durable(_evidence(texts).distinct())
-    alike = F.least(F.countDistinct("before"), F.countDistinct("after")).alias("alike")
-    pairs = seen.where("term IS NOT NULL").groupBy("entity", "term").agg(alike, F.countDistinct("doc").alias("both"))
-    pairs = durable(pairs.where(F.col("alike") >= least_alike))
-    if pairs.isEmpty():
-        discard(seen)
-        return pairs.select("term", "entity", F.lit(0.0).alias("disclosure"))
-    bits = spark.sparkContext.broadcast(sketches.bit_set(pairs.select(F.xxhash64("term").alias("h")).distinct(), "h", FILTER_BITS))
-    entities = seen.where("term IS NULL").groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
-    different = durable(texts.where("text <> ''").groupBy("doc").agg(F.count("*").alias("copies")))
-    total = different.count()
-    copied = spark.sparkContext.broadcast(sketches.bit_set(different.where("copies > 1"), "doc", FILTER_BITS))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            of_copies: dict[int, list[str]] = {}
-            may = sketches.in_bit_set(copied.value, np.asarray(batch.column("doc")).view(np.uint64), FILTER_BITS)
-            for text, doc, copy in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), may, strict=True):
-                if doc not in of_copies:
-                    terms = _passing(list({t.lower() for t in _TERM.findall(text or "")}), bits.value)
-                    if copy:
-                        of_copies[doc] = terms
-                    else:
-                        counts.update(terms)
-            repeated = [(t, doc) for doc, terms in of_copies.items() for t in terms]
-            terms, n = [*counts, *(t for t, _ in repeated)], [*counts.values(), *[1] * len(repeated)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([None] * len(counts) + [d for _, d in repeated], pa.int64()), pa.array(n, pa.int64())], names=["term", "doc", "n"])
-
-    said = texts.mapInArrow(words, "term string, doc long, n long").join(pairs.select("term").distinct(), "term", "left_semi")
-    once = said.groupBy("term", "doc").agg(F.when(F.col("doc").isNull(), F.sum("n")).otherwise(1).alias("n"))
-    counted = once.groupBy("term").agg(F.sum("n").alias("n_term"))
-    scored = pairs.join(entities, "entity").join(counted, "term")
+    different = durable(texts.groupBy("doc").agg(F.count("*").alias("copies")))
+    total, copies = different.agg(F.count("*"), F.coalesce(F.sum((F.col("copies") > 1).cast("long")), F.lit(0))).first()
+    copied = sketches.bit_set(different.where("copies > 1"), "doc", sketches.bits_for(copies))
+    words = durable(_word_counts(texts, copied))
+    pairs = seen.where("h IS NOT NULL").groupBy("entity", "h").agg(F.min("term").alias("term"), F.count("*").alias("both")).where(F.col("both") >= least_texts)
+    entities = seen.where("h IS NULL").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    scored = pairs.join(entities, "entity").join(words, "h").where(2 * F.col("both") > F.col("n_term"))
     p_entity, p_term, p_both = (F.col(c) / F.lit(float(total)) for c in ("n_entity", "n_term", "both"))
     ratio = F.log(p_both / (p_entity * p_term)) / F.greatest(-F.log(p_entity), F.lit(1e-9))
-    out = durable(scored.withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"))
+    terms = durable(scored.withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("term", "h", "entity", "disclosure"))
     discard(seen)
-    discard(pairs)
     discard(different)
-    return out
+    return terms, words
+
 
+def disclosing_terms(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """``(term, h, entity, disclosure)`` for the terms at or over the threshold; ``h`` is the word's hash."""
+    terms, words = study(documents, text_col, threshold, least_texts)
+    discard(words)
+    return terms
 
-def find_spans(documents: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, spans)`` with ``spans array<struct<start, end, kind>>``; ``terms`` as from :func:`disclosing_terms`.
 
-    Terms are hashed into a fixed-size filter; a word that passes is then
-    looked up exactly by a join on the few words that passed.
+def _membership(terms: DataFrame, words: DataFrame) -> sketches.Members:
+    """Exact membership in ``terms`` among ``words``, by bit sets."""
+    listed = durable(terms.select("h").distinct())
+    others = words.select("h").join(listed, "h", "left_anti")
+    found = sketches.members(listed, others)
+    discard(listed)
+    return found
+
+
+def _spans_of(texts: pa.Array, listed: sketches.Members) -> list[list[tuple[int, int, str]]]:
+    found = [base_spans(t or "") for t in texts.to_pylist()]
+    if listed.levels:
+        w = _Words(texts)
+        use = np.flatnonzero(w.usable)
+        hits = use[listed.holds(w.hashes[use])]
+        for k in np.unique(w.row[hits]):
+            mine = hits[w.row[hits] == k]
+            mine = mine[_outside(w.start[mine], w.end[mine], found[k])]
+            found[k] = sorted([*found[k], *((int(w.start[i]), int(w.end[i]), "term") for i in mine)], key=lambda s: (s[0], KINDS.index(s[2])))
+    return found
+
+
+def find_spans(documents: DataFrame, terms: DataFrame, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, spans)`` with ``spans array<struct<start, end, kind>>``; ``terms`` and ``words`` as from :func:`study`.
+
+    ``words(h)`` are all words of ``documents``, found by a pass of their own if
+    None. They make the look-up of terms exact without moving a text.
     """
-    spark = documents.sparkSession
-    bits = spark.sparkContext.broadcast(sketches.bit_set(terms.select(F.xxhash64("term").alias("h")), "h", FILTER_BITS) if not terms.isEmpty() else None)
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = K.small_batches(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if words is None:
+        words = _word_counts(texts.select("text", F.xxhash64("text").alias("doc")).where("text <> ''"), np.zeros(sketches.LEAST_BITS // 8, np.uint8))
+    listed = texts.sparkSession.sparkContext.broadcast(_membership(terms, words))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
-    kind_sql = "array<struct<start: long, end: long, kind: string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[{"start": s, "end": e, "kind": k} for s, e, k in base_spans(t or "")] for t in batch.column("text").to_pylist()]
-            may = [bits.value is not None and bool(_passing(list({m.lower() for m in _TERM.findall(t or "")}), bits.value)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.list_(span)), pa.array(may, pa.bool_())], names=["doc_id", "text", "spans", "may"])
-
-    found = texts.mapInArrow(run, f"{texts.schema.simpleString()[7:-1].replace(':', ' ')}, spans {kind_sql}, may boolean")
-    if bits.value is None:
-        return found.drop("may")
-    listed = terms.select("term").distinct()
-    keyed = durable(found.withColumn("row", F.monotonically_increasing_id()))
-    schema = pa.schema([("row", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                said = [(m[0].lower(), m.start(), m.end()) for m in _TERM.finditer(text or "")]
-                may = set(_passing(list({t for t, _, _ in said}), bits.value))
-                rows += [(r, *x) for x in said if x[0] in may]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    more = keyed.where("may").select("row", "text").mapInArrow(words, "row long, term string, start long, end long").join(listed, "term", "left_semi")
-    more = more.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"))).alias("more"))
-    added = F.filter("more", lambda m: ~F.exists("spans", lambda s: (s.start < m.end) & (m.start < s.end)))
-    rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
-    whole = F.array_sort(F.concat("spans", F.coalesce(added, F.array().cast(kind_sql))), lambda x, y: F.when(x.start != y.start, F.signum(x.start - y.start)).otherwise(F.signum(rank(x.kind) - rank(y.kind))).cast("int"))
-    joined_rows = keyed.where("may").join(more, "row", "left").select("doc_id", "text", whole.alias("spans"))
-    return keyed.where("NOT may").select("doc_id", "text", "spans").union(joined_rows)  # other texts don't move
-
-
-def sanitise(documents: DataFrame, text_col: str = "text") -> DataFrame:
+        for part in K.parts(batches, "text"):
+            out = [[{"start": s, "end": e, "kind": k} for s, e, k in spans] for spans in _spans_of(part.column("text"), listed.value)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, spans array<struct<start: long, end: long, kind: string>>")
+
+
+def _redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
+    if not spans:
+        return text
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def sanitise(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """``documents`` with personal data replaced by its kind, ``[EMAIL]`` and so on, and disclosing terms by ``[TERM]``.
 
     The rows and columns stay; a column ``n_chars`` is set to the new length.
     Overlapping spans are replaced as one, under the first span's kind.
     """
-    terms = disclosing_terms(documents, text_col)
-    keyed = documents if terms.isEmpty() else durable(documents)
-    columns = documents.columns
-    packed = keyed.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    spanned = find_spans(packed, terms, "row", "text").select(F.col("doc_id").alias("row"), "text", "spans")
-
-    @F.pandas_udf("string")
-    def redact(texts, spans):
-        import pandas as pd
-
-        out = []
-        for text, found in zip(texts, spans, strict=True):
-            if text is None or not len(found):
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join(parts) + text[at:])
-        return pd.Series(out, dtype=object)
+    terms, words = study(documents, text_col, threshold, least_texts)
+    listed = documents.sparkSession.sparkContext.broadcast(_membership(terms, words))
+    discard(terms)
+    discard(words)
+    at = documents.columns.index(text_col)
+    length = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.parts(batches, text_col):
+            column = part.column(at)
+            clean = pa.array([_redacted(t, s) for t, s in zip(column.to_pylist(), _spans_of(column, listed.value), strict=True)], column.type)
+            columns = list(part.columns)
+            columns[at] = clean
+            if length is not None:
+                columns[length] = pa.compute.utf8_length(clean).cast(columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    clean = spanned.withColumn("clean", F.when(F.size("spans") > 0, redact("text", "spans")).otherwise(F.col("text")))
-    value = {text_col: F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
-    return clean.select(*[value.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)])
+    return K.small_batches(documents).mapInArrow(run, documents.schema)
 
 
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of every document, with counts and a digest of the patterns' spans."""
-    documents = read(spark, sf_dir, "documents")
-    found = find_spans(documents.select("doc_id", "text"), disclosing_terms(documents))
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    terms, words = study(documents)
+    found = find_spans(documents, terms, words)
+    discard(terms)
+    discard(words)
     part = lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     counts = [of_kind(k) for k in KINDS[:4]]

@@ -1,21 +1,26 @@
-"""Fixed-size summaries gathered from all tasks: counters and bit sets.
+"""Fixed-size summaries gathered from all tasks: counters, bit sets, and exact membership by a chain of bit sets.
 
-Each task sends its part as blocks, the blocks are added up as a stream, and
-only the finished summary, whose size is a parameter, reaches the driver. What
-is broadcast therefore never grows with the data.
+Parts meet block by block over many tasks, and only the finished summary, whose
+size is bounded by a parameter, reaches the driver and is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS = 32
+from tradeloom.session import discard, durable
+
+BLOCKS = 128
 BLOCK_SCHEMA = "block int, cells binary"
+#: Bits of a set for each key, and the bounds of a set's size (2**27 bits are 16 MB).
+BITS_A_KEY = 16
+LEAST_BITS, MOST_BITS = 1 << 13, 1 << 27
 _ARROW = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
 
@@ -25,7 +30,7 @@ def as_blocks(cells: np.ndarray) -> pa.RecordBatch:
 
 
 def gather(parts: DataFrame, cells: int, kind: str) -> np.ndarray:
-    """Add (``i8`` counters) or unite (``u1`` bits) the blocks of all tasks; returns an array of ``cells`` values."""
+    """Add up the counters of all tasks, block by block; returns an array of ``cells`` values."""
     size = cells // BLOCKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,52 +39,127 @@ def gather(parts: DataFrame, cells: int, kind: str) -> np.ndarray:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
                 got = np.frombuffer(raw.as_buffer(), kind)
                 mine = held.setdefault(block, np.zeros(size, kind))
-                if kind == "u1":
-                    np.bitwise_or(mine, got, out=mine)
-                else:
-                    mine += got
+                mine += got
         for block, mine in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mine.tobytes()], pa.binary())], schema=_ARROW)
 
     out = np.zeros(cells, kind)
-    for row in parts.repartition(BLOCKS, "block").mapInArrow(add, BLOCK_SCHEMA).toLocalIterator():
+    for row in parts.repartition("block").mapInArrow(add, BLOCK_SCHEMA).collect():  # as large as the summary
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(bytes(row.cells), kind)
     return out
 
 
-def bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Two places of each 64-bit key in a set of ``bits`` (a power of two)."""
-    mask = np.uint64(bits - 1)
-    return np.stack([(keys >> np.uint64(7)) & mask, (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(13)) & mask])
+def bits_for(keys: int) -> int:
+    """A power of two of at least ``BITS_A_KEY`` bits a key, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys - 1).bit_length()))
+
+
+def _set_blocks(bits: int) -> int:
+    return max(1, bits >> 21)
+
+
+def bit_places(keys: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
+    """Two places of each 64-bit key in a set of ``bits`` (a power of two), both in the block that the key's leading bits name."""
+    inside = np.uint64(bits // _set_blocks(bits))
+    base = (keys >> np.uint64(58)) % np.uint64(_set_blocks(bits)) * inside
+    if salt:
+        keys = (keys ^ (keys >> np.uint64(31)) ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD + 2 * salt)
+    return base + np.stack([keys >> np.uint64(7), keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(13)]) % inside
 
 
-def bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bits of the hashes in ``column`` (long): a bounded filter that lets every member pass."""
+def bit_set(df: DataFrame, column: str, bits: int, salt: int = 0) -> np.ndarray:
+    """Bits of the hashes in ``column`` (long): a bounded filter that lets every member pass.
+
+    The keys themselves are shuffled by block, so the work follows their number
+    and not the number of tasks that hold them.
+    """
+    blocks = _set_blocks(bits)
+    size = bits // blocks
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits, bool)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys = np.asarray(batch.column(0).drop_null()).astype(np.int64).view(np.uint64)
-            flags[bit_places(keys, bits).ravel()] = True
-        if flags.any():
-            yield as_blocks(np.packbits(flags, bitorder="little"))
-
-    return gather(df.select(F.col(column).cast("long")).mapInArrow(fill, BLOCK_SCHEMA), bits // 8, "u1")
+            keys = np.asarray(batch.column(0)).view(np.uint64)
+            at = bit_places(keys, bits, salt)
+            of = (at[0] // np.uint64(size)).astype(np.int64)
+            for k in np.unique(of):
+                held.setdefault(int(k), np.zeros(size, bool))[(at[:, of == k] % np.uint64(size)).ravel()] = True
+        for k, flags in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], schema=_ARROW)
+
+    keys = df.select(F.col(column).cast("long").alias("h")).where("h IS NOT NULL")
+    keys = keys.repartition(blocks, F.shiftrightunsigned("h", 58) % blocks) if blocks > 1 else keys.coalesce(1)
+    out = np.zeros(bits // 8, np.uint8)
+    for row in keys.mapInArrow(fill, BLOCK_SCHEMA).collect():  # as large as the set
+        out[row.block * (size // 8) : (row.block + 1) * (size // 8)] = np.frombuffer(bytes(row.cells), np.uint8)
+    return out
 
 
-def in_bit_set(packed: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    at = bit_places(keys, bits)
+def in_bit_set(packed: np.ndarray, keys: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
+    at = bit_places(keys, bits, salt)
     return np.logical_and.reduce((packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
 
 
-def may_hold(spark: SparkSession, packed: np.ndarray, bits: int):
-    """A column function: whether a hash (long) may be in the set; only the hashes leave the JVM."""
-    held = spark.sparkContext.broadcast(packed)
+@dataclass
+class Members:
+    """Which keys of a known universe are members, exactly, from a few bit sets.
+
+    The first set holds the members, the second the other keys of the universe
+    that pass the first, the third the members that pass the second, and so on
+    until nothing passes wrongly. A key is decided by the first set it fails.
+    Keys outside the universe get no promise.
+    """
+
+    levels: list[np.ndarray] = field(default_factory=list)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), len(self.levels) % 2 == 1)
+        alive = np.arange(len(keys))
+        for k, packed in enumerate(self.levels):
+            stays = in_bit_set(packed, keys[alive], 8 * len(packed), k)
+            out[alive[~stays]] = k % 2 == 1
+            alive = alive[stays]
+        return out
+
+
+def _passing(df: DataFrame, packed: np.ndarray, salt: int) -> DataFrame:
+    held = df.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column("h")).view(np.uint64)
+            yield batch.filter(pa.array(in_bit_set(held.value, keys, 8 * len(held.value), salt)))
+
+    return df.mapInArrow(run, "h long")
+
+
+def members(inside: DataFrame, outside: DataFrame, most_levels: int = 200) -> Members:
+    """Membership in ``inside(h)`` for keys of ``inside`` and ``outside(h)``, which share no key and hold no null.
+
+    Both are read once or twice; give durable tables. Sets are sized by their
+    counts; one that meets its bound passes more keys wrongly and needs more levels.
+    """
+    out, mine, others, made = Members(), inside, outside, []
+    while n := mine.count():
+        if len(out.levels) == most_levels:
+            raise RuntimeError(f"membership isn't settled after {most_levels} bit sets of {MOST_BITS} bits")
+        salt = len(out.levels)
+        out.levels.append(bit_set(mine, "h", bits_for(n), salt))
+        mine, others = durable(_passing(others, out.levels[-1], salt)), mine
+        made.append(mine)
+    for used in made:
+        discard(used)
+    return out
+
+
+def member_column(spark: SparkSession, found: Members):
+    """A column function: whether a hash (long) is a member; only the hashes leave the JVM."""
+    held = spark.sparkContext.broadcast(found)
 
     @F.pandas_udf("boolean")
-    def passes(keys):
+    def holds(keys):
         import pandas as pd
 
-        return pd.Series(in_bit_set(held.value, keys.to_numpy(np.int64).view(np.uint64), bits).astype(bool))
+        return pd.Series(held.value.holds(keys.to_numpy(np.int64).view(np.uint64)).astype(bool))
 
-    return passes
+    return holds

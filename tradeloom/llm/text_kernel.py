@@ -24,6 +24,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Lower-cases A-Z, leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Word bytes: ASCII letters, digits and all non-ASCII bytes.
+WORD = np.zeros(256, bool)
+WORD[128:] = WORD[48:58] = WORD[65:91] = WORD[97:123] = True
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U64)
 
 
@@ -37,8 +40,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to send tasks few rows at a time, as a row may be a long text."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """``df``, its session set to send tasks few rows at a time, as a row may be a long text.
+
+    Every operator that sends texts to Python calls this, so that none depends
+    on what ran before; a smaller figure that the session has is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
     return df
 
 
@@ -54,6 +63,18 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Ite
         at = end
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut into :func:`slices`."""
+    for batch in batches:
+        for a, b in slices(batch, column):
+            yield batch.slice(a, b - a)
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place."""
+    return np.concatenate([[0], np.cumsum(flags)])
+
+
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its row offsets; null counts as empty."""
     col = col.fill_null("") if col.null_count else col
