@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.session import durable
+from tradeloom.session import discard, durable
 
 
 def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = _star(both, True).where("a <> b").distinct()
         # stars keep every node that is not a centre; lone self-edges are dropped and centres come back at the end
         small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False).where("a <> b").distinct()
-        state = durable(small)
+        old, state = state, durable(small)
+        discard(old)
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
