@@ -180,7 +180,7 @@ def test_reparameterised_questions_are_found(spark, docs, empty):
 
 def test_packing_is_an_exact_round_trip(docs, empty):
     rows = packing.pack_documents(docs, 64, keep_ids=True).collect()
-    coder = token_ids.PieceEncoder(token_ids.vocabulary_path())
+    coder = token_ids.TextEncoder(token_ids.vocabulary_path())
     want = sorted((r.doc_id if r.doc_id is not None else -1, ids + b"\0\0\0\0") for r, ids in zip(docs.collect(), coder.encode([r.text or "" for r in docs.collect()]), strict=True))
     fills, by = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -200,10 +200,17 @@ def test_packing_is_an_exact_round_trip(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_piece_cache_gives_the_tokenizers_ids():
-    coder = token_ids.PieceEncoder(token_ids.vocabulary_path())
-    texts = ["", " ", "  a  b \n c", "a \n b", "\n\n x  ", "é  b  c", " lead", "don't  I'll \t we've", "x" * 5000 + " y", "<|endoftext|> hi", "a\x1c b", "1 2  3\r\n 4", BASE, BASE + "\nNext line."]
-    assert list(coder.encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def test_fast_library_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    coder = token_ids.TextEncoder(token_ids.vocabulary_path())
+    own = Tokenizer.from_file(token_ids.vocabulary_path())
+    texts = ["", " ", "  a  b \n c", "a \n b", "\n\n x  ", "é  b  c", " lead", "don't  I'll \t we've", "x" * 5000 + " y", "<|endoftext|> hi", "a\x1c b", "1 2  3\r\n 4", BASE, BASE + "\nNext line.", "a" + " " * 200_000 + "b", "9" * 40_000]
+    odd = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "'s", "'S", "'ll", "a", "B", "é", "ß", "1", "٣", "²", "½", "_", "-", ".", "中", "\u0301", "😀", "\x00", "\x7f"]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(odd, rng.integers(0, 15))) for _ in range(3000)]
+    texts += [f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}b  {chr(c)}." for c in range(0, 0x3000)]
+    assert list(coder.encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_sum_of_squares_picks_the_least_change():
@@ -328,7 +335,7 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
     groups = plain_components(pool, 5, 80)
     left = [(i, t) for (i, t), (_, _, c) in zip(pool, groups, strict=True) if c == i and item not in t]
     clean = {i: t.replace("some.one@mail.org", "[EMAIL]") for i, t in left}
-    coder = token_ids.PieceEncoder(token_ids.vocabulary_path())
+    coder = token_ids.TextEncoder(token_ids.vocabulary_path())
     want = {i: len(ids) // 4 + 1 for i, ids in zip(clean, coder.encode(list(clean.values())), strict=True)}
     got: dict = defaultdict(int)
     for r in corpus_pipeline.run(spark, str(d)).collect():

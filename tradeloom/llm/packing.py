@@ -192,7 +192,6 @@ def pack_documents(
                 yield from flush()
         packer.finish()
         yield from flush()
-        token_ids.rest()
 
     out = ", ".join(f"{c} long" for c in names) + (", ids array<long>" if keep_ids else "")
     return K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)

@@ -123,7 +123,7 @@ def _features_of(texts: DataFrame, model: QualityModel) -> DataFrame:
             x = [shared.value.features((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], schema=schema)
 
-    return texts.select("rank", "y", "text").mapInArrow(run, "rank long, y int, x array<double>")
+    return K.small_batches(texts).select("rank", "y", "text").mapInArrow(run, "rank long, y int, x array<double>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:
@@ -168,14 +168,12 @@ def score_documents(documents: DataFrame, model: QualityModel, threshold: float
     """``documents`` with ``score`` (probability of good text) and ``predicted``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = [shared.value.features((t.as_py() or "").encode()) for t in texts]
+        return pa.array(shared.value.score(np.array(x)) if x else [], pa.float64())
 
-        x = [shared.value.features((t or "").encode()) for t in texts]
-        return pd.Series(shared.value.score(np.array(x)) if x else [], dtype=float)
-
-    return documents.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return K.small_batches(documents).withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -156,10 +156,8 @@ def member_column(spark: SparkSession, found: Members):
     """A column function: whether a hash (long) is a member; only the hashes leave the JVM."""
     held = spark.sparkContext.broadcast(found)
 
-    @F.pandas_udf("boolean")
-    def holds(keys):
-        import pandas as pd
-
-        return pd.Series(held.value.holds(keys.to_numpy(np.int64).view(np.uint64)).astype(bool))
+    @F.arrow_udf("boolean")
+    def holds(keys: pa.Array) -> pa.Array:
+        return pa.array(held.value.holds(np.asarray(keys.fill_null(0)).view(np.uint64)))
 
     return holds

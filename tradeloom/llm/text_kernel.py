@@ -51,7 +51,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most_bytes`` of text each (one row at least), so that memory is bounded by the longest text."""
     col = batch.column(column)
     lengths = np.asarray(pa.compute.binary_length(col).fill_null(0))

@@ -84,10 +84,9 @@ def section_tokens(documents: DataFrame, tokenizer: str | None = None, id_col: s
                 if columns[0]:
                     arrays = [pa.array([None if v is None else int(v) for x in columns[0] for v in x], pa.int64())] + [pa.array(np.concatenate(c).astype(np.int64)) for c in columns[1:]]
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-        token_ids.rest()
 
     extra = [F.col(bounds_col).alias("bounds")] if bounds_col else []
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, ", ".join(f"`{c}` long" for c in names))
+    return K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, ", ".join(f"`{c}` long" for c in names))
 
 
 def op9_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,36 +1,24 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded cache of space-separated pieces.
-
-The byte-level vocabulary's split rule never carries a token over a space that
-follows a visible character, so a text can be cut at those spaces and each
-piece encoded by itself; a piece met before costs a dictionary look-up. New
-pieces are encoded many at a time, as one text that is cut again by the tokens'
-byte lengths, by the faster of two libraries with the same vocabulary and split
-rule; pieces with runs of white space go through the tokenizer file's own
-library. The ids are the tokenizer's own for the whole text.
+"""Token ids of whole texts by a public byte-level tokenizer file.
+
+The file's vocabulary and split rule are given to the faster of two libraries,
+which encodes each whole text; a probe at the start and a test over odd
+characters hold the ids against the file's own library. Texts that hold the
+written form of one of the file's added tokens, or a run of white space on which
+the fast library's split rule gives up, go through the file's own library.
 """
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
-import threading
 from collections.abc import Iterator
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of one generation of the cache; a worker holds two generations at most.
-CACHE_ENTRIES = 600_000
-#: Seconds after a task's end at which an idle worker gives its cache up.
-IDLE_SECONDS = 2.0
-_LONG = 64
-_ODD_SPACE = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S) ")
-_MIXED = re.compile(r"\s\s|^\s|\s$|^$")
-_workers: dict[str, PieceEncoder] = {}
-_timer: threading.Timer | None = None
+_PROBE = ["It's 12.50€, naïve\nWörter — (test)!", "a\nb c", "don't###", "", "  two \t  spaces \n\n "]
+_LONG_SPACE = re.compile(r"\s{1000}")
+_workers: dict[str, TextEncoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -39,106 +27,49 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def split_pieces(text: str) -> list[str]:
-    """Pieces whose join by a space is the text; each but the first stands for a space and itself."""
-    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-
-
-class _Generations:
-    """A bounded look-up: when it is full it becomes the old generation, from which what is used again moves on."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys to be learned; all others are in ``new`` afterwards."""
-        if len(self.new) + len(keys) > CACHE_ENTRIES:
-            self.new, self.old = {}, self.new
-        out = keys - self.new.keys()
-        again = out & self.old.keys()
-        for k in again:
-            self.new[k] = self.old[k]
-        return list(out - again)
-
+class TextEncoder:
+    """Holds one vocabulary; no state grows with the texts."""
 
-class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = _Generations()
-        self.lengths = token_bytes(path)
+        self.path, self._own = path, None
+        own = self.own()
+        every = own.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(every.values()) + 1, np.int64)
+        for word, k in every.items():
+            self.lengths[k] = len(word)  # the printable form has one character a byte
         byte_of = {c: b for b, c in enumerate(_printable_bytes())}
-        ranks = {bytes(map(byte_of.__getitem__, word)): k for word, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in word)}
-        self.fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        probe = ["It's 12.50€, naïve\nWörter — (test)!", "a\nb c", "don't###"]
-        if [self.fast.encode_ordinary(t) for t in probe] != [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]:
+        plain = own.get_vocab(with_added_tokens=False)
+        ranks = {bytes(map(byte_of.__getitem__, word)): k for word, k in plain.items() if all(c in byte_of for c in word)}
+        self.added = [t.content for t in own.get_added_tokens_decoder().values()]
+        self.fast = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if [self.fast.encode_ordinary(t) for t in _PROBE] != [e.ids for e in own.encode_batch(_PROBE, add_special_tokens=False)]:
             raise ValueError(f"{path} isn't a byte-level vocabulary with the usual split rule")
+        self._own = None
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, each with the space before it."""
-        odd = [w for w in new if _MIXED.search(w)]
-        out = dict(zip(odd, self._whole([" " + w for w in odd]), strict=True))
-        plain = [w for w in new if w not in out] if odd else new
-        for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
-            text = " " + " ".join(part)
-            ids = np.array(self.fast.encode_ordinary(text), "<u4")
-            sizes = map(len, part) if text.isascii() else (len(w.encode()) for w in part)
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([n + 1 for n in sizes])) + 1
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(part, (4 * cuts).tolist(), strict=True):
-                out[w] = raw[a:b]
-                a = b
-        return out
+    def own(self):
+        """The file's own library, loaded when a text needs it."""
+        if self._own is None:
+            from tokenizers import Tokenizer
+
+            self._own = Tokenizer.from_file(self.path)
+        return self._own
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [split_pieces(t) for t in texts]
-        heads = self._whole([p[0] for p in parts])
-        words: set[str] = set()
-        for p in parts:
-            words.update(p[1:])
-        held = self.pieces  # an idle worker's timer may put a new one in its place
-        new = self._learn(held.missing(words))
-        known = held.new
-        known.update((w, ids) for w, ids in new.items() if len(w) <= _LONG)
-        long = {w: ids for w, ids in new.items() if len(w) > _LONG}
-        find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
-        for head, p in zip(heads, parts, strict=True):
-            yield head + b"".join(map(find, p[1:]))
-
-
-def rest() -> None:
-    """At a task's end: the cache serves tasks that follow at once, an idle worker frees it."""
-    global _timer
-
-    def free() -> None:
-        for e in _workers.values():
-            e.pieces = _Generations()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # hand freed memory back to the system
-            trim(0)
-
-    _timer = threading.Timer(IDLE_SECONDS, free)
-    _timer.daemon = True
-    _timer.start()
-
-
-def encoder(path: str) -> PieceEncoder:
+        for text in texts:
+            odd = _LONG_SPACE.search(text) or any(a in text for a in self.added)
+            ids = self.own().encode(text, add_special_tokens=False).ids if odd else self.fast.encode_ordinary(text)
+            yield np.array(ids, "<u4").tobytes()
+
+
+def encoder(path: str) -> TextEncoder:
     """The worker's encoder, kept from task to task."""
-    if _timer is not None:
-        _timer.cancel()
     if path not in _workers:
-        _workers[path] = PieceEncoder(path)
+        _workers[path] = TextEncoder(path)
     return _workers[path]
 
 
@@ -147,14 +78,3 @@ def _printable_bytes() -> list[str]:
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = [b for b in range(256) if b not in shown]
     return [chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)]
-
-
-def token_bytes(path: str) -> np.ndarray:
-    """The number of text bytes of each id of a byte-level vocabulary, whose printable form has one character a byte."""
-    from tokenizers import Tokenizer
-
-    words = Tokenizer.from_file(path).get_vocab()
-    out = np.zeros(max(words.values()) + 1, np.int64)
-    for word, k in words.items():
-        out[k] = len(word)
-    return out

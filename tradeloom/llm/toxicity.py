@@ -113,7 +113,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_positive: int = MOST_POSIT
     ids = documents.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").where(labelled.fold("id") != 0).distinct()
     positive = labelled.sample(rows.where("y = 1").select("id"), most_positive).withColumn("toxic", F.lit(1))
     others = labelled.sample(ids, most_unlabelled, 1).withColumn("toxic", F.lit(0))
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = K.small_batches(documents).select(F.col("doc_id").cast("long").alias("id"), "text")
     held = durable(texts.join(F.broadcast(positive.unionByName(others)), "id").select("toxic", "text"))  # its bound: the two limits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def score_documents(documents: DataFrame, model: ToxicityModel, threshold: float
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(part.column("text")))], schema=schema)
 
-    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = K.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
