@@ -11,6 +11,7 @@ from tradeloom.operators import propagate as P
 from tradeloom.operators import risk as R
 from tradeloom.operators import scenario as S
 
+# A graph of five companies and, in the tests, the results it must give.
 FIVE = [("A", "B", 0.3), ("A", "D", 0.2), ("D", "B", 0.3), ("D", "E", 0.4), ("B", "C", 0.5), ("B", "A", 0.2)]
 
 
@@ -59,6 +60,32 @@ def test_large_components_take_the_round_by_round_way(spark):
     assert pairs(P.propagate_closed(edges, init, block_limit=1)) == pytest.approx(pairs(P.propagate_closed(edges, init)), abs=1e-5)
 
 
+def test_large_components_are_damped_each_by_itself(spark):
+    rates = [("a", "b", 1.0), ("b", "a", 1.0), ("x", "y", 0.5), ("y", "x", 0.5), ("b", "u", 0.4), ("u", "v", 1.2), ("v", "u", 1.2), ("v", "w", 0.3), ("p", "p", 1.0)]
+    edges = spark.createDataFrame(rates, "src string, dst string, rate double")
+    init = spark.createDataFrame([("a", 1.0), ("x", 1.0), ("p", 2.0)], "node string, value double")
+    blocks, rounds = ({r.node: (r.value, r.damped) for r in P.propagate_closed(edges, init, block_limit=k).collect()} for k in (2000, 1))
+    assert rounds == {k: (pytest.approx(v, abs=2e-6), d) for k, (v, d) in blocks.items()}
+    assert rounds["x"] == (pytest.approx(1.333333, abs=1e-6), 0) and rounds["a"][1] == 1 and rounds["u"][1] == 4
+
+
+def test_cumulative_averages_serve_both_networks(spark):
+    rng = np.random.default_rng(7)
+    score = [None, 2, 4, 5, 3, 7, None, 1]
+    m = {side: np.triu(rng.random((8, 8)) * (rng.random((8, 8)) < 0.6), 1) / 4 for side in ("sell", "buy")}
+    m["sell"][5, 1], m["buy"] = 0.2, m["buy"].T
+    frames = [spark.createDataFrame([(i, j, float(w[i, j])) for i in range(8) for j in range(8) if w[i, j]], "src int, dst int, rate double") for w in m.values()]
+    nodes = spark.createDataFrame(list(enumerate(score)), "node int, score int")
+    got = {r.node: r for r in R.cumulative_averages(nodes, *frames).collect()}
+    for side, w in m.items():
+        total = np.linalg.inv(np.eye(8) - w) - np.eye(8)
+        np.fill_diagonal(total, 0)
+        graded = np.array([s is not None for s in score], float)
+        valid, exposure = total @ graded, total @ np.array([s or 0 for s in score], float)
+        want = [exposure[i] / valid[i] if valid[i] > 1e-12 else None for i in range(8)]
+        assert [got[i][f"{side}_average"] for i in range(8)] == [None if x is None else pytest.approx(x, abs=1e-7) for x in want]
+
+
 def test_components_paths_and_centrality_match_brute_force(spark):
     rng = np.random.default_rng(5)
     n = 14

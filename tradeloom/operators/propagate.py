@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.operators.graph import nodes_of, strong_components
-from tradeloom.session import durable
+from tradeloom.operators.rounds import AT_ONCE, advance
+from tradeloom.session import discard, durable
 
 
 @dataclass
@@ -29,37 +30,55 @@ def propagate(edges: DataFrame, init: DataFrame, epsilon: float = 1e-8, max_iter
     not converged. All nodes of ``init`` are in the result.
     """
     arcs = durable(edges.groupBy("src", "dst").agg(F.sum("rate").alias("rate")))
-    term = durable(init.groupBy("node").agg(F.sum("value").alias("value")))
-    total = term
-    held, table, rounds, converged = 0, [], 0, False
-    running = float(term.agg(F.sum("value")).first()[0] or 0.0)
-    while rounds < max_iter:
+    start = durable(init.groupBy("node").agg(F.sum("value").alias("value")))
+
+    def one_round(term: DataFrame) -> DataFrame:
         sent = term.join(arcs, term.node == arcs.src).select(F.col("dst").alias("node"), (F.col("value") * F.col("rate")).alias("value")).where(F.abs("value") > epsilon)
-        term = durable(sent.groupBy("node").agg(F.sum("value").alias("value")))
-        n, s, most = term.agg(F.count("*"), F.sum("value"), F.max(F.abs("value"))).first()
-        if not n:
-            converged = True
-            break
-        rounds += 1
-        running += s
-        table.append((rounds, s, running, most))
-        total, held = total.unionByName(term), held + 1
-        if held == 16:  # keeps the final sum's plan short
-            total, held = durable(total.groupBy("node").agg(F.sum("value").alias("value"))), 0
+        return sent.groupBy("node").agg(F.sum("value").alias("value"))
+
+    term, total, made = start, start, [start]
+    table, converged = [], False
+    running = float(start.agg(F.sum("value")).first()[0] or 0.0)
+    while not converged and len(table) < max_iter:
+        asked = min(AT_ONCE, max_iter - len(table))
+        terms, before = advance(term, one_round, len(table) + 1, asked), len(table)
+        made.append(terms)
+        for r in terms.groupBy("round").agg(F.sum("value").alias("s"), F.max(F.abs("value")).alias("most")).orderBy("round").collect():
+            running += r.s
+            table.append((r.round, r.s, running, r.most))
+        total = total.unionByName(terms.select("node", "value"))
+        term = terms.where(F.col("round") == len(table)).select("node", "value")
+        converged = len(table) - before < asked  # a round moved nothing
+        if len(made) > 16:  # keeps the final sum's plan short
+            total = durable(total.groupBy("node").agg(F.sum("value").alias("value")))
+            for used in made[:-1]:
+                discard(used)
+            made = [total, made[-1]]
     values = durable(total.groupBy("node").agg(F.sum("value").alias("value")))
-    return Propagated(values, rounds, converged, running, table)
+    for used in (arcs, *made):
+        discard(used)
+    return Propagated(values, len(table), converged, running, table)
 
 
 def fixed_rounds(edges: DataFrame, init: DataFrame, rounds: int, columns: list[str] = ("value",), include_start: bool = True) -> DataFrame:
     """``sum over k <= rounds of W^k v`` for several vectors at once, without a stop test."""
     arcs = durable(edges.groupBy("src", "dst").agg(F.sum("rate").alias("rate")))
-    term = durable(init.groupBy("node").agg(*[F.sum(c).alias(c) for c in columns]))
-    total = term if include_start else None
-    for _ in range(rounds):
-        sent = term.join(arcs, term.node == arcs.src).groupBy(F.col("dst").alias("node")).agg(*[F.sum(F.col(c) * F.col("rate")).alias(c) for c in columns])
-        term = durable(sent)
-        total = term if total is None else total.unionByName(term)
-    return total.groupBy("node").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = [F.sum(c).alias(c) for c in columns]
+    start = durable(init.groupBy("node").agg(*sums))
+
+    def one_round(term: DataFrame) -> DataFrame:
+        return term.join(arcs, term.node == arcs.src).groupBy(F.col("dst").alias("node")).agg(*[F.sum(F.col(c) * F.col("rate")).alias(c) for c in columns])
+
+    term, total, made = start, start if include_start else start.limit(0), [arcs, start]
+    for done in range(0, rounds, AT_ONCE):
+        terms = advance(term, one_round, done + 1, min(AT_ONCE, rounds - done))
+        term = terms.where(F.col("round") == done + AT_ONCE).drop("round")
+        total = durable(total.unionByName(terms.drop("round")).groupBy("node").agg(*sums))
+        made += [terms, total]
+    out = durable(total.groupBy("node").agg(*sums))
+    for used in made:
+        discard(used)
+    return out
 
 
 def _block(pdf, damping: float):
@@ -85,11 +104,18 @@ def condensation_levels(edges: DataFrame, components: DataFrame, max_rounds: int
     a, b = components.select(F.col("node").alias("src"), F.col("component").alias("c1")), components.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
     arcs = durable(edges.join(a, "src").join(b, "dst").where("c1 <> c2").select("c1", "c2").distinct())
     state = durable(components.select("component").distinct().withColumn("level", F.lit(0)))
-    for k in range(1, max_rounds):
-        up = state.where(F.col("level") == k - 1).join(arcs, F.col("component") == F.col("c1")).select(F.col("c2").alias("component"), F.lit(k).alias("level")).distinct()
-        if up.isEmpty():
+
+    def one_round(now: DataFrame) -> DataFrame:
+        up = now.join(arcs, F.col("component") == F.col("c1")).select(F.col("c2").alias("component"), (F.col("level") + 1).alias("level"))
+        return now.select("component", "level").unionByName(up).groupBy("component").agg(F.max("level").alias("level"))
+
+    for done in range(0, max_rounds, AT_ONCE):
+        after = advance(state, one_round, done + 1)
+        sums = [r.s for r in after.groupBy("round").agg(F.sum("level").alias("s")).orderBy("round").collect()]
+        discard(state)
+        state = after.where(F.col("round") == done + AT_ONCE).select("component", "level")
+        if not sums or sums[-1] == sums[-2]:
             return state
-        state = durable(state.unionByName(up).groupBy("component").agg(F.max("level").alias("level")))
     raise RuntimeError("levels did not settle")
 
 
@@ -97,8 +123,9 @@ def propagate_closed(edges: DataFrame, init: DataFrame, damping: float = 0.95, b
     """``(node, value, damped)`` by strong components, upstream first; values rounded to 6 digits, zeros dropped.
 
     Blocks up to ``block_limit`` nodes are solved each in one task. A larger
-    component never meets in one task: its rates are damped by a spectral
-    radius estimate and its sum is made round by round.
+    component never meets in one task: its spectral radius comes from bounds
+    that close round by round, its rates are damped by themselves, as a block's
+    are, and its system is solved by iteration, with all of a level's at once.
     """
     arcs = durable(edges.groupBy("src", "dst").agg(F.sum("rate").alias("rate")))
     start = init.groupBy("node").agg(F.sum("value").alias("value"))
@@ -124,22 +151,57 @@ def propagate_closed(edges: DataFrame, init: DataFrame, damping: float = 0.95, b
         links = own.where(F.col("size") <= block_limit).join(live, "component", "left_semi").join(here.select("component").distinct(), "component", "left_semi").select("component", F.lit("edge").alias("kind"), F.col("src").alias("node"), "dst", F.col("rate").alias("value"))
         kind = dict(scc.dtypes)["node"]
         part = small.unionByName(links).groupBy("component").applyInPandas(lambda pdf: _block(pdf, damping), f"node {kind}, value double, damped long")
-        big = b.where(F.col("size") > block_limit)
+        big = durable(b.where(F.col("size") > block_limit).select("component", "node", "value"))
         if not big.isEmpty():
-            huge = own.where(F.col("size") > block_limit).select("src", "dst", "rate")
-            radius, times = spectral_radius(huge, 60), 0
-            while radius * damping**times >= 1 - 1e-12:
-                times += 1
-            more = propagate(huge.withColumn("rate", F.col("rate") * damping**times), big.select("node", "value"), epsilon, max_iter)
-            if not more.converged:
-                raise RuntimeError("a large component's sum did not converge")
-            part = part.unionByName(more.values.withColumn("damped", F.lit(times).cast("long")))
+            rates = own.where(F.col("size") > block_limit).join(big.select("component").distinct(), "component", "left_semi")
+            times = durable(damping_times(rates, damping))
+            damped = rates.join(times, "component").select(F.col("dst").alias("i"), F.col("src").alias("j"), (F.col("rate") * F.pow(F.lit(damping), "damped")).alias("w"))
+            solved = solve(damped, big.select(F.col("node").alias("i"), F.col("value").alias("b")), epsilon, max_iter)
+            part = part.unionByName(solved.withColumnsRenamed({"i": "node", "x": "value"}).join(big.select("node", "component"), "node").join(times, "component").select("node", "value", "damped"))
         part = durable(part)
         result = part if result is None else result.unionByName(part)
     out = result.unionByName(lonely.withColumn("damped", F.lit(0).cast("long"))) if result is not None else lonely.withColumn("damped", F.lit(0).cast("long"))
     return out.select("node", F.round("value", 6).alias("value"), "damped").where("value <> 0")
 
 
+def damping_times(rates: DataFrame, damping: float, tolerance: float = 1e-9, max_rounds: int = 4000) -> DataFrame:
+    """``(component, damped)``: how often each strong component of ``rates(component, src, dst, rate)`` is damped until its spectral radius is under 1.
+
+    Power iteration on I + M, whose least and greatest growth bound the radius
+    of a component with non-negative rates; it ends when either bound gives the
+    same count. A radius within ``tolerance`` of 1 counts as 1. Bounds that
+    don't close are an error.
+    """
+    arcs = durable(rates.select("component", "src", "dst", "rate"))
+    ends = arcs.select("component", F.col("src").alias("node")).unionByName(arcs.select("component", F.col("dst").alias("node"))).distinct()
+    state = durable(ends.withColumn("x", F.lit(1.0)).withColumn("growth", F.lit(0.0)))
+
+    def one_round(now: DataFrame) -> DataFrame:
+        came = now.join(arcs.drop("component"), now.node == arcs.src).select("component", F.col("dst").alias("node"), (F.col("x") * F.col("rate")).alias("y"), F.lit(0.0).alias("x"))
+        y = now.select("component", "node", F.col("x").alias("y"), "x").unionByName(came).groupBy("component", "node").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
+        return y.select("component", "node", F.col("y").alias("x"), (F.col("y") / F.col("x")).alias("growth"))
+
+    def times(growth: str):
+        """The least k with radius * damping ** k under 1."""
+        radius = F.col(growth) - 1
+        over = F.floor(F.log(F.greatest(radius, F.lit(1.0)) + tolerance) / -F.log(F.lit(damping))) + 1
+        return F.when(radius < 1 - tolerance, 0).otherwise(over).cast("long")
+
+    for done in range(0, max_rounds, AT_ONCE):
+        after = advance(state, one_round, done + 1)
+        last = after.where(F.col("round") == done + AT_ONCE)
+        bounds = durable(last.groupBy("component").agg(F.min("growth").alias("low"), F.max("growth").alias("high"), F.max("x").alias("most")))
+        if bounds.where((F.col("high") - F.col("low") > tolerance) & (times("low") != times("high"))).isEmpty():
+            discard(state)
+            discard(after)
+            return bounds.select("component", times("high").alias("damped"))
+        scaled = durable(last.join(bounds.select("component", "most"), "component").select("component", "node", (F.col("x") / F.col("most")).alias("x"), "growth"))
+        for used in (state, after, bounds):
+            discard(used)
+        state = scaled
+    raise RuntimeError(f"spectral radii aren't known after {max_rounds} rounds")
+
+
 def dispatch(method: str, edges: DataFrame, init: DataFrame, **options) -> DataFrame:
     """``(node, value)`` by 'iterative' or 'closed'; options of the other method are dropped."""
     if method == "iterative":
@@ -153,15 +215,25 @@ def spectral_radius(edges: DataFrame, rounds: int = 30) -> float:
     """An estimate for non-negative rates by power iteration on I + M, minus 1, so that periodic blocks settle too."""
     arcs = durable(edges.select("src", "dst", "rate"))
     state = durable(nodes_of(arcs).withColumn("x", F.lit(1.0)))
-    most = 0.0
-    for _ in range(rounds):
-        came = state.join(arcs, state.node == arcs.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("rate")).alias("y"))
-        new = durable(state.join(came, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x")))
-        most = new.agg(F.max("x")).first()[0] or 0.0
-        if not most:
+
+    def one_round(now: DataFrame) -> DataFrame:
+        came = now.join(arcs, now.node == arcs.src).select(F.col("dst").alias("node"), (F.col("x") * F.col("rate")).alias("x"))
+        return now.select("node", "x").unionByName(came).groupBy("node").agg(F.sum("x").alias("x"))
+
+    most = before = 1.0
+    for done in range(0, rounds, AT_ONCE):
+        n = min(AT_ONCE, rounds - done)
+        after = advance(state, one_round, done + 1, n)
+        tops = {r.round: r.top for r in after.groupBy("round").agg(F.max("x").alias("top")).collect()}
+        if not tops:
             return 0.0
-        state = new.withColumn("x", F.col("x") / most)
-    return most - 1.0
+        before, most = tops.get(done + n - 1, 1.0), tops[done + n]
+        old, state = state, durable(after.where(F.col("round") == done + n).select("node", (F.col("x") / most).alias("x")))
+        discard(old)
+        discard(after)
+    discard(arcs)
+    discard(state)
+    return most / before - 1.0
 
 
 def row_normalise(edges: DataFrame) -> DataFrame:
