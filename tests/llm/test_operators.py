@@ -258,6 +258,98 @@ def test_order_matters_to_fingerprints(spark):
     assert df.select(order_minhash.likeness(F.col("sa"), F.col("sa"))).first()[0] == 1.0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+
+
+def test_whole_notices_are_named_however_they_are_set(spark):
+    v2, lesser = GPL.replace("version 3", "version 2").replace("software:", "software;"), GPL.replace("General Public", "Lesser General Public")
+    affero = GPL.replace("GNU General", "GNU Affero General")
+    notices = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": v2, "LGPL-3.0-or-later": lesser, "AGPL-3.0-or-later": affero, "MPL-2.0": MPL, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD3, "ISC": ISC}
+    ways = {
+        "as it is": lambda t: t,
+        "one line a paragraph": lambda t: "\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+        "one line": lambda t: " ".join(t.split()),
+        "hash comments": lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")),
+        "star comments": lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */",
+        "dashes, other line ends": lambda t: "\r\n".join(f"-- {x}".rstrip() for x in t.split("\n")),
+        "under a copyright line": lambda t: f"Copyright (c) 2020 Some One\n{t}\nint main() {{}}",
+        "in prose": lambda t: f"Some words come before.\n\n{t}\n\nSome words come after it. And more",
+    }
+    rows = [(f"{way}: {name}", set_as(text), name) for name, text in notices.items() for way, set_as in ways.items()]
+    got = {r.k: (r.name, list(r.licences)) for r in licences.scan(spark.createDataFrame(rows, "k string, text string, name string")).collect()}
+    assert {k: found for k, (name, found) in got.items() if found != [name]} == {}
+
+
+def test_licence_columns_of_the_same_name_are_replaced(spark):
+    table = spark.createDataFrame([(1, "MIT License", "x", 2)], "n_sentences int, text string, licences string, `a b` int")
+    row = licences.scan(table).first()
+    assert (row.n_sentences, row.sentence_ids, row.licences, row["a b"]) == (1, ["MitTitle"], ["MIT"], 2)
+
+
 def test_licence_rules_consume_sentences(spark, docs, empty):
     text = "Intro text.\nMIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\nAll rights reserved."
     got = licences.scan(spark.createDataFrame([(1, text), (2, None), (3, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string"))

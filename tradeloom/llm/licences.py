@@ -1,18 +1,25 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and known licence sentences
-get an identifier from a table. The sequence of identifiers of a text is then
-matched against licence rules in their order: a rule that finds its sequence
+A text is cut into sentences at blank lines (lines without an ASCII letter or
+digit, such as a lone comment mark) and after full stops and the like; a line
+end inside a sentence counts as a space, so wrapped and commented notices read
+as if they stood on one line. A normalised sentence that the table knows gives
+its identifier. One that it doesn't know is tried again without its first line
+(a title or copyright line above a notice), then line by line, so that a notice
+of one line needs no full stop around it. The sequence of identifiers of a text
+is matched against licence rules in their order: a rule that finds its sequence
 of identifiers takes it out, so that a later and more general rule can't count
 it again. Unknown sentences don't break a sequence.
 
 Everything happens within a row; nothing is shuffled or joined. Null and empty
 texts have no sentences. Repeated rows are scanned each; extra columns stay in
-:func:`scan`. A very long text is one array of its sentences.
+:func:`scan`, whose own three columns replace those of the same name. A very
+long text is one array of its sentences.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +27,57 @@ from pyspark.sql import functions as F
 
 from tradeloom.session import read
 
-#: Normalised sentences of well-known licence notices and their identifiers.
+#: What becomes one space inside a sentence, what is dropped at its edges, and marks that stand alone.
+_NOISE, _EDGE, _LONE = "[^a-z0-9.+-]+", "^[ .+-]+|[ .+-]+$", " [.+-]+ "
+#: Where a sentence ends, and a "v." that ends none.
+_END = "\\n[^A-Za-z0-9\\n]*\\n|[.!?;:]+[ \\t\\r\\n]+"
+_VERSION = "([ ,(])[vV]\\.[ \\t\\r\\n]+([0-9])"
+
+
+def key_of(sentence: str) -> str:
+    """A sentence as the table has it: what :func:`normalised` gives."""
+    return re.sub(_EDGE, "", re.sub(_LONE, " ", re.sub(_NOISE, " ", re.sub(_VERSION, r"\1v.\2", sentence).lower())))
+
+
+#: Sentences of the standard notices and licence texts, by identifier.
+NOTICES = [
+    ("MitGrant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("AsIs", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.'),
+    ("NoLiability", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("MitTitle", "The MIT License (MIT)"),
+    ("ApacheCopy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("ApacheAsIs", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("FreeSoftware", "This program is free software"),
+    ("FreeSoftware", "This library is free software"),
+    ("Gpl3Later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Gpl2Later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("GplRedistribute", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("Gpl3", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("Gpl2", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("Agpl3Later", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Lgpl3Later", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Lgpl21Later", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("GplHope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("GplImplied", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("GplSee", "See the GNU General Public License for more details."),
+    ("GplSee", "See the GNU Affero General Public License for more details."),
+    ("GplSee", "See the GNU Lesser General Public License for more details."),
+    ("GplCopy", "You should have received a copy of the GNU General Public License along with this program."),
+    ("GplCopy", "You should have received a copy of the GNU Affero General Public License along with this program."),
+    ("GplCopy", "You should have received a copy of the GNU Lesser General Public License along with this library"),
+    ("Mpl2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Mpl2Copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Mpl2Copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BsdSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BsdBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BsdEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdAsIs", 'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.'),
+    ("IscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("IscGrant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("IscAsIs", 'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+#: Normalised short sentences of well-known licence notices and their identifiers.
 SENTENCES = {
     "released under the mit license": "MitReleased",
     "licensed under the mit license": "MitReleased",
@@ -65,8 +122,11 @@ SENTENCES = {
     "licensed under cc0 1.0": "Cc0",
     "all rights reserved": "AllRights",
 }
+SENTENCES |= {key_of(text): name for name, text in NOTICES}
 #: Rules in the order in which they are tried.
 RULES = [
+    ("MIT", ["MitTitle", "MitGrant", "MitNotice", "AsIs", "NoLiability"]),
+    ("MIT", ["MitGrant", "MitNotice", "AsIs", "NoLiability"]),
     ("MIT", ["MitGrant", "MitNotice", "AsIs"]),
     ("MIT", ["MitTitle", "MitGrant"]),
     ("MIT", ["MitGrant", "MitNotice"]),
@@ -75,6 +135,11 @@ RULES = [
     ("Apache-2.0", ["Apache2", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["Apache2", "ApacheComply", "ApacheCopy"]),
     ("Apache-2.0", ["Apache2"]),
+    ("GPL-3.0-or-later", ["Gpl3Later"]),
+    ("GPL-2.0-or-later", ["Gpl2Later"]),
+    ("AGPL-3.0-or-later", ["Agpl3Later"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Later"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Later"]),
     ("GPL-3.0-or-later", ["GplRedistribute", "Later3", "GplHope"]),
     ("GPL-3.0-or-later", ["GplRedistribute", "Later3"]),
     ("GPL-2.0-or-later", ["GplRedistribute", "Later2"]),
@@ -83,11 +148,15 @@ RULES = [
     ("LGPL-3.0-only", ["Lgpl3"]),
     ("AGPL-3.0-only", ["Agpl3"]),
     ("MPL-2.0", ["Mpl2"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdEndorse"]),
     ("BSD-3-Clause", ["Bsd3"]),
     ("BSD-2-Clause", ["BsdGrant"]),
     ("BSD-2-Clause", ["Bsd2"]),
     ("BSD", ["Bsd"]),
+    ("ISC", ["IscGrant", "IscAsIs"]),
+    ("ISC", ["IscGrant"]),
     ("CC-BY-SA-4.0", ["CcBySa4"]),
     ("CC-BY-NC-4.0", ["CcByNc4"]),
     ("CC-BY-4.0", ["CcBy4"]),
@@ -98,11 +167,6 @@ RULES = [
     ("MIT", ["MitTitle"]),
     ("Proprietary", ["AllRights"]),
 ]
-#: Where a sentence ends: line ends, and full stops and the like before a space.
-_END = "[\\n\\r]+|[.!?;]+[ \\t]+"
-#: What becomes one space inside a sentence.
-_NOISE = "[^a-z0-9.+-]+"
-_EDGE = "^[ .+-]+|[ .+-]+$"
 
 
 def _sequence(names: list[str]) -> str:
@@ -110,25 +174,37 @@ def _sequence(names: list[str]) -> str:
 
 
 def normalised(sentence: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), _NOISE, " "), _EDGE, "")
+    spaced = F.regexp_replace(F.lower(sentence), _NOISE, " ")
+    return F.regexp_replace(F.regexp_replace(spaced, _LONE, " "), _EDGE, "")
 
 
 def scan(documents: DataFrame, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """``documents`` with ``sentence_ids`` and ``licences`` (arrays, in text order and rule order) and ``n_sentences``."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(sentences.items())])
-    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), _END), lambda s: F.length(F.trim(s)) > 0)
-    cut = documents.withColumn("__parts", parts)
-    found = F.filter(F.transform("__parts", lambda s: F.try_element_at(table, normalised(s))), lambda s: s.isNotNull())
-    named = cut.withColumn("n_sentences", F.size("__parts").cast("long")).withColumn("sentence_ids", found)
-    left = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
+    known = lambda s: F.try_element_at(table, normalised(s))
+
+    def identifiers(s: Column) -> Column:
+        """The identifiers in a sentence, joined by commas; null if there is none."""
+        lines = F.split(s, "\n")
+        first, rest = known(F.get(lines, 0)), known(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " "))
+        after = F.concat(F.coalesce(F.concat(first, F.lit(",")), F.lit("")), rest)
+        each = F.nullif(F.array_join(F.filter(F.transform(lines, known), lambda x: x.isNotNull()), ","), F.lit(""))
+        return F.coalesce(known(s), F.when(F.contains(s, F.lit("\n")), F.coalesce(after, each)))
+
+    cut = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _VERSION, "$1v.$2"), _END)
+    kept = [c for c in documents.columns if c not in ("n_sentences", "sentence_ids", "licences")]
+    parts = documents.select(*[F.col(f"`{c}`") for c in kept], F.filter(cut, lambda s: s.rlike("[^ \\t\\r\\n]")).alias("n_sentences"))
+    found = F.array_join(F.filter(F.transform("n_sentences", identifiers), lambda s: s.isNotNull()), ",")
+    parts = parts.select(*[F.col(f"`{c}`") for c in kept], F.size("n_sentences").cast("long").alias("n_sentences"), found.alias("sentence_ids"))
+    left = F.concat(F.lit(","), F.replace("sentence_ids", F.lit(","), F.lit(",,")), F.lit(","))
     hits = []
     for name, ids in rules:
         pattern = F.lit(_sequence(ids))
         hits.append(F.when(F.contains(left, pattern), F.lit(name)))
         left = F.replace(left, pattern, F.lit("|"))
     licences = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    out = named.withColumn("licences", F.when(F.size("sentence_ids") > 0, licences).otherwise(F.array().cast("array<string>")))
-    return out.drop("__parts")
+    some, nothing = F.col("sentence_ids") != "", F.array().cast("array<string>")
+    return parts.withColumns({"licences": F.when(some, licences).otherwise(nothing), "sentence_ids": F.when(some, F.split("sentence_ids", ",")).otherwise(nothing)})
 
 
 def op1_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,21 +223,33 @@ def sql() -> str:
         cases.append(f"CASE WHEN contains({left}, '{_sequence(ids)}') THEN '{name}' END AS r{k}")
         left = f"replace({left}, '{_sequence(ids)}', '|')"
     order = ", ".join(f"({k}, r{k})" for k in range(len(RULES)))
+    key = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '{_NOISE}', ' ', 'g'), '{_LONE}', ' ', 'g'), '{_EDGE}', '', 'g')"
     return f"""
 WITH known(sentence, id) AS (VALUES {quoted}),
 parts AS (
   SELECT * FROM (
-    SELECT doc_id, generate_subscripts(s, 1) AS at, unnest(s) AS part
-    FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\\n\\r]+|[.!?;]+[ \\t]+') AS s FROM documents)
-  ) WHERE length(trim(part, ' ')) > 0
+    SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS part
+    FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '{_VERSION}', '\\1v.\\2', 'g'), '{_END}') AS s FROM documents)
+  ) WHERE regexp_matches(part, '[^ \\t\\r\\n]')
+),
+whole AS (SELECT p.*, k.id FROM parts p LEFT JOIN known k ON k.sentence = {key('p.part')}),
+below AS (
+  SELECT w.doc_id, w.pos, w.part, f.id AS first, r.id AS rest
+  FROM whole w LEFT JOIN known f ON f.sentence = {key("split_part(w.part, chr(10), 1)")}
+  LEFT JOIN known r ON r.sentence = {key("substr(w.part, instr(w.part, chr(10)) + 1)")}
+  WHERE w.id IS NULL AND contains(w.part, chr(10))
+),
+single AS (SELECT doc_id, pos, generate_subscripts(l, 1) AS sub, unnest(l) AS line FROM (SELECT doc_id, pos, string_split(part, chr(10)) AS l FROM below WHERE rest IS NULL)),
+named_parts AS (
+  SELECT doc_id, pos, 0 AS sub, id FROM whole WHERE id IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 0, first FROM below WHERE rest IS NOT NULL AND first IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 1, rest FROM below WHERE rest IS NOT NULL
+  UNION ALL SELECT s.doc_id, s.pos, s.sub, k.id FROM single s JOIN known k ON k.sentence = {key('s.line')}
 ),
-ids AS (
-  SELECT p.doc_id, count(*) AS n_sentences, count(k.id) AS n_known, string_agg(k.id, ',' ORDER BY p.at) FILTER (WHERE k.id IS NOT NULL) AS sentence_ids,
-         concat(',', string_agg(k.id, ',,' ORDER BY p.at) FILTER (WHERE k.id IS NOT NULL), ',') AS seq
-  FROM parts p LEFT JOIN known k
-    ON k.sentence = regexp_replace(regexp_replace(lower(p.part), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g')
-  GROUP BY p.doc_id
+found AS (
+  SELECT doc_id, count(*) AS n_known, string_agg(id, ',' ORDER BY pos, sub) AS sentence_ids, concat(',', string_agg(id, ',,' ORDER BY pos, sub), ',') AS seq FROM named_parts GROUP BY doc_id
 ),
+ids AS (SELECT p.doc_id, p.n_sentences, coalesce(f.n_known, 0) AS n_known, f.sentence_ids, f.seq FROM (SELECT doc_id, count(*) AS n_sentences FROM parts GROUP BY doc_id) p LEFT JOIN found f ON f.doc_id = p.doc_id),
 hits AS (SELECT doc_id, {', '.join(cases)} FROM ids WHERE n_known > 0),
 named AS (
   SELECT doc_id, name, min(k) AS k FROM (SELECT h.doc_id, v.k, v.name FROM hits h, LATERAL (VALUES {order}) v(k, name)) WHERE name IS NOT NULL GROUP BY doc_id, name
