@@ -47,6 +47,8 @@ from tradeloom.llm import text_kernel as K
 from tradeloom.operators.components import connected_components
 from tradeloom.session import discard, durable, read
 
+#: Hits in short lists that a pair needs.
+SHORT_HITS = 2
 #: Cells of the count sketch.
 SKETCH_CELLS = 1 << 19
 #: Classes that a task remembers having sent.
@@ -82,10 +84,10 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
 def short_hits(least: int) -> int:
     """``T - L``: in how many short lists a partner stands at least, for ``T = least``.
 
-    Two, and one more for each 32 n-grams asked for: few more list entries than
-    the least number, but pairs that share a chance n-gram or two fall out.
+    More hits rule more chance pairs out, but need as many more entries of each
+    document, of which the last stand in longer lists.
     """
-    return min(least, 2 + least // 32)
+    return min(least, SHORT_HITS)
 
 
 def _scan(texts: DataFrame, width: int) -> DataFrame:
@@ -231,16 +233,19 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, p
     return pairs, made[:-1]
 
 
-def _room(percent: int, n: str, pos: str, m: str, at: str) -> Column:
-    """Whether sets of ``n`` and ``m`` that first meet at places ``pos`` and ``at`` can still reach the overlap their sizes ask for."""
-    n, pos, m, at = (F.col(c).cast("long") for c in (n, pos, m, at))
-    return F.least(n - pos, m - at) >= F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
-
-
 def _hits(percent: int, n: str) -> Column:
     """``short_hits`` of a set of ``n``."""
-    least = F.ceil(F.col(n).cast("long") * percent / F.lit(100) - 1e-9)
-    return F.least(least, 2 + F.floor(least / 32))
+    return F.least(F.ceil(F.col(n).cast("long") * percent / F.lit(100) - 1e-9), F.lit(SHORT_HITS))
+
+
+def _room(percent: int, n: str, pos: str, m: str, at: str, hits: Column | None = None) -> Column:
+    """Whether sets of ``n`` and ``m`` that meet at places ``pos`` and ``at`` can still reach the overlap their sizes ask for.
+
+    The place is that of their first shared n-gram, or of one of the first ``hits``.
+    """
+    n, pos, m, at = (F.col(c).cast("long") for c in (n, pos, m, at))
+    least = F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
+    return F.least(n - pos, m - at) >= (least if hits is None else least - hits + 1)
 
 
 def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,8 +276,8 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     open_lists = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     marked = durable(marked.join(open_lists, "gram", "left_semi"))
     x, y = marked.alias("x"), marked.alias("y")
-    sized = (100 * F.least("x.n", "y.n").cast("long") >= percent * F.greatest("x.n", "y.n").cast("long"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & sized)
+    asked = F.least(_hits(percent, "x.n"), _hits(percent, "y.n"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _room(percent, "x.n", "x.pos", "y.n", "y.pos", asked))
     across = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("hits"), *[F.min(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "pos")])
     across = across.where(F.col("hits") >= F.least(_hits(percent, "x_n"), _hits(percent, "y_n"))).where(_room(percent, "x_n", "x_pos", "y_n", "y_pos"))
     across = durable(across.select("a", "b").join(tried, ["a", "b"], "left_anti"))
