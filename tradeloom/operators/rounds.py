@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tradeloom.session import durable
 
 #: Rounds that one job makes. Each adds a shuffle to its plan; a write and its listing are paid once.
-AT_ONCE = 4
+AT_ONCE = 2
 
 
 def advance(state: DataFrame, one_round: Callable[[DataFrame], DataFrame], first: int, rounds: int = AT_ONCE) -> DataFrame:
