@@ -164,6 +164,16 @@ def by_group(impact: DataFrame, firms: DataFrame, group: str) -> DataFrame:
     return x.groupBy("run_id", group).agg(F.sum("revenue_sum").alias("revenue_total"), F.sum("cost_sum").alias("cost_total"), F.sum("profit_sum").alias("profit_total"), F.count_if(_C("revenue_sum") != 0).alias("firm_count"))
 
 
+def top_scores(scores: DataFrame, top_n: int = 20) -> DataFrame:
+    """The ``top_n`` firms by ``tis``, greatest first, ties by firm."""
+    return scores.orderBy(F.desc("tis"), "firm").limit(top_n)
+
+
+def top_impacts(impact: DataFrame, top_n: int = 30) -> DataFrame:
+    """The ``top_n`` rows of an impact table by size of revenue, ties by firm."""
+    return impact.orderBy(F.desc(F.abs("revenue_sum")), "firm").limit(top_n)
+
+
 def affected_firms(impact: DataFrame, firms: DataFrame, top_n: int, sort_by: str = "revenue_sum") -> DataFrame:
     """The ``top_n`` firms by size of ``sort_by``, with the metadata columns that ``firms`` has."""
     top = impact.orderBy(F.desc(F.abs(sort_by)), "firm").limit(top_n)

@@ -62,6 +62,12 @@ def vector_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50) -> Dat
     return top(scored.where("score IS NOT NULL"), pool)
 
 
+def autocomplete(typed: DataFrame, firms: DataFrame, limit: int = 10) -> DataFrame:
+    """``(query_id, firm, score, rk)``: firm names by trigram similarity from 0 to 1 to what was typed."""
+    names = firms.select(F.col("firm").alias("code"), "name")
+    return trigram_signal(typed, names, limit).withColumnRenamed("code", "firm")
+
+
 def fuse(signals: list[DataFrame], limit: int = 10, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum of ``1 / (k + rank)`` over the lists a code is in."""
     rows = None

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.plans import edge_queries, graph_queries, search_queries
+from tradeloom.plans import edge_queries, graph_queries, intake_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [edge_queries, graph_queries, search_queries]
+_MODULES = [edge_queries, graph_queries, search_queries, intake_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

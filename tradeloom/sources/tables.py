@@ -106,6 +106,17 @@ def upsert_table(updates: DataFrame, path: str, keys: list[str]) -> None:
     spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
 
 
+def load_masters(masters: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Upsert sectors, product codes and countries, each by its key; returns the rows read of each."""
+    keys = {"sectors": "code", "hs_codes": "code", "countries": "iso_alpha2"}
+    unknown = [n for n in masters if n not in keys]
+    if unknown:
+        raise ValueError(f"unknown masters: {unknown}")
+    for name, df in masters.items():
+        upsert_table(require(df, [keys[name]]), f"{folder}/{name}", [keys[name]])
+    return {name: df.count() for name, df in masters.items()}
+
+
 def truncate(spark: SparkSession, path: str) -> int:
     """Empty a table; returns the number of rows it had."""
     df = spark.read.parquet(path)
