@@ -80,3 +80,20 @@ def test_weak_search_queue_keeps_latest(spark, tmp_path):
         spark.createDataFrame([(q, i, s) for q, i, s in rows], "query string, event_id long, top_score double").withColumn("ts", F.timestamp_seconds("event_id")).select("query", "ts", "event_id", "top_score").coalesce(1).write.mode("append").parquet(source)
         flows.weak_search_queue(spark.readStream.schema(schema).parquet(source), str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
     assert [(r.query, r.event_id) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("rice", 3)]
+
+
+def test_words_of_any_script(spark):
+    df = spark.createDataFrame([("Café 희토류-자석, МОТОР x2 x2",), ("--",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.tokens(F.col("t"))).collect()] == [["café", "희토류", "자석", "мотор", "x2"], [], None]
+
+
+def test_synonyms_must_improve_on_the_query_alone(spark):
+    cand = spark.createDataFrame([(q, "magnet", t, 0.9) for q, t in [(1, "ferrite"), (2, "ferrite"), (3, "ferrite"), (4, "ferrite"), (5, "magnet"), (6, "ferrite")]], "query_id int, query string, term string, cosine double")
+    alone = cand.select("query_id", "term", F.lit("8505110000").alias("code"), F.lit(0.02).alias("score"), F.lit(1).alias("rk"))
+    joint = {1: 0.031, 2: 0.031, 3: 0.028, 4: 0.0164, 5: 0.05, 6: 0.031}
+    combined = alone.withColumn("score", F.create_map(*[F.lit(x) for kv in joint.items() for x in kv])[F.col("query_id")])
+    combined = combined.withColumn("code", F.when(F.col("query_id") == 6, "0101210000").otherwise("8505190000"))
+    plain = spark.createDataFrame([(1, 0.03), (2, 0.032), (3, 0.016)], "query_id int, score double")
+    got = S.learned_synonyms(cand, alone, combined, plain).orderBy("query_id").collect()
+    # 1: over the threshold; 2: below its baseline; 3: half as much again; 4: one signal only; 5: part of the query; 6: no shared family
+    assert [(r.query_id, r.term, r.score) for r in got] == [(1, "ferrite", 0.031), (3, "ferrite", 0.028)]

@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 #: Weights of the token labels.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
+#: Joint score from which a synonym is learned, and just above the score of a first place in one signal.
+LEARN_THRESHOLD = 0.03
+ONE_SIGNAL = 0.0165
+
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
+    """Distinct lower-case words of letters, marks and digits of any script."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), ""))
 
 
 def trigrams(text: Column) -> Column:
@@ -161,19 +166,25 @@ def corrected(hits: DataFrame, verdicts: DataFrame, second: DataFrame, low: floa
     return merge_hits(kept, second.join(again, "query_id", "left_semi"), k)
 
 
-def learned_synonyms(candidates: DataFrame, alone: DataFrame, combined: DataFrame, least_cosine: float = 0.5) -> DataFrame:
+def learned_synonyms(candidates: DataFrame, alone: DataFrame, combined: DataFrame, baseline: DataFrame, least_cosine: float = 0.5, threshold: float = LEARN_THRESHOLD) -> DataFrame:
     """The candidate of each query that passes the guards: text, cosine, shared 4-character family of the top 3, improvement.
 
-    ``candidates(query_id, term, cosine)``; hit lists ``(query_id, term, code,
-    score, rk)`` of the search with the term alone and with query and term.
+    ``candidates(query_id, query, term, cosine)``; a term that stands in its
+    query is none. Hit lists ``(query_id, term, code, score, rk)`` come from the
+    search with the term alone and with query and term, ``baseline(query_id,
+    score)`` from the query alone (0 without a hit). The joint score must pass
+    the baseline, and ``threshold`` or half as much again as the baseline and
+    more than one signal's first place gives.
     """
-    ok = candidates.where(F.col("term").rlike("^[\\p{IsHangul}0-9A-Za-z ]{1,40}$") & (F.col("cosine") >= least_cosine))
+    ok = candidates.where(F.col("term").rlike("^[\\p{IsHangul}0-9A-Za-z ]{1,40}$") & (F.col("cosine") >= least_cosine) & ~F.coalesce(F.contains("query", "term"), F.lit(False)))
     family = lambda df: df.where("rk <= 3").select("query_id", "term", F.substring("code", 1, 4).alias("family")).distinct()
     meet = family(alone).join(family(combined), ["query_id", "term", "family"]).select("query_id", "term").distinct()
-    best = lambda df, name: df.groupBy("query_id", "term").agg(F.max("score").alias(name))
-    x = ok.join(meet, ["query_id", "term"], "left_semi").join(best(combined, "with_term"), ["query_id", "term"]).join(best(alone, "term_alone"), ["query_id", "term"])
-    x = x.where(F.col("with_term") > F.col("term_alone") * 0.5)
-    return x.groupBy("query_id").agg(F.max(F.struct("with_term", "cosine", "term")).alias("b")).select("query_id", F.col("b.term").alias("term"), F.col("b.with_term").alias("score"))
+    best = combined.groupBy("query_id", "term").agg(F.max("score").alias("joint"))
+    plain = baseline.groupBy("query_id").agg(F.max("score").alias("plain"))
+    x = ok.join(meet, ["query_id", "term"], "left_semi").join(best, ["query_id", "term"]).join(plain, "query_id", "left").na.fill(0.0, ["plain"])
+    joint, plain = F.col("joint"), F.col("plain")
+    x = x.where((joint > plain) & ((joint >= threshold) | ((joint >= plain * 1.5) & (joint > ONE_SIGNAL))))
+    return x.groupBy("query_id").agg(F.max(F.struct("joint", "cosine", "term")).alias("b")).select("query_id", F.col("b.term").alias("term"), F.col("b.joint").alias("score"))
 
 
 def grounding(answers: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return put
 
 
-_TOK = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
+_TOK = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> ''))"
 _INDEX = "SELECT code, token, max(w) AS weight FROM (" + " UNION ALL ".join(f"SELECT code, unnest({_TOK.format(c)}) AS token, {w} AS w FROM v_catalog" for c, w in (("name", 1.0), ("category", 0.4), ("heading", 0.2), ("detail", 0.1))) + ") x GROUP BY code, token"
 _Q = f"SELECT query_id, unnest({_TOK.format('query')}) AS token FROM v_query"
 _TOKSIG = f"SELECT query_id, code, round(sum(weight), 6) AS score FROM ({_Q}) q JOIN ({_INDEX}) i ON i.token = q.token GROUP BY query_id, code"
