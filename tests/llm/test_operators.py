@@ -249,6 +249,54 @@ def test_fingerprints(docs, empty):
     assert order_minhash.compare_with_edits(empty).count() == 0
 
 
+def plain_signature(text):
+    """The signature by its definition: every slot orders all numbered k-mers of the text."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chain = lambda values, seed=42: [seed := xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v % (1 << 64)).to_bytes(8, "little"), seed) for v in values][-1]
+    tokens = []
+    for w in [x for x in re.split(order_minhash._SPACE, text or "") if x]:
+        if len(w.encode()) <= order_minhash.LONG_WORD:
+            tokens.append(chain([w.encode()]))
+            continue
+        for at in range(0, len(w), order_minhash.STRETCH):
+            part, g = w[at : at + order_minhash.STRETCH], order_minhash.GRAM
+            tokens += [chain([part.encode()])] if len(part) < g else [chain([c.encode() for c in part[i : i + g]]) for i in range(len(part) - g + 1)]
+    low = order_minhash._POS_BITS
+    grams = [chain([a, b]) >> low for a, b in zip(tokens, tokens[1:])] or [chain(t for t in tokens) >> low for _ in tokens[:1]]
+    seen, numbered = defaultdict(int), []
+    for place, g in enumerate(grams):
+        number, seen[g] = seen[g], seen[g] + 1
+        high = signed(g << low) >> low
+        numbered.append((chain([high, number.to_bytes(4, "little")]) >> low, place))
+    out = []
+    for slot in range(64 if numbered else 0):
+        picked = sorted(numbered, key=lambda x: (signed((x[0] << low) ^ (slot << 58)), x[1]))[:2]
+        out.append(slot << 26 | chain([g for g, _ in sorted(picked, key=lambda x: x[1])]) & ((1 << 26) - 1))
+    return out
+
+
+def test_fingerprints_match_their_definition(spark):
+    rng = np.random.default_rng(11)
+    texts = [None, "", " ", "one", "a b", "a a a a a", BASE, LONG[:30000], "x" * 40, "0123456789" * 900, "\u4e2d\u6587" * 30, "w " * 500]
+    texts += [" ".join(rng.choice([*"abcdefgh", "\u00e9t\u00e9", "u" * 33, "\u4e2d" * 11, "\U0001f600" * 9], n)) for n in (3, 20, 64, 130, 400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: list(r.sig) for r in order_minhash.with_signature(table, "text", "sig").collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != plain_signature(t)] == []
+
+
+def test_fingerprints_of_edits_without_white_space_or_in_short_texts(spark):
+    rng = np.random.default_rng(2)
+    run = "".join(rng.choice(list("acgt"), 3000))
+    short = " ".join(f"s{i}" for i in range(40))
+    moved = " ".join(f"s{i}" for i in [*range(20, 40), *range(20)])
+    pairs = [(run, run[:1500] + "n" + run[1500:]), (short, short.replace("s20", "new")), (short, moved)]
+    df = order_minhash.with_signature(spark.createDataFrame(pairs, "a string, b string"), "a", "sa")
+    one, two, three = (r[0] for r in order_minhash.with_signature(df, "b", "sb").select(order_minhash.likeness(F.col("sa"), F.col("sb"))).collect())
+    assert one > 0.9 and 0.5 < two < 1 and three < two
+
+
 def test_order_matters_to_fingerprints(spark):
     a = " ".join(f"t{i}" for i in range(400))
     b = " ".join(f"t{i}" for i in [*range(200, 400), *range(200)])

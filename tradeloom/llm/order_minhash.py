@@ -1,22 +1,33 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-A text's k-mers are runs of ``K`` words (white space apart), each numbered by
-its occurrence in the text, so that repeated k-mers stay distinct. The hash of
-a numbered k-mer falls into one of ``BINS`` by its leading bits. Of each bin
-the ``TUPLE`` least hashes are selected, put back into text order, and the
-ordered tuple is hashed. Two texts agree in a bin if the same k-mers are least
-in it and stand in the same order, which edit distance disturbs and a set
-comparison doesn't see. A fingerprint has eight hex digits for each bin that
-isn't empty: the bin and its tuple's hash.
+A text's k-mers are runs of ``WORDS`` tokens, each numbered by its occurrence
+in the text, so that repeated k-mers stay distinct. Tokens are the words
+(white space apart); a word of more than ``LONG_WORD`` bytes, as text without
+white space has them, gives all its runs of ``GRAM`` characters instead, so an
+edit inside it changes a few k-mers and not the whole. Such words are taken in
+stretches of ``STRETCH`` characters, which bounds the memory of one.
+
+The fingerprint has ``2 ** BIN_BITS`` slots. A slot puts all numbered k-mers
+in an order of its own: by the leading bits of their hash, exclusive-or the
+slot's number, then by the other bits. The ``TUPLE`` least are selected, put
+back into text order, and the ordered tuple is hashed. So each slot is an order
+MinHash of the whole text; with two or more k-mers every tuple has an order,
+however short the text. In a long text a slot finds its tuple in its own bin of
+leading bits; a slot whose bin holds too few looks at the other bins, too.
+Two texts agree in a slot if the same k-mers are least in it and stand in the
+same order, which edit distance disturbs and a set comparison doesn't see. A
+fingerprint has eight hex digits a slot: the slot and its tuple's hash.
 
 All steps are array functions within a row, on sorted arrays of longs (hash
-bits above, position below). An occurrence number is the length of the run of
-equal hashes before an element; it is found by binary descent, so a word
-repeated through a long text costs a logarithm.
-
-A text of fewer than ``K`` words is one k-mer; a text without words has the
-empty fingerprint. The likeness of two fingerprints is the share of agreeing
-bins among those filled in either, 1 if none is. Null counts as empty text.
+bits above, position below; an array holds under 2^28 longs, so 29 bits never
+wrap). An occurrence number is the length of the run of equal hashes before an
+element; it is found by binary descent, so a word repeated through a long text
+costs a logarithm.
+
+A text of fewer than ``WORDS`` tokens is one k-mer; a text without words has
+the empty fingerprint. The likeness of two fingerprints is the share of
+agreeing slots, 1 if both are empty. Null counts as empty text. Columns other
+than the id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -30,11 +41,15 @@ from tradeloom.session import durable, read
 
 WORDS = 2
 TUPLE = 2
-#: 64 bins: the six leading bits of a hash.
+#: 64 slots: the six leading bits of a hash.
 BIN_BITS = 6
-_POS_BITS = 24
+LONG_WORD = 32
+GRAM = 8
+STRETCH = 4096
+_POS_BITS = 29
 _SHIFT = 64 - BIN_BITS
-_HASH_BITS = 64 - BIN_BITS - _POS_BITS
+_ID_BITS = 64 - _POS_BITS
+_WIDTH = 32 - BIN_BITS
 _SPACE = "[ \\t\\n\\u000B\\f\\r]+"
 
 
@@ -50,13 +65,30 @@ def _keyed(hashed: Column, low: Column) -> Column:
     return F.shiftleft(_high(hashed), _POS_BITS).bitwiseOR(low.cast("long").bitwiseAND((1 << _POS_BITS) - 1))
 
 
+def _character_runs(word: Column) -> Column:
+    """Hashes of all runs of ``GRAM`` characters of a long word."""
+
+    def runs(stretch: Column) -> Column:
+        c = F.split(stretch, "")
+        return F.when(F.size(c) < GRAM, F.array(F.xxhash64(stretch))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(F.slice(c, i + 1, GRAM)))
+        )
+
+    return F.flatten(F.transform(F.regexp_extract_all(word, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), runs))
+
+
 def with_signature(df: DataFrame, text_col: str, out_col: str, words: int = WORDS, size: int = TUPLE) -> DataFrame:
-    """``df`` with the signature of ``text_col``: a sorted array of longs, one for each filled bin."""
-    w, s, o, c = (f"__{x}_{out_col}" for x in ("words", "sorted", "picked", "chosen"))
+    """``df`` with the signature of ``text_col``: a sorted array of longs, one for each slot."""
+    w, t, s, o, f, u = (f"__{x}_{out_col}" for x in ("words", "tokens", "sorted", "picked", "full", "short"))
     kept = df.columns
+    long_word = lambda x: F.octet_length(x) > LONG_WORD
+    one = lambda x: F.xxhash64(x)
+    tokens = F.when(
+        F.exists(w, long_word), F.flatten(F.transform(w, lambda x: F.when(long_word(x), _character_runs(x)).otherwise(F.array(one(x)))))
+    ).otherwise(F.transform(w, one))
     grams = F.when(
-        F.size(w) >= words, F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: _keyed(F.xxhash64(*[F.get(F.col(w), i + j) for j in range(words)]), i))
-    ).otherwise(F.when(F.size(w) > 0, F.array(_keyed(F.xxhash64(F.col(w)), F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
+        F.size(t) >= words, F.transform(F.sequence(F.lit(0), F.size(t) - words), lambda i: _keyed(F.xxhash64(*[F.get(F.col(t), i + j) for j in range(words)]), i))
+    ).otherwise(F.when(F.size(t) > 0, F.array(_keyed(F.xxhash64(F.col(t)), F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
 
     def before(i: Column, h: Column) -> Column:
         """How many elements just before place ``i`` of the sorted array have hash ``h``."""
@@ -66,20 +98,34 @@ def with_signature(df: DataFrame, text_col: str, out_col: str, words: int = WORD
         return F.when(same(F.lit(1)), count).otherwise(F.lit(0))
 
     numbered = F.transform(F.col(s), lambda x, i: _keyed(F.xxhash64(_high(x), before(i, _high(x))), x))
-    first = F.filter(F.col(o), lambda x, i: (i < size) | (_bin(F.get(F.col(o), i - size)) != _bin(x)))
-    # back into text order: bin, position, hash
-    reorder = lambda x: F.shiftleft(_bin(x), _SHIFT).bitwiseOR(F.shiftleft(x.bitwiseAND((1 << _POS_BITS) - 1), _HASH_BITS)).bitwiseOR(_high(x).bitwiseAND((1 << _HASH_BITS) - 1))
-    at = lambda i: F.get(F.col(c), i)
-    begins = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (_bin(at(i - 1)) != _bin(at(i))))
-    digest = lambda i: F.xxhash64(*[F.when(_bin(at(i + j)) == _bin(at(i)), at(i + j).bitwiseAND((1 << _HASH_BITS) - 1)) for j in range(size)])
-    width = 32 - BIN_BITS
-    signature = F.transform(begins, lambda i: F.shiftleft(_bin(at(i)) + (1 << (BIN_BITS - 1)), width).bitwiseOR(digest(i).bitwiseAND((1 << width) - 1)))
+    in_order = F.sort_array(numbered)
+    least = lambda a: F.filter(a, lambda x, i: (i < size) | (_bin(F.get(a, i - size)) != _bin(x)))
+    at = lambda i: F.get(F.col(f), i)
+
+    def digest(slot: Column, tuple_: Column) -> Column:
+        """The slot's number and the hash of its tuple, in text order."""
+        by_place = F.sort_array(F.transform(tuple_, lambda x: F.shiftleft(x, _ID_BITS).bitwiseOR(F.shiftrightunsigned(x, _POS_BITS))))
+        hashed = F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND((1 << _ID_BITS) - 1)))
+        return F.shiftleft(slot.cast("long"), _WIDTH).bitwiseOR(hashed.bitwiseAND((1 << _WIDTH) - 1))
+
+    half = 1 << (BIN_BITS - 1)  # the order is of signed longs
+    first = F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: ((i == 0) | (_bin(at(i - 1)) != _bin(at(i)))) & (_bin(at(i + size - 1)) == _bin(at(i))))
+    short = F.array_except(F.sequence(F.lit(0), F.lit(2 * half - 1)), F.transform(first, lambda i: (_bin(at(i)) + half).cast("int")))
+    own = F.transform(first, lambda i: digest(_bin(at(i)) + half, F.slice(F.col(f), i + 1, size)))
+
+    def looking_on(mask: Column) -> Column:
+        found = F.slice(F.sort_array(F.transform(F.col(f), lambda x: x.bitwiseXOR(mask))), 1, size)
+        return digest(F.shiftrightunsigned(mask, _SHIFT), F.transform(found, lambda x: x.bitwiseXOR(mask)))
+
+    signature = F.sort_array(F.concat(own, F.transform(F.col(u), looking_on)))
     steps = [
         (w, F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), _SPACE), "")),
+        (t, tokens),
         (s, F.sort_array(grams)),
-        (o, F.sort_array(numbered)),
-        (c, F.sort_array(F.transform(first, reorder))),
-        (out_col, F.when(F.size(c) > 0, signature).otherwise(F.array().cast("array<bigint>"))),
+        (o, in_order),
+        (f, least(F.col(o))),
+        (u, F.when(F.size(f) > 0, F.transform(short, lambda k: F.shiftleft(k.cast("long"), _SHIFT)))),
+        (out_col, F.when(F.size(f) > 0, signature).otherwise(F.array().cast("array<bigint>"))),
     ]
     return reduce(lambda d, step: d.withColumn(*step), steps, df).select(*kept, out_col)
 
@@ -90,10 +136,9 @@ def fingerprint(signature: Column) -> Column:
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Share of agreeing bins among those filled in either signature."""
-    bins = lambda a: F.transform(a, lambda x: F.shiftright(x, 32 - BIN_BITS))
-    filled = F.size(F.array_union(bins(one), bins(two)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, two)) / filled)
+    """Share of agreeing slots, 0 if just one signature is empty."""
+    slots = F.greatest(F.size(one), F.size(two))
+    return F.when(slots == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, two)) / slots)
 
 
 def _successors(keys: DataFrame) -> DataFrame:
