@@ -447,6 +447,55 @@ def test_classifiers_on_held_out_rows(spark, docs, empty):
     assert toxicity.score_documents(empty, toxic).count() == 0
 
 
+def test_scores_match_plain_versions(spark, docs):
+    import pyarrow as pa
+    import zstandard
+
+    rows = labelled_rows(spark)
+    texts, labels = rows.select("doc_id", "text"), rows.select("doc_id", "quality", "toxic")
+    every = [r.text for r in docs.collect()] + [r.text for r in rows.limit(30).collect()] + ["Gr\u00f6\u00dfe-Vileword vilewords,vileword", "x" * 70]
+
+    def of_words(text):
+        return {int(f) for w in set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())) for f in toxicity.features_of(pa.array([w], pa.binary()).cast(pa.string()))[1]}
+
+    model = toxicity.fit(texts, labels)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert weights and max(weights.values()) > 0
+    got = model.score(pa.array(every))
+    for text, score in zip(every, got, strict=True):
+        total = model.bias + sum(weights.get(f, 0.0) for f in of_words(text))
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+    count = defaultdict(int)
+    for r in texts.collect():
+        for f in of_words(r.text):
+            count[f] += 1
+    told = np.sort(np.array(list(count), np.uint64))
+    for wanted in (None, told):
+        used = {r.feature: r.n for r in toxicity._usage(texts, wanted).collect()}
+        assert used.pop(None) == 400 and {int(np.int64(f).view(np.uint64)): n for f, n in used.items()} == count
+
+    judge = quality.fit(texts, labels)
+    for text in every:
+        raw = (text or "").encode()
+        size = lambda d, block: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+        blocks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)] or [b""]
+        pairs = [(size(judge.good, x), size(judge.bad, x), max(1, len(x))) for x in blocks]
+        g, b = sum(x[0] for x in pairs), sum(x[1] for x in pairs)
+        x = [(b - g) / (b + g), math.log(min((g + b) / (2 * max(1, len(raw))), 1.5) + 0.02), math.log(min(min(min(p[:2]) / p[2] for p in pairs), 1.5) + 0.02), math.log(len(raw) + 20)]
+        terms = x + [x[i] * x[j] for i in range(4) for j in range(i, 4)]
+        total = judge.weights[-1] + sum(w * (t - m) / s for w, t, m, s in zip(judge.weights[:-1], terms, judge.centre, judge.scale, strict=True))
+        assert abs(float(judge.score(np.array([judge.features(raw)]))[0]) - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_repeated_ids_do_not_change_a_fit(spark):
+    rows = labelled_rows(spark)
+    texts, labels = rows.select("doc_id", "text"), rows.select("doc_id", "quality", "toxic")
+    twice = texts.union(texts.where("doc_id % 3 = 0"))
+    one, two = quality.fit(texts, labels), quality.fit(twice, labels)
+    assert (one.good, one.bad) == (two.good, two.bad) and np.allclose(one.weights, two.weights)
+    assert toxicity.fit(twice, labels, 50, 100).features.size > 0
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     pos = np.zeros((60, 4), np.float32)

@@ -20,3 +20,8 @@ def learnable(labels: DataFrame, label: str) -> DataFrame:
 def sample(rows: DataFrame, most: int, salt: int = 0) -> DataFrame:
     """At most ``most`` rows in the order of a hash of their id: a sample that depends on the ids only."""
     return rows.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(most)
+
+
+def one_text(rows: DataFrame, *others: str) -> DataFrame:
+    """One row an id and ``others``, with the text of the least hash, so that repeated rows don't exceed the bound of a sample."""
+    return rows.groupBy("id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

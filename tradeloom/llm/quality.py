@@ -136,7 +136,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     picked = labelled.sample(rows.where("y = 0"), most_rows).unionByName(labelled.sample(rows.where("y = 1"), most_rows))
     picked = picked.withColumn("rank", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)))  # half for the dictionaries, half for the curve
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    held = durable(texts.join(F.broadcast(picked), "id"))  # the bound on its rows is the limit above
+    held = durable(labelled.one_text(texts.join(F.broadcast(picked), "id"), "y", "rank"))  # the bound on its rows is the limit above
     schema = pa.schema([("y", pa.int32()), ("block", pa.binary())])
 
     def some_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,10 @@ flexible model from fitting the unlabelled rows away.
 Features are the words of a text (runs of ASCII letters, digits and non-ASCII
 bytes, A-Z lower-cased) and their first six and seven bytes, each counted
 once a text. Those kept are at most ``MOST_FEATURES``, far more usual in toxic
-than in unlabelled texts. A fit takes at most ``most_positive`` and
-``most_unlabelled`` rows, none of fold 0; the prior is the share of toxic rows
-among the labelled ones outside fold 0.
+texts than in all texts outside fold 0, which are all counted for it. The
+numpy fit takes at most ``most_positive`` and ``most_unlabelled`` rows, none of
+fold 0; the prior is the share of toxic rows among the labelled ones outside
+fold 0. Features equally telling are taken in the order of their hashes.
 
 Scoring takes whole texts. Null and empty texts have no features and get the
 score of the bias; without toxic labels every text gets a low constant score.
@@ -20,6 +21,7 @@ Repeated rows are scored each, extra columns ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,6 +104,27 @@ def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return w[:-1].astype(float), float(w[-1])
 
 
+def _usage(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """``feature, n``: how many rows of ``texts`` have it, of those in ``wanted`` if given; under a null feature the rows."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = 0, None if shared.value is None else np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for a, b in K.slices(batch, "text"):
+                _, found = features_of(batch.column("text").slice(a, b - a), shared.value)
+                if total is not None:
+                    total += np.bincount(found, minlength=len(total))
+                    continue
+                names, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+        names = [None] if total is None else [*shared.value.view(np.int64), None]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([*(() if total is None else total), rows], pa.int64())], names=["feature", "n"])
+
+    return texts.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> ToxicityModel:
     """Learn from the toxic rows of ``labels(doc_id, toxic)`` outside fold 0 and from unlabelled texts."""
     rows = labelled.learnable(labels, "toxic")
@@ -114,25 +137,25 @@ def fit(documents: DataFrame, labels: DataFrame, most_positive: int = MOST_POSIT
     positive = labelled.sample(rows.where("y = 1").select("id"), most_positive).withColumn("toxic", F.lit(1))
     others = labelled.sample(ids, most_unlabelled, 1).withColumn("toxic", F.lit(0))
     texts = K.small_batches(documents).select(F.col("doc_id").cast("long").alias("id"), "text")
-    held = durable(texts.join(F.broadcast(positive.unionByName(others)), "id").select("toxic", "text"))  # its bound: the two limits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = np.asarray(batch.column("toxic"))
-            at, found = features_of(batch.column("text"))
-            names, place = np.unique(found, return_inverse=True)
-            p = np.bincount(place, weights=toxic[at], minlength=len(names)).astype(np.int64)
-            n = np.bincount(place, minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(p), pa.array(n - p)], names=["feature", "p", "u"])
+    picked = texts.join(F.broadcast(positive.unionByName(others)), "id")  # its bound: the two limits
+    held = durable(labelled.one_text(picked, "toxic").select("toxic", "text"))
 
     sizes = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not (n_p and n_u):
         return nothing
-    usual = held.mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p >= 3")
-    a, b = F.col("p") / n_p, F.col("u") / n_u
-    usual = usual.withColumn("z", (a - b) / F.sqrt((F.col("p") + 1) / (n_p * n_p) + (F.col("u") + 1) / (n_u * n_u))).where((F.col("z") >= 2.5) & (a >= 1.5 * b))
-    features = np.sort(np.array([r.feature for r in usual.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()], np.int64).view(np.uint64))
+    usual = _usage(held.where("toxic = 1")).where("n >= 3 AND feature IS NOT NULL").collect()  # of the bounded sample
+    told = np.sort(np.array([r.feature for r in usual], np.int64).view(np.uint64))
+    everywhere = {r.feature: r.n for r in _usage(texts.where("id is not null").where(labelled.fold("id") != 0), told).collect()}
+    n_all = everywhere.get(None, 0)
+    ranked = []
+    for r in usual:
+        u = everywhere.get(r.feature, 0)
+        a, b = r.n / n_p, u / n_all
+        z = (a - b) / math.sqrt((r.n + 1) / n_p**2 + (u + 1) / n_all**2)
+        if z >= 2.5 and a >= 1.5 * b:
+            ranked.append((-z, r.feature))
+    features = np.sort(np.array([f for _, f in sorted(ranked)[:MOST_FEATURES]], np.int64).view(np.uint64))
     if not len(features):
         return nothing
     shared = documents.sparkSession.sparkContext.broadcast(features)
