@@ -30,9 +30,11 @@ def local_session(cores: int | None = None, name: str = "tradeloom") -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's setting, or a temporary one where none is set (tests)."""
+    """The folder all executors share: the cluster's setting, or a temporary one where none is set in local mode (tests)."""
     found = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.conf.get(_CHECKPOINT, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_CHECKPOINT} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_CHECKPOINT, found)
     return found.rstrip("/")
