@@ -78,9 +78,11 @@ def test_removed_ids_are_exact_whatever_the_filter_lets_pass(spark, monkeypatch)
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     gone = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
     want = sorted((r for r in rows if r[0] is None or r[0] % 3), key=str)
-    for bits in (1 << 27, 1 << 8):  # 256 bits for 115 ids: each set passes many others wrongly
-        monkeypatch.setattr(sketches, "MOST_BITS", bits)
-        monkeypatch.setattr(sketches, "LEAST_BITS", min(bits, 1 << 13))
+    for last, most in ((1 << 16, 1 << 23), (3, 1 << 23), (3, 10)):  # a list alone, a chain of sets, a join
+        monkeypatch.setattr(sketches, "LAST_KEYS", last)
+        monkeypatch.setattr(sketches, "MOST_KEYS", most)
+        monkeypatch.setattr(sketches, "LEAST_BITS", 1 << 8)
+        monkeypatch.setattr(sketches, "BITS_A_KEY", 2)  # each set passes many others wrongly
         assert sorted(map(tuple, ngram_join.without_ids(docs, gone).collect()), key=str) == want
         assert ngram_join.without_ids(docs, gone.limit(0)).count() == len(rows)
 

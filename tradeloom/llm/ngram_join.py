@@ -152,15 +152,18 @@ def _bit_map(grams: np.ndarray) -> bytes:
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, encode=np.ndarray.tobytes) -> DataFrame:
-    """``(cls, grams)`` of the documents in ``wanted(key, cls)``, encoded: a filter sized by their number first, then an exact join."""
-    bits = texts.sparkSession.sparkContext.broadcast(sketches.bit_set(wanted, "key", sketches.bits_for(wanted.count())))
+    """``(cls, grams)`` of the documents in ``wanted(key, cls)``, encoded: a filter sized by their number first (a join beyond its bound), then an exact join."""
+    texts, n = texts.select("key", "text"), wanted.count()
+    if n > sketches.MOST_KEYS:
+        texts, n = texts.join(wanted.select("key").distinct(), "key", "left_semi"), 0
+    bits = texts.sparkSession.sparkContext.broadcast(sketches.bit_set(wanted, "key", sketches.bits_for(n)) if n else None)
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             keys = np.asarray(batch.column("key"))
-            keep = sketches.in_bit_set(bits.value, keys.view(np.uint64), 8 * len(bits.value))
+            keep = np.ones(len(keys), bool) if bits.value is None else sketches.in_bit_set(bits.value, keys.view(np.uint64), 8 * len(bits.value))
             keep = [i for i, k in zip(np.flatnonzero(keep), keys[keep].tolist(), strict=True) if k not in sent and not sent.add(k)]
             if len(sent) >= _HELD_CLASSES:  # rows that repeat id and text, sent again, cost only time
                 sent.clear()
@@ -168,7 +171,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, encode=np.ndarray.
                 sets = list(shingle_sets(part.column("text"), width))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([_class_of(g) for g in sets], pa.int64()), pa.array([encode(g) for g in sets], pa.binary())], schema=schema)
 
-    found = texts.select("key", "text").mapInArrow(run, "key long, cls long, grams binary")
+    found = texts.mapInArrow(run, "key long, cls long, grams binary")
     return found.join(wanted, ["key", "cls"]).select("cls", "grams").dropDuplicates(["cls"])
 
 
@@ -313,11 +316,17 @@ def one_per_group(documents: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def without_ids(documents: DataFrame, gone: DataFrame) -> DataFrame:
-    """``documents`` whose id is not in ``gone(doc_id)``; no row moves, as bit sets decide exactly for every id that occurs."""
+    """``documents`` whose id is not in ``gone(doc_id)``.
+
+    No row moves while the ids that go are ``sketches.MOST_KEYS`` at most, as bit
+    sets decide exactly for every id that occurs; beyond that the table is joined.
+    """
     spark = documents.sparkSession
     number = F.col("doc_id").cast("long")
     hashed = F.xxhash64(number).alias("h")
     listed = durable(gone.where("doc_id IS NOT NULL").select(hashed).distinct())
+    if listed.count() > sketches.MOST_KEYS:
+        return documents.join(listed, F.xxhash64(documents["doc_id"].cast("long")) == listed["h"], "left_anti")
     others = durable(documents.where("doc_id IS NOT NULL").select(hashed).distinct().join(listed, "h", "left_anti"))
     is_gone = sketches.member_column(spark, sketches.members(listed, others))
     for used in (listed, others):

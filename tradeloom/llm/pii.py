@@ -263,7 +263,7 @@ def _membership(terms: DataFrame, words: DataFrame) -> sketches.Members:
 
 def _spans_of(texts: pa.Array, listed: sketches.Members) -> list[list[tuple[int, int, str]]]:
     found = [base_spans(t or "") for t in texts.to_pylist()]
-    if listed.levels:
+    if listed.levels or len(listed.last):
         w = _Words(texts)
         use = np.flatnonzero(w.usable)
         hits = use[listed.holds(w.hashes[use])]

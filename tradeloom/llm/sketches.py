@@ -14,13 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeloom.llm import text_kernel as K
 from tradeloom.session import discard, durable
 
 BLOCKS = 128
 BLOCK_SCHEMA = "block int, cells binary"
-#: Bits of a set for each key, and the bounds of a set's size (2**27 bits are 16 MB).
+#: Bits of a set for each key, and of the smallest set.
 BITS_A_KEY = 16
-LEAST_BITS, MOST_BITS = 1 << 13, 1 << 27
+LEAST_BITS = 1 << 13
+#: Keys whose set (16 MB at 16 bits a key) may be broadcast; callers with more join instead.
+MOST_KEYS = 1 << 23
+#: A chain ends with an exact list once this many keys are left.
+LAST_KEYS = 1 << 16
+_STEP = 0x9E3779B97F4A7C15
 _ARROW = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
 
@@ -50,8 +56,8 @@ def gather(parts: DataFrame, cells: int, kind: str) -> np.ndarray:
 
 
 def bits_for(keys: int) -> int:
-    """A power of two of at least ``BITS_A_KEY`` bits a key, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys - 1).bit_length()))
+    """A power of two of at least ``BITS_A_KEY`` bits a key."""
+    return max(LEAST_BITS, 1 << (BITS_A_KEY * keys - 1).bit_length())
 
 
 def _set_blocks(bits: int) -> int:
@@ -59,12 +65,17 @@ def _set_blocks(bits: int) -> int:
 
 
 def bit_places(keys: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
-    """Two places of each 64-bit key in a set of ``bits`` (a power of two), both in the block that the key's leading bits name."""
-    inside = np.uint64(bits // _set_blocks(bits))
-    base = (keys >> np.uint64(58)) % np.uint64(_set_blocks(bits)) * inside
-    if salt:
-        keys = (keys ^ (keys >> np.uint64(31)) ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD + 2 * salt)
-    return base + np.stack([keys >> np.uint64(7), keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(13)]) % inside
+    """Two places of each 64-bit key in a set of ``bits`` (a power of two), both in the block that the key's leading bits name.
+
+    The places come from the high bits of the whole key finalised with the
+    salt, so keys that meet at one salt meet at another by chance only.
+    """
+    blocks = _set_blocks(bits)
+    inside = bits // blocks
+    base = (keys >> np.uint64(48)) % np.uint64(blocks) * np.uint64(inside)
+    mixed = K.mix(keys + np.uint64((salt + 1) * _STEP % (1 << 64)))
+    width = np.uint64(inside.bit_length() - 1)
+    return base + np.stack([mixed >> (np.uint64(64) - width), (mixed >> (np.uint64(64) - width - width)) & np.uint64(inside - 1)])
 
 
 def bit_set(df: DataFrame, column: str, bits: int, salt: int = 0) -> np.ndarray:
@@ -88,7 +99,7 @@ def bit_set(df: DataFrame, column: str, bits: int, salt: int = 0) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], schema=_ARROW)
 
     keys = df.select(F.col(column).cast("long").alias("h")).where("h IS NOT NULL")
-    keys = keys.repartition(blocks, F.shiftrightunsigned("h", 58) % blocks) if blocks > 1 else keys.coalesce(1)
+    keys = keys.repartition(blocks, F.shiftrightunsigned("h", 48) % blocks) if blocks > 1 else keys.coalesce(1)
     out = np.zeros(bits // 8, np.uint8)
     for row in keys.mapInArrow(fill, BLOCK_SCHEMA).collect():  # as large as the set
         out[row.block * (size // 8) : (row.block + 1) * (size // 8)] = np.frombuffer(bytes(row.cells), np.uint8)
@@ -102,23 +113,29 @@ def in_bit_set(packed: np.ndarray, keys: np.ndarray, bits: int, salt: int = 0) -
 
 @dataclass
 class Members:
-    """Which keys of a known universe are members, exactly, from a few bit sets.
+    """Which keys of a known universe are members, exactly, from a few bit sets and a list.
 
     The first set holds the members, the second the other keys of the universe
-    that pass the first, the third the members that pass the second, and so on
-    until nothing passes wrongly. A key is decided by the first set it fails.
-    Keys outside the universe get no promise.
+    that pass the first, the third the members that pass the second, and so on.
+    The last ones are a sorted list, which no other key passes. A key is decided
+    by the first set it fails. Keys outside the universe get no promise.
     """
 
     levels: list[np.ndarray] = field(default_factory=list)
+    last: np.ndarray | None = None  # keys that pass all levels and belong to the side that is next
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), len(self.levels) % 2 == 1)
+        out = np.zeros(len(keys), bool)
         alive = np.arange(len(keys))
         for k, packed in enumerate(self.levels):
             stays = in_bit_set(packed, keys[alive], 8 * len(packed), k)
             out[alive[~stays]] = k % 2 == 1
             alive = alive[stays]
+        if self.last is not None and len(self.last):
+            at = np.minimum(np.searchsorted(self.last, keys[alive]), len(self.last) - 1)
+            out[alive] = (self.last[at] == keys[alive]) == (len(self.levels) % 2 == 0)
+        else:
+            out[alive] = len(self.levels) % 2 == 1
         return out
 
 
@@ -133,20 +150,20 @@ def _passing(df: DataFrame, packed: np.ndarray, salt: int) -> DataFrame:
     return df.mapInArrow(run, "h long")
 
 
-def members(inside: DataFrame, outside: DataFrame, most_levels: int = 200) -> Members:
+def members(inside: DataFrame, outside: DataFrame) -> Members:
     """Membership in ``inside(h)`` for keys of ``inside`` and ``outside(h)``, which share no key and hold no null.
 
-    Both are read once or twice; give durable tables. Sets are sized by their
-    counts; one that meets its bound passes more keys wrongly and needs more levels.
+    Both are read once or twice; give durable tables. Each set lets about one
+    other key in seventy pass, so a few sets bring any number of keys down to
+    the list. The whole takes some two bytes for each key of ``inside``.
     """
     out, mine, others, made = Members(), inside, outside, []
-    while n := mine.count():
-        if len(out.levels) == most_levels:
-            raise RuntimeError(f"membership isn't settled after {most_levels} bit sets of {MOST_BITS} bits")
+    while (n := mine.count()) > LAST_KEYS:
         salt = len(out.levels)
         out.levels.append(bit_set(mine, "h", bits_for(n), salt))
         mine, others = durable(_passing(others, out.levels[-1], salt)), mine
         made.append(mine)
+    out.last = np.sort(np.array([r.h for r in mine.select("h").collect()], np.int64).view(np.uint64))  # at most LAST_KEYS
     for used in made:
         discard(used)
     return out
