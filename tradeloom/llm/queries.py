@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import decontaminate, licences, ngram_join, order_minhash, packing, pii, quality, token_counts, toxicity, url_lists
+from tradeloom.llm import decontaminate, filter_audit, importance, licences, ngram_join, order_minhash, packing, pii, quality, simhash, token_counts, toxicity, url_lists
 
 _ALL = [
     licences.op1_licence_sentences,
@@ -19,6 +19,9 @@ _ALL = [
     toxicity.op8_nnpu_toxicity,
     token_counts.op9_section_token_counts,
     order_minhash.op10_order_minhash,
+    filter_audit.op11_filter_interaction_audit,
+    importance.op12_importance_resampling,
+    simhash.op13_simhash_near_duplicates,
 ]
 
 
@@ -27,4 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licence_sentences": licences.sql(), "op6_temporal_url_lists": url_lists.SQL}
+    return {
+        "op1_licence_sentences": licences.sql(), "op6_temporal_url_lists": url_lists.SQL,
+        "op11_filter_interaction_audit": filter_audit.SQL, "op12_importance_resampling": importance.SQL,
+    }
