@@ -18,8 +18,10 @@ Copies and near copies don't multiply the work:
 * in each short list every member is first compared with one leader, the
   member with the fewest rarer n-grams before the shared one; what links with
   its leader shares a component;
-* then only pairs of different components are left to count, and the place
-  of their first shared n-gram in both sets bounds the overlap still possible.
+* then only pairs of different components are left to count; the place of their
+  first shared n-gram in both sets bounds the overlap still possible, and so do
+  parities of the whole sets, bit by bit: each bit that differs stands for an
+  n-gram that one set lacks.
 
 List lengths come from a fixed-size count sketch over all documents. Any order
 gives the same result, so the sketch's errors cost time only. N-grams and whole
@@ -51,6 +53,8 @@ from tradeloom.session import discard, durable, read
 SHORT_HITS = 2
 #: Cells of the count sketch.
 SKETCH_CELLS = 1 << 19
+#: The parities of a set: whether it has an odd number of n-grams in each of 256 bins, as four longs.
+_PARITY = ["parity0", "parity1", "parity2", "parity3"]
 #: Classes that a task remembers having sent.
 _HELD_CLASSES = 1 << 15
 _SHIFT = np.uint64(64 - 19)
@@ -76,6 +80,11 @@ def _class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    bins = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=64 * len(_PARITY))
+    return np.packbits((bins & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
@@ -92,29 +101,31 @@ def short_hits(least: int) -> int:
 
 def _scan(texts: DataFrame, width: int) -> DataFrame:
     """One row for each document (its class, set size and key) and blocks of the count sketch."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in _PARITY], ("block", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, some = np.zeros(SKETCH_CELLS, np.int64), [], 0
         for part in K.parts(batches, "text"):
-            cls, n = [], []
+            cls, n, odd = [], [], []
             for grams in shingle_sets(part.column("text"), width):
                 cls.append(_class_of(grams))
                 n.append(len(grams))
+                odd.append(_parities(grams))
                 held.append(grams >> _SHIFT)
                 some += len(grams)
             if some > 1 << 18:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH_CELLS)
                 held, some = [], 0
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), *none], schema=schema)
+            parities = [pa.array(c, pa.int64()) for c in (np.stack(odd, 1) if odd else [[]] * len(_PARITY))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), *parities, *none], schema=schema)
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH_CELLS)
         if counts.any():
             blocks, k = sketches.as_blocks(counts.astype(np.uint32)), sketches.BLOCKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + blocks.columns, schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * (4 + len(_PARITY)) + blocks.columns, schema=schema)
 
-    return texts.mapInArrow(run, "id long, key long, cls long, n long, block int, cells binary")
+    return texts.mapInArrow(run, f"id long, key long, cls long, n long, {', '.join(f'{c} long' for c in _PARITY)}, block int, cells binary")
 
 
 def _short_lists(texts: DataFrame, width: int, percent: int, levels) -> DataFrame:
@@ -230,7 +241,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, p
     for encode, holds in ((_sized_map, _may_link(percent)), (np.ndarray.tobytes, _linked(percent))):
         if pairs.isEmpty():
             break
-        wanted = durable(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls"))
+        wanted = durable(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "id", "key"), "cls"))
         pairs = durable(_pair_filter(pairs, _sets_of(texts, wanted, width, encode), holds))
         made += [wanted, pairs]
     return pairs, made[:-1]
@@ -251,6 +262,14 @@ def _room(percent: int, n: str, pos: str, m: str, at: str, hits: Column | None =
     return F.least(n - pos, m - at) >= (least if hits is None else least - hits + 1)
 
 
+def _parity_room(percent: int, x: str, y: str) -> Column:
+    """Whether the parities of two sets leave room for the overlap: their sets differ in as many n-grams at least as parities do."""
+    n, m = (F.col(f"{side}.n").cast("long") for side in (x, y))
+    least = F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _PARITY), F.lit(0))
+    return differ <= n + m - 2 * least
+
+
 def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)`` for each row of ``documents``.
 
@@ -263,8 +282,8 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
     scanned = durable(_scan(texts, width))
     counts = sketches.gather(scanned.where("block is not null").select("block", "cells"), SKETCH_CELLS, "u4")
     levels = spark.sparkContext.broadcast(np.floor(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8))
-    docs = scanned.where("block is null").select("id", "key", "cls", "n")
-    classes = durable(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key")))  # a table, so that joins with it can split a hot class
+    docs = scanned.where("block is null").select("id", "key", "cls", "n", *_PARITY)
+    classes = durable(docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in _PARITY]))  # a table, so that joins with it can split a hot class
 
     lists = _short_lists(texts, width, percent, levels).repartition("gram")  # one shuffle serves the counts and the lists
     leaders = lists.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.struct("pos", "cls", "n")).alias("leader")).where("low < high").select("gram", "leader")
@@ -277,16 +296,16 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
 
     marked = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
     open_lists = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    marked = durable(marked.join(open_lists, "gram", "left_semi"))
+    marked = durable(marked.join(open_lists, "gram", "left_semi").join(classes.select("cls", *_PARITY), "cls"))
     x, y = marked.alias("x"), marked.alias("y")
     asked = F.least(_hits(percent, "x.n"), _hits(percent, "y.n"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _room(percent, "x.n", "x.pos", "y.n", "y.pos", asked))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _room(percent, "x.n", "x.pos", "y.n", "y.pos", asked) & _parity_room(percent, "x", "y"))
     across = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("hits"), *[F.min(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "pos")])
     across = across.where(F.col("hits") >= F.least(_hits(percent, "x_n"), _hits(percent, "y_n"))).where(_room(percent, "x_n", "x_pos", "y_n", "y_pos"))
     across = durable(across.select("a", "b").join(tried, ["a", "b"], "left_anti"))
     more, more_sets = _links(across, classes, texts, width, percent)
 
-    named = durable(docs.join(classes.select("cls", F.col("id").alias("class_id")), "cls", "left"))
+    named = durable(docs.select("id", "cls", "n").join(classes.select("cls", F.col("id").alias("class_id")), "cls", "left"))
     # the component of a class, then the smallest document id of the component
     groups = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "cls")
     groups = durable(groups.join(classes.select("cls", "id"), "cls"))
