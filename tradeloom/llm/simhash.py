@@ -11,10 +11,11 @@ counting the bits verifies each.
 Copies and near copies don't multiply the work: documents of one fingerprint
 are one class; in each variant's list every class is first held against the
 least and the greatest fingerprint of the list, and what links shares a
-component; then only classes outside the list's largest component meet the
-others. Lists in which many are left are cut again: the rest of two linked
-fingerprints, in ``distance + 1`` pieces, agrees in one, so these pieces join
-the key. Nothing is capped, and no list meets in one task.
+component; then only pairs of different components are left to find. Lists of
+over ``MANY`` are cut again: the rest of two linked fingerprints, in ``distance +
+1`` pieces, agrees in one, so these pieces join the key, and only classes
+outside such a list's largest component meet the others. Nothing is capped, and
+no list meets in one task.
 
 Null and empty texts have no shingles and the fingerprint zero, linked like any
 other. A text of fewer words than a shingle is one shingle. Rows that repeat an
@@ -25,6 +26,7 @@ component unless nobody else in it has an id. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from tradeloom.session import discard, durable, read
 
 BITS = 64
 SEED = 42
-#: Classes outside a list's largest component beyond which the list is cut again.
+#: Classes of a list beyond which it is cut again.
 MANY = 64
 #: Shingles hashed at a time.
 _AT_ONCE = 1 << 14
@@ -119,27 +121,49 @@ def _near(a: str, b: str, distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def _same(keys: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys])
+
+
+def _across(one: DataFrame, two: DataFrame, keys: list[str], distance: int, *also: Column) -> DataFrame:
+    """``(p, q)``: verified pairs of different components that share ``keys``."""
+    x = one.select(*keys, F.col("fp").alias("p"), F.col("component").alias("of_p")).alias("x")
+    y = two.select(*keys, F.col("fp").alias("q"), F.col("component").alias("of_q")).alias("y")
+    wanted = [F.col("of_p") != F.col("of_q"), _near("p", "q", distance), *also]
+    return x.join(y, reduce(Column.__and__, wanted, _same(keys))).select("p", "q")
+
+
 def links(classes: DataFrame, distance: int = 4, many: int = MANY) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs ``(a, b)`` of linked fingerprints of ``classes(fp)`` that connect all that is linked, and the tables made on the way."""
+    """Pairs ``(a, b)`` of linked fingerprints of ``classes(fp)`` that connect all that is linked, and the tables made on the way.
+
+    Joins put out verified pairs only, so chance meetings in a list cost a
+    comparison and no row.
+    """
     key = ["variant", "rest"]
-    ends = durable(variants(classes.select("fp"), distance).groupBy(*key).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high"))
-    lists = durable(variants(classes.select("fp"), distance).join(ends, key))
-    of_end = lambda end: lists.where(F.col("fp") != F.col(end)).where(_near("fp", end, distance)).select(F.least("fp", end).alias("a"), F.greatest("fp", end).alias("b"))
-    first = durable(of_end("low").unionByName(of_end("high")).distinct())
+    pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    sizes = durable(variants(classes.select("fp"), distance).groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"))
+    x, y = variants(classes.select("fp"), distance).alias("x"), sizes.alias("y")
+    to_end = [(F.col("fp") != F.col(end)) & _near("fp", end, distance) for end in ("low", "high")]
+    met = durable(x.join(y, _same(key) & (to_end[0] | to_end[1])).select("fp", "low", "high").distinct())
+    first = durable(reduce(DataFrame.unionByName, [met.where(near).select(*pair("fp", end)) for near, end in zip(to_end, ("low", "high"), strict=True)]).distinct())
     label = durable(connected_components(first, "a", "b"))
-
-    named = durable(lists.select("fp", *key).join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", *key, F.coalesce("component", "fp").alias("component")))
-    sizes = named.groupBy(*key, "component").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    open_lists = durable(sizes.where(F.col("all") > F.col("top.n")).select(*key, F.col("top.component").alias("largest"), (F.col("all") - F.col("top.n")).alias("outside")))
-    live = named.join(open_lists, key)
-    short = live.where(F.col("outside") <= many).withColumns({"cut": F.lit(-1), "cut_bits": F.lit(0).cast("long")})
-    live = durable(short.unionByName(_cut_again(live.where(F.col("outside") > many), distance)))
-    x = live.where(F.col("component") != F.col("largest")).select(*key, "cut", "cut_bits", F.col("fp").alias("p"), F.col("component").alias("of_p"), "largest")
-    y = live.select(*key, "cut", "cut_bits", F.col("fp").alias("q"), F.col("component").alias("of_q"))
-    once = (F.col("of_q") == F.col("largest")) | (F.col("p") < F.col("q"))
-    met = x.join(y, [*key, "cut", "cut_bits"]).where((F.col("of_p") != F.col("of_q")) & once & _near("p", "q", distance))
-    second = durable(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    return first.unionByName(second), [ends, lists, first, label, named, open_lists, live, second]
+    named = durable(classes.select("fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")))
+
+    crowded = durable(sizes.where(F.col("n") > many).select(*key))
+    every, wide = variants(named, distance), not crowded.isEmpty()
+    short = every.join(crowded, key, "left_anti") if wide else every
+    found = [_across(short, short, key, distance, F.col("p") < F.col("q")).select(*pair("p", "q"))]
+    made = [sizes, met, first, label, named, crowded]
+    if wide:
+        cut = [*key, "cut", "cut_bits"]
+        pieces = durable(_cut_again(every.join(crowded, key), distance))
+        largest = pieces.groupBy(*cut, "component").agg(F.count("*").alias("n")).groupBy(*cut).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+        largest = durable(largest.where(F.col("all") > F.col("top.n")).select(*cut, F.col("top.component").alias("largest")))
+        live = durable(pieces.join(largest, cut))
+        found.append(_across(live.where(F.col("component") != F.col("largest")), live, cut, distance).select(*pair("p", "q")))
+        made += [pieces, largest, live]
+    second = durable(reduce(DataFrame.unionByName, found).distinct())
+    return first.unionByName(second), [*made, second]
 
 
 def near_duplicates(documents: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
