@@ -13,8 +13,8 @@ def _views(spark, links, companies):
 
 def test_betweenness_is_of_the_whole_graph(spark):
     got = {r.node: r.betweenness for r in Q.g30_betweenness(_views(spark, [(0, 61), (61, 7), (50, 61), (7, 50), (3, 0)], [])).collect()}
-    # paths from 0: 7 and 50 by 61, 50 by 7; from 50: 7 by 61; over 4 * 3 pairs
-    assert got == pytest.approx({0: 0.0, 3: 0.0, 7: 1 / 12, 50: 0.0, 61: 3 / 12}, abs=1e-6)
+    # over 4 * 3 pairs; 0 stands between 3 and three others, 61 between 0, 3 and two, 50 and one, 7 before 50 for three, 50 between 7 and 61
+    assert got == pytest.approx({0: 3 / 12, 3: 0.0, 7: 3 / 12, 50: 1 / 12, 61: 5 / 12}, abs=1e-6)
 
 
 def test_tariff_reaches_all_companies(spark):

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tradeloom.operators.matching import contained
+from tradeloom.operators.ordered import carried_forward
+
 
 def blank_to_null(c: Column) -> Column:
     """Trimmed text; empty text and the word nan are null."""
@@ -91,9 +94,10 @@ def looks_like_sentence(c: Column, noise: list[str]) -> Column:
 
 
 def keep_items(items: Column, query: Column, least: int = 2, most: int = 3) -> Column:
-    """Items that occur in the query, spaces aside, in order and once."""
+    """Items that occur in the query, spaces aside, in order and once; each is normalised before its length counts."""
     flat = F.replace(query, F.lit(" "), F.lit(""))
-    return F.slice(F.array_distinct(F.filter(items, lambda x: (F.length(x) >= least) & F.contains(flat, F.replace(x, F.lit(" "), F.lit(""))))), 1, most)
+    clean = F.transform(items, lambda x: normalise_query(x, unicode_form=False))
+    return F.slice(F.array_distinct(F.filter(clean, lambda x: (F.length(x) >= least) & F.contains(flat, F.replace(x, F.lit(" "), F.lit(""))))), 1, most)
 
 
 def merge_synonyms(builtin: DataFrame, learned: DataFrame) -> DataFrame:
@@ -105,10 +109,12 @@ def merge_synonyms(builtin: DataFrame, learned: DataFrame) -> DataFrame:
 def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """``(query_id, expanded)``: official terms whose alias occurs in the query, if not there already, in order of alias; tokens once.
 
-    The alias test is a broadcast join: a dictionary's size is that of a word list.
+    Aliases are found by their rarest characters (:func:`matching.contained`), so dictionaries of any size will do.
     """
-    x = queries.join(F.broadcast(synonyms), F.contains(F.col("query"), F.col("alias")) & ~F.contains(F.col("query"), F.col("official")), "left")
-    terms = F.transform(F.array_sort(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("alias", "official")))), lambda s: s.official)
+    found = contained(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), synonyms.select(F.col("alias").alias("term")))
+    x = queries.join(found.select(F.col("id").alias("query_id"), F.col("term").alias("alias")).join(synonyms, "alias"), "query_id", "left")
+    x = x.withColumn("pair", F.when(F.col("alias").isNotNull() & ~F.contains("query", "official"), F.struct("alias", "official")))
+    terms = F.transform(F.array_sort(F.collect_list("pair")), lambda s: s.official)
     listed = x.groupBy("query_id", "query").agg(terms.alias("terms"))
     every = F.flatten(F.array(F.split("query", " "), F.flatten(F.transform("terms", lambda t: F.split(t, " ")))))
     return listed.select("query_id", F.array_join(F.array_distinct(F.array_remove(every, "")), " ").alias("expanded"))
@@ -148,8 +154,13 @@ def category_order(c: Column) -> Column:
 
 
 def forward_fill(df: DataFrame, columns: list[str], order: str, *keys: str) -> DataFrame:
-    """The last value above that isn't null, in order of a row number; keys bound a sheet."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """The last value above that isn't null, in order of a row number; keys bound a sheet.
+
+    Without keys the table is filled by range partitions, each handing its last values on.
+    """
+    if not keys:
+        return carried_forward(df, columns, order)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 

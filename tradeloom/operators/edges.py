@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeloom.operators.ordered import in_order
+
 POLICIES = ("SUM_ALL", "REPLACE", "FIRST_ONLY")
 
 
@@ -143,3 +145,18 @@ def update_columns(target: DataFrame, updates: DataFrame, keys: list[str], colum
     new = updates.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
     joined = target.join(new, keys, "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns])
+
+
+def matrix(edges: DataFrame, targets: list) -> DataFrame:
+    """Sources as rows, the named ``targets`` as columns ``d<target>``, the summed rate as cell, null where there is none."""
+    wide = edges.groupBy("src").pivot("dst", targets).agg(F.sum("rate"))
+    return wide.select("src", *[F.col(f"`{t}`").alias(f"d{t}") for t in targets])
+
+
+def firm_page(firms: DataFrame, sort_key: str, number: int, size: int = 20, firm: str = "firm") -> DataFrame:
+    """Page ``number`` of ``firms`` by ``sort_key``, greatest first, nulls last, ties by firm, with ``place`` and ``total``.
+
+    The order is made once over all partitions; the page is read from its own.
+    """
+    order = in_order(firms, F.desc_nulls_last(sort_key), firm)
+    return order.page(number, size).withColumn("total", F.lit(order.total).cast("long"))

@@ -7,11 +7,15 @@ out of rounds is an error, unless the operator returns how far it came.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.operators.components import connected_components
-from tradeloom.session import durable
+from tradeloom.operators.contraction import WORTH, Runs, runs, ways
+from tradeloom.operators.ordered import in_order
+from tradeloom.session import discard, durable, is_written, new_folder
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -107,43 +111,138 @@ def _least_labels(arcs: DataFrame, nodes: DataFrame, salt: int, max_rounds: int,
             after = after.unionByName(down).unionByName(up).groupBy("node").agg(F.min("f").alias("f"), F.min("b").alias("b"))
         after = durable(after)
         settled = after.join(state.select("node", F.col("f").alias("f0"), F.col("b").alias("b0")), "node").where("f <> f0 OR b <> b0").isEmpty()
+        discard(state)
         state = after
         if settled:
             return state
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _contracted(arcs: DataFrame, nodes: DataFrame, finish: int) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[DataFrame, Runs]]]:
+    """``arcs`` and ``nodes`` without ends and runs, labels ``(node, label)`` known so far, and the layers taken out.
+
+    A node without a way in or out is a component; so is a ring. A run goes in
+    its entry's component if its exit is in it as well, which an arc from entry
+    to exit tells. Passes go on while each takes out a share worth it.
+    """
+    known = nodes.limit(0).select("node", F.col("node").alias("label"))
+    layers: list[tuple[DataFrame, Runs]] = []
+    while True:
+        if nodes.count() <= finish:
+            return arcs, nodes, known, layers
+        at = durable(ways(arcs.withColumn("rate", F.lit(1.0))))
+        n, ends, unary = at.agg(F.count("*"), F.count_if((F.col("n_in") == 0) | (F.col("n_out") == 0)), F.count_if((F.col("n_in") == 1) & (F.col("n_out") == 1))).first()
+        if not n or ends + unary < WORTH * n:
+            discard(at)
+            return arcs, nodes, known, layers
+        lone = at.where("n_in = 0 OR n_out = 0")
+        made = runs(at.where("n_in = 1 AND n_out = 1").withColumn("value", F.lit(0.0)))
+        gone = made.table.select("node")
+        ended = durable(lone.select("node"))
+        found = durable(ended.select("node", F.col("node").alias("label")).unionByName(made.rings.select("node", F.col("ring").alias("label"))))
+        bypass = made.exits.select(F.col("entry").alias("src"), F.col("exit").alias("dst")).where("src <> dst")
+        stays = arcs.select("src", "dst")
+        for side in ("src", "dst"):
+            stays = stays.join(gone.withColumnRenamed("node", side), side, "left_anti")
+        stays = stays.select("src", "dst").unionByName(bypass)
+        for side in ("src", "dst"):
+            stays = stays.join(ended.withColumnRenamed("node", side), side, "left_anti")
+        arcs = durable(stays.select("src", "dst").distinct())
+        nodes = durable(nodes.join(gone, "node", "left_anti").join(ended, "node", "left_anti"))
+        known = known.unionByName(found)
+        layers.append((ended, made))
+        discard(at)
+
+
+def _tarjan(pdf):
+    """``(node, label)`` of the edges of one bounded graph; a label is the least node of its component."""
+    import pandas as pd
+
+    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+    src, dst = codes[: len(pdf)], codes[len(pdf) :]
+    order = src.argsort(kind="stable")
+    first, after = pd.Series(src[order]).searchsorted(range(len(names) + 1)), dst[order].tolist()
+    found, low, waiting, closed = [0] * len(names), [0] * len(names), [], [False] * len(names)
+    label, clock = [0] * len(names), 0
+    for root in range(len(names)):
+        path = [] if found[root] else [(root, int(first[root]))]
+        while path:
+            v, at = path.pop()
+            if not found[v]:
+                clock += 1
+                found[v] = low[v] = clock
+                waiting.append(v)
+            elif at > first[v]:  # back from the neighbour before
+                w = after[at - 1]
+                if not closed[w]:
+                    low[v] = min(low[v], low[w])
+            while at < first[v + 1] and (found[after[at]] or closed[after[at]]):
+                if not closed[after[at]]:
+                    low[v] = min(low[v], found[after[at]])
+                at += 1
+            if at < first[v + 1]:
+                path += [(v, at + 1), (after[at], int(first[after[at]]))]
+            elif low[v] == found[v]:
+                members = [waiting.pop()]
+                while members[-1] != v:
+                    members.append(waiting.pop())
+                least = min(members, key=lambda m: names[m])
+                for m in members:
+                    closed[m], label[m] = True, least
+    return pd.DataFrame({"node": names, "label": [names[m] for m in label]})
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 200, finish: int = 2000) -> DataFrame:
     """``(node, component, size)``: strongly connected components, named by their least node.
 
-    Each round gives every node the least label upstream and downstream. Where
-    both are the same, node and label are on one cycle, so these nodes are
-    whole components. Components never cross nodes whose labels differ, so only
-    edges between nodes of equal labels stay, and all remaining parts go on at
-    the same time. Nodes without an edge left are components by themselves.
+    Ends and runs are taken out first (:mod:`contraction`), so long chains cost
+    little. Then each round gives every node the least label upstream and
+    downstream. Where both are the same, node and label are on one cycle, so
+    these nodes are whole components. Components never cross nodes whose labels
+    differ, so only edges between nodes of equal labels stay, and all remaining
+    parts go on at the same time. Nodes without an edge left are components by
+    themselves. Once ``finish`` nodes are left, one task ends the search.
     """
-    arcs = durable(edges.select("src", "dst").distinct())
-    nodes = durable(nodes_of(arcs))
-    arcs = arcs.where("src <> dst")
-    done: DataFrame | None = None
+    every = durable(edges.select("src", "dst").distinct())
+    start = durable(nodes_of(every))
+    arcs, nodes, done, layers = _contracted(every.where("src <> dst"), start, finish)
+    made: list[DataFrame] = []
     for k in range(max_rounds):
+        if nodes.count() <= finish:
+            kind = dict(nodes.dtypes)["node"]
+            alone = nodes.join(nodes_of(arcs), "node", "left_anti").select("node", F.col("node").alias("label"))
+            done = durable(done.unionByName(alone).unionByName(arcs.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_tarjan, f"node {kind}, label {kind}")))
+            made.append(done)
+            break
         touched = nodes_of(arcs)
         lone = durable(nodes.join(touched, "node", "left_anti").select("node", F.col("node").alias("label")))
-        done = lone if done is None else done.unionByName(lone)
-        nodes = durable(nodes.join(touched, "node", "left_semi"))
+        done = done.unionByName(lone)
+        old, nodes = nodes, durable(nodes.join(touched, "node", "left_semi"))
+        made += [lone, old]
         if nodes.isEmpty():
             break
         labels = _least_labels(arcs, nodes, k, max_rounds)
         found = durable(labels.where("f = b").select("node", F.col("f.id").alias("label")))
         done = done.unionByName(found)
         open_ = labels.where("f <> b")
-        nodes = durable(open_.select("node"))
+        old, nodes = nodes, durable(open_.select("node"))
         one, two = open_.select(F.col("node").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")), open_.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2"))
-        arcs = durable(arcs.join(one, "src").join(two, "dst").where("f1 = f2 AND b1 = b2").select("src", "dst"))
+        left = durable(arcs.join(one, "src").join(two, "dst").where("f1 = f2 AND b1 = b2").select("src", "dst"))
+        made += [found, old, labels]
+        arcs = left
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    for _, run in reversed(layers):
+        x, y = done.select(F.col("node").alias("entry"), F.col("label").alias("l1")), done.select(F.col("node").alias("exit"), F.col("label").alias("l2"))
+        back = run.exits.select("head", "entry", "exit").join(x, "entry").join(y, "exit").where("l1 = l2").select("head", F.col("l1").alias("label"))
+        put = run.nodes.select("node", "head").join(back, "head", "left").select("node", F.coalesce("label", "node").alias("label"))
+        done = durable(done.unionByName(put))
+        made.append(done)
     sizes = done.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("size"))
-    return done.join(sizes, "label").select("node", "component", "size")
+    out = durable(done.join(sizes, "label").select("node", "component", "size"))
+    for used in (every, start, arcs, nodes, *made, *[t for ended, run in layers for t in (ended, run.table)]):
+        discard(used)
+    return out
 
 
 def cycle_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -226,50 +325,111 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = True, ma
     return out.select("source", "target", F.when(reason.isNull(), F.col("best.length")).alias("length"), F.when(reason.isNull(), F.col("best.hops")).alias("hops"), F.when(reason.isNull(), F.col("best.path")).alias("path"), reason.alias("reason"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, weighted: bool = False, normalised: bool = True, max_rounds: int = 500) -> DataFrame:
-    """``(node, betweenness)`` by Brandes' method over (source, node) state; ``sources(node)`` limits the sources, all are exact.
+#: Rows of (source, node) state that a batch of sources may have.
+STATE_ROWS = 1 << 26
 
-    Distances come first by relaxation; then path counts go forward and
-    dependencies backward along the edges that are on a shortest path, in
-    order of the number of such edges still open at a node.
+
+def betweenness(
+    edges: DataFrame, sources: DataFrame | None = None, weighted: bool = False, normalised: bool = True, max_rounds: int = 500, batch: int | None = None, progress: str | None = None
+) -> DataFrame:
+    """``(node, betweenness)`` by Brandes' method; ``sources(node)`` limits the sources, all are exact.
+
+    Sources go batch by batch, so the (source, node) state is bounded, by
+    default to ``STATE_ROWS``. Each batch adds a table of its sums to the folder
+    ``progress`` and discards its state; a run that finds tables of finished
+    batches there goes on after them. The folder serves one graph and one
+    choice of sources; without it a new one in the shared folder is used.
     """
     w = F.min("weight") if weighted else F.lit(1.0)
     arcs = durable(edges.where("src <> dst").groupBy("src", "dst").agg(w.alias("weight")))
     nodes = durable(nodes_of(edges))
     n = nodes.count()
-    start = nodes if sources is None else sources.select("node").distinct()
-    dist = durable(start.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")))
+    order = in_order(nodes if sources is None else sources.select("node").distinct(), "node")
+    size = batch or max(1, STATE_ROWS // max(n, 1))
+    folder = progress or new_folder(nodes.sparkSession)
+    parts: list[str] = []
+    for k in range(-(-order.total // size)):
+        path = f"{folder}/sources-{size}-{k}"
+        parts.append(path)
+        if not is_written(nodes.sparkSession, path):
+            start = durable(order.page(k + 1, size).select("node"))
+            dep, made = (_weighted_dependencies if weighted else _dependencies)(arcs, start, n, max_rounds)
+            dep.where("source <> node").groupBy("node").agg(F.sum("dep").alias("dep")).write.mode("overwrite").parquet(path)
+            for used in (start, *made):
+                discard(used)
+    scale = 1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0
+    total = nodes.sparkSession.read.schema(nodes.select("node", F.lit(0.0).alias("dep")).schema).parquet(*parts) if parts else nodes.select("node", F.lit(0.0).alias("dep"))
+    out = durable(nodes.join(total.groupBy("node").agg(F.sum("dep").alias("dep")), "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness")))
+    for used in (arcs, nodes, order.table, *([total] if parts and progress is None else [])):
+        discard(used)
+    return out
+
+
+def _dependencies(arcs: DataFrame, start: DataFrame, n: int, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``(source, node, dep)`` by numbers of steps, and the tables made: layer by layer path counts go out and dependencies come back."""
+    levels = [durable(start.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    while len(levels) <= max_rounds:
+        came = levels[-1].join(arcs, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in levels:
+            came = came.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        levels.append(durable(came))
+        if levels[-1].isEmpty():
+            break
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+    back: list[DataFrame] = []
+    below = levels[-1].select("source", "node", "paths", F.lit(0.0).alias("dep"))
+    for here in reversed(levels[:-1]):
+        after = below.select("source", F.col("node").alias("dst"), F.col("paths").alias("pd"), "dep")
+        got = here.join(arcs, F.col("node") == F.col("src")).join(after, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("pd") * (1 + F.col("dep"))).alias("dep"))
+        below = durable(here.join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
+        back.append(below)
+    return reduce(DataFrame.unionByName, [b.select("source", "node", "dep") for b in back]), [*levels, *back]
+
+
+def _weighted_dependencies(arcs: DataFrame, start: DataFrame, n: int, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``(source, node, dep)`` by weights, and the tables made.
+
+    Distances come first by relaxation; then path counts go forward and
+    dependencies backward along the edges that are on a shortest path, in
+    order of the number of such edges still open at a node.
+    """
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        made.append(durable(df))
+        return made[-1]
+
+    dist = kept(start.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")))
     moving = dist
     for _ in range(max_rounds):
         came = moving.join(arcs, moving.node == arcs.src).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("weight")).alias("new")).groupBy("source", "node").agg(F.min("new").alias("new"))
-        after = durable(dist.join(came, ["source", "node"], "full").select("source", "node", F.least("d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d") - 1e-12)).alias("moved")))
+        after = kept(dist.join(came, ["source", "node"], "full").select("source", "node", F.least("d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d") - 1e-12)).alias("moved")))
         dist, moving = after.select("source", "node", "d"), after.where("moved").select("source", "node", "d")
         if moving.isEmpty():
             break
     else:
         raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
     u, v = dist.select("source", F.col("node").alias("src"), F.col("d").alias("du")), dist.select("source", F.col("node").alias("dst"), F.col("d").alias("dv"))
-    tree = durable(u.join(arcs, "src").join(v, ["source", "dst"]).where(F.abs(F.col("du") + F.col("weight") - F.col("dv")) < 1e-9).select("source", "src", "dst"))
+    tree = kept(u.join(arcs, "src").join(v, ["source", "dst"]).where(F.abs(F.col("du") + F.col("weight") - F.col("dv")) < 1e-9).select("source", "src", "dst"))
     # the rank of a node is the longest chain of tree edges to it: counts and dependencies go rank by rank
-    rank = durable(dist.select("source", "node", F.lit(0).alias("r")))
+    rank = kept(dist.select("source", "node", F.lit(0).alias("r")))
     for k in range(1, n + 1):
         up = rank.where(F.col("r") == k - 1).join(tree.withColumnRenamed("src", "node"), ["source", "node"]).select("source", F.col("dst").alias("node"), F.lit(k).alias("r")).distinct()
         if up.isEmpty():
             break
-        rank = durable(rank.unionByName(up).groupBy("source", "node").agg(F.max("r").alias("r")))
+        rank = kept(rank.unionByName(up).groupBy("source", "node").agg(F.max("r").alias("r")))
     deepest = rank.agg(F.max("r")).first()[0] or 0
-    sigma = durable(rank.where("r = 0").select("source", "node", F.lit(1.0).alias("paths")))
+    sigma = kept(rank.where("r = 0").select("source", "node", F.lit(1.0).alias("paths")))
     for k in range(1, deepest + 1):
         came = rank.where(F.col("r") == k).select("source", F.col("node").alias("dst")).join(tree, ["source", "dst"]).join(sigma.withColumnRenamed("node", "src"), ["source", "src"])
-        sigma = sigma.unionByName(durable(came.groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))))
-    sigma = durable(sigma)
-    dep = durable(rank.where(F.col("r") == deepest).select("source", "node", F.lit(0.0).alias("dep")))
+        sigma = sigma.unionByName(kept(came.groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))))
+    sigma = kept(sigma)
+    dep = kept(rank.where(F.col("r") == deepest).select("source", "node", F.lit(0.0).alias("dep")))
     for k in range(deepest - 1, -1, -1):
         below = rank.where(F.col("r") == k).select("source", "node")
         out = below.withColumnRenamed("node", "src").join(tree, ["source", "src"]).join(dep.withColumnRenamed("node", "dst"), ["source", "dst"])
         out = out.join(sigma.select("source", F.col("node").alias("src"), F.col("paths").alias("ps")), ["source", "src"]).join(sigma.select("source", F.col("node").alias("dst"), F.col("paths").alias("pd")), ["source", "dst"])
         got = out.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("ps") / F.col("pd") * (1 + F.col("dep"))).alias("dep"))
-        dep = dep.unionByName(durable(below.join(got, ["source", "node"], "left").select("source", "node", F.coalesce("dep", F.lit(0.0)).alias("dep"))))
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0
-    total = dep.where("source <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness"))
+        dep = dep.unionByName(kept(below.join(got, ["source", "node"], "left").select("source", "node", F.coalesce("dep", F.lit(0.0)).alias("dep"))))
+    return dep, made

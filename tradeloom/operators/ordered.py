@@ -8,6 +8,7 @@ of which the driver holds as many as there are partitions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +98,11 @@ def carried_forward(df: DataFrame, columns: list[str], *order: Column | str) ->
     return out.withColumns({c: F.coalesce(c, f"_carry{k}") for k, c in enumerate(columns)}).select(*df.columns)
 
 
-def order_statistics(df: DataFrame, column: str, keys: list[str], fractions: list[float], bins: int = 256, most_rounds: int = 40) -> DataFrame:
+def order_statistics(df: DataFrame, column: str, keys: list[str], fractions: list[float], bins: int = 256, most_rounds: int = 40, from_zero: bool = False) -> DataFrame:
     """``(*keys, fraction, value)``: the least value with at least that fraction of the key's values at or below it, exactly.
 
+    With ``from_zero`` the value at place ``floor(fraction * n)`` from 0, the last at most.
+
     ``column`` is cast to double and its nulls are left out. Each round counts
     the values of every open interval in ``bins`` narrower ones and keeps the one
     with the wanted place, so a key of any size sends a row for each bin and
@@ -111,8 +114,11 @@ def order_statistics(df: DataFrame, column: str, keys: list[str], fractions: lis
     asked = spark.createDataFrame([(float(f),) for f in fractions], "fraction double")
     # the place sought among the values of the interval [_low, _high], from 1
     place = F.greatest(F.ceil(F.col("fraction") * F.col("_n") - 1e-9), F.lit(1)).cast("long")
+    if from_zero:
+        place = F.least(F.floor(F.col("fraction") * F.col("_n")) + 1, F.col("_n"))
     state = durable(ends.crossJoin(F.broadcast(asked)).withColumn("_place", place).drop("_n"))  # a few fractions
     done: list[DataFrame] = []
+    made = [values, state]
     join_keys = keys or ["_all"]
     if not keys:
         values, state = values.withColumn("_all", F.lit(0)), state.withColumn("_all", F.lit(0))
@@ -128,10 +134,11 @@ def order_statistics(df: DataFrame, column: str, keys: list[str], fractions: lis
         binned = met.groupBy(*join_keys, "fraction", "_place", place_of.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         sums = Window.partitionBy(*join_keys, "fraction").orderBy("_bin")
         upto = binned.withColumn("_upto", F.sum("_c").over(sums))
+        made.append(state)
         state = durable(upto.where("_upto >= _place AND _upto - _c < _place").select(*join_keys, "fraction", "_low", "_high", (F.col("_place") - F.col("_upto") + F.col("_c")).alias("_place")))
     else:
         raise RuntimeError(f"order statistics are open after {most_rounds} rounds")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    out = durable(reduce(DataFrame.unionByName, done))
+    for used in {id(t): t for t in [*made, state]}.values():
+        discard(used)
     return out

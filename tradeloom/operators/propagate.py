@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.operators.contraction import WORTH, runs, ways
 from tradeloom.operators.graph import nodes_of, strong_components
 from tradeloom.operators.rounds import AT_ONCE, advance
 from tradeloom.session import discard, durable
 
 
+#: A spectral radius this close to 1 counts as 1, for components of any size.
+RADIUS_SLACK = 1e-9
+
+
 @dataclass
 class Propagated:
     values: DataFrame  # node, value
@@ -82,89 +88,159 @@ def fixed_rounds(edges: DataFrame, init: DataFrame, rounds: int, columns: list[s
 
 
 def _block(pdf, damping: float):
-    """Solve one strong component: x = (I - M)^-1 b, M damped as a whole while its spectral radius is 1 or more."""
+    """Solve a set of whole components: x = (I - M)^-1 b, each component's own rates damped while its spectral radius is 1 or more.
+
+    ``pdf`` has nodes (``kind`` node: node, value, component) and rates (``kind``
+    edge: from ``node`` to ``dst``, ``component`` null between components).
+    """
     import pandas as pd
 
     nodes = pdf.loc[pdf["kind"] == "node"]
     place = {k: i for i, k in enumerate(nodes["node"])}
     m, b = np.zeros((len(place), len(place))), nodes["value"].to_numpy(float)
-    for r in pdf.loc[pdf["kind"] == "edge"].itertuples():
-        m[place[r.dst], place[r.node]] += r.value
-    damped = 0
-    if m.any():
-        while np.abs(np.linalg.eigvals(m)).max() >= 1 - 1e-12:
-            m *= damping
-            damped += 1
+    edges = pdf.loc[pdf["kind"] == "edge"]
+    np.add.at(m, (edges["dst"].map(place).to_numpy(int), edges["node"].map(place).to_numpy(int)), edges["value"].to_numpy(float))
+    damped = np.zeros(len(place), np.int64)
+    inside = set(edges["component"].dropna())
+    for component, mine in nodes.reset_index(drop=True).groupby("component").groups.items():
+        if component in inside:
+            at = np.ix_(mine, mine)
+            while np.abs(np.linalg.eigvals(m[at])).max() >= 1 - RADIUS_SLACK:
+                m[at] *= damping
+                damped[mine] += 1
     x = np.linalg.solve(np.eye(len(m)) - m, b)
     return pd.DataFrame({"node": nodes["node"].to_numpy(), "value": x, "damped": damped})
 
 
-def condensation_levels(edges: DataFrame, components: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``(component, level)``: the longest chain of components upstream."""
-    a, b = components.select(F.col("node").alias("src"), F.col("component").alias("c1")), components.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
-    arcs = durable(edges.join(a, "src").join(b, "dst").where("c1 <> c2").select("c1", "c2").distinct())
-    state = durable(components.select("component").distinct().withColumn("level", F.lit(0)))
-
-    def one_round(now: DataFrame) -> DataFrame:
-        up = now.join(arcs, F.col("component") == F.col("c1")).select(F.col("c2").alias("component"), (F.col("level") + 1).alias("level"))
-        return now.select("component", "level").unionByName(up).groupBy("component").agg(F.max("level").alias("level"))
-
-    for done in range(0, max_rounds, AT_ONCE):
-        after = advance(state, one_round, done + 1)
-        sums = [r.s for r in after.groupBy("round").agg(F.sum("level").alias("s")).orderBy("round").collect()]
-        discard(state)
-        state = after.where(F.col("round") == done + AT_ONCE).select("component", "level")
-        if not sums or sums[-1] == sums[-2]:
-            return state
-    raise RuntimeError("levels did not settle")
+def _in_blocks(nodes: DataFrame, rates: DataFrame, group: Column, damping: float) -> DataFrame:
+    """``(node, value, damped)`` of ``nodes(node, component, value)`` and ``rates(src, dst, rate, component)``, each ``group`` solved in one task."""
+    kind = dict(nodes.dtypes)["node"]
+    one = nodes.select(group.alias("g"), F.lit("node").alias("kind"), "node", F.col("node").alias("dst"), "value", "component")
+    two = rates.select(group.alias("g"), F.lit("edge").alias("kind"), F.col("src").alias("node"), "dst", F.col("rate").alias("value"), "component")
+    return one.unionByName(two).groupBy("g").applyInPandas(lambda pdf: _block(pdf, damping), f"node {kind}, value double, damped long")
+
+
+def _ready(here: DataFrame, own: DataFrame, damping: float, block_limit: int, epsilon: float, max_iter: int) -> DataFrame:
+    """``(node, value, damped)`` of whole components ``here(node, component, size, plain, value)`` whose inflow is complete."""
+    nothing = F.lit(0).cast("long").alias("damped")
+    live = here.where("NOT plain").groupBy("component", "size").agg(F.max(F.abs("value")).alias("most")).where("most > 0").select("component", "size")
+    live = durable(live)
+    if live.isEmpty():
+        return here.select("node", "value", nothing)
+    still = here.join(live, "component", "left_anti").select("node", "value", nothing)
+    small, big = live.where(F.col("size") <= block_limit).select("component"), live.where(F.col("size") > block_limit).select("component")
+    part = still.unionByName(_in_blocks(here.join(small, "component", "left_semi"), own.join(small, "component", "left_semi"), F.col("component"), damping))
+    if not big.isEmpty():
+        rates = durable(own.join(big, "component", "left_semi"))
+        b = durable(here.join(big, "component", "left_semi").select("component", "node", "value"))
+        times = durable(damping_times(rates, damping))
+        damped = rates.join(times, "component").select(F.col("dst").alias("i"), F.col("src").alias("j"), (F.col("rate") * F.pow(F.lit(damping), "damped")).alias("w"))
+        solved = solve(damped, b.select(F.col("node").alias("i"), F.col("value").alias("b")), epsilon, max_iter)
+        part = part.unionByName(solved.withColumnsRenamed({"i": "node", "x": "value"}).join(b.select("node", "component"), "node").join(times, "component").select("node", "value", "damped"))
+    return part
+
+
+def _without(table: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        table = table.join(nodes.select(F.col("node").alias(c)), c, "left_anti")
+    return table
+
+
+def _lightened(state: DataFrame, across: DataFrame, least: int) -> tuple[DataFrame, DataFrame, list]:
+    """The state and the arcs between components without runs and ends of plain nodes, and the layers to put back.
+
+    A layer is ``(arcs into the ends, the ends, the runs)``.
+    """
+    layers: list = []
+    while (n := state.count()) > least:
+        at = durable(state.join(ways(across), "node", "left").na.fill(0, ["n_in", "n_out"]))
+        ends, unary = at.agg(F.count_if(F.col("plain") & (F.col("n_out") == 0)), F.count_if(F.col("plain") & (F.col("n_in") == 1) & (F.col("n_out") == 1))).first()
+        if ends + unary < WORTH * n:
+            discard(at)
+            break
+        made = runs(at.where("plain AND n_in = 1 AND n_out = 1"))
+        gone = made.table.select("node")
+        bypass = made.exits.select(F.col("entry").alias("src"), F.col("exit").alias("dst"), F.col("c").alias("rate"))
+        arcs = _without(across, gone, "src", "dst").select("src", "dst", "rate").unionByName(bypass).groupBy("src", "dst").agg(F.sum("rate").alias("rate"))
+        arcs = durable(arcs)
+        sent = made.exits.groupBy(F.col("exit").alias("node")).agg(F.sum("a").alias("sent"))
+        left = durable(_without(at, gone, "node").join(sent, "node", "left").select("node", "component", "size", "plain", (F.col("value") + F.coalesce("sent", F.lit(0.0))).alias("value"), (F.col("plain") & (F.col("n_out") == 0)).alias("ends")))
+        last = left.where("ends").select("node", "value")
+        into = durable(arcs.join(last.select(F.col("node").alias("dst")), "dst", "left_semi"))
+        layers.append((into, left, made))
+        old = (state, across)
+        state, across = durable(left.where("NOT ends").drop("ends")), durable(_without(arcs, last, "dst"))
+        for used in (at, arcs, *old):
+            discard(used)
+    return state, across, layers
 
 
 def propagate_closed(edges: DataFrame, init: DataFrame, damping: float = 0.95, block_limit: int = 2000, epsilon: float = 1e-12, max_iter: int = 2000) -> DataFrame:
     """``(node, value, damped)`` by strong components, upstream first; values rounded to 6 digits, zeros dropped.
 
-    Blocks up to ``block_limit`` nodes are solved each in one task. A larger
-    component never meets in one task: its spectral radius comes from bounds
-    that close round by round, its rates are damped by themselves, as a block's
-    are, and its system is solved by iteration, with all of a level's at once.
+    Nodes on no cycle that have one way in and out, or no way out, are taken
+    out first and put back at the end, so long chains cost a few jobs. Of the
+    rest, all components whose inflow is complete are solved together, until
+    ``block_limit`` nodes are left, which one task finishes.
+
+    Components up to ``block_limit`` nodes are solved each in one task. A larger
+    one never meets in one task: its spectral radius comes from bounds that
+    close round by round, its rates are damped by themselves, as a block's are,
+    and its system is solved by iteration.
     """
     arcs = durable(edges.groupBy("src", "dst").agg(F.sum("rate").alias("rate")))
-    start = init.groupBy("node").agg(F.sum("value").alias("value"))
-    lonely = start.join(nodes_of(arcs), "node", "left_anti")
-    scc = durable(strong_components(arcs))
-    levels = durable(condensation_levels(arcs, scc))
-    place = durable(scc.join(levels, "component"))
-    inside = arcs.join(place.select(F.col("node").alias("src"), F.col("component").alias("c1"), "size"), "src").join(place.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst")
-    inside = durable(inside)
-    across = inside.where("c1 <> c2").select("src", "dst", "rate")
-    own = inside.where("c1 = c2").select("src", "dst", "rate", F.col("c1").alias("component"), "size")
-    result = None
-    for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
-        here = place.where(F.col("level") == level)
-        b = here.select("node", "component", "size").join(start, "node", "left").select("node", "component", "size", F.coalesce("value", F.lit(0.0)).alias("value"))
-        if result is not None:
-            came = result.join(across, result.node == across.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("value") * F.col("rate")).alias("came"))
-            b = b.join(came, "node", "left").select("node", "component", "size", (F.col("value") + F.coalesce("came", F.lit(0.0))).alias("value"))
-        b = durable(b)
-        live = b.groupBy("component").agg(F.max(F.abs("value")).alias("most")).where("most > 0").select("component")
-        b = b.join(live, "component", "left_semi")
-        small = b.where(F.col("size") <= block_limit).select("component", F.lit("node").alias("kind"), "node", F.col("node").alias("dst"), "value")
-        links = own.where(F.col("size") <= block_limit).join(live, "component", "left_semi").join(here.select("component").distinct(), "component", "left_semi").select("component", F.lit("edge").alias("kind"), F.col("src").alias("node"), "dst", F.col("rate").alias("value"))
-        kind = dict(scc.dtypes)["node"]
-        part = small.unionByName(links).groupBy("component").applyInPandas(lambda pdf: _block(pdf, damping), f"node {kind}, value double, damped long")
-        big = durable(b.where(F.col("size") > block_limit).select("component", "node", "value"))
-        if not big.isEmpty():
-            rates = own.where(F.col("size") > block_limit).join(big.select("component").distinct(), "component", "left_semi")
-            times = durable(damping_times(rates, damping))
-            damped = rates.join(times, "component").select(F.col("dst").alias("i"), F.col("src").alias("j"), (F.col("rate") * F.pow(F.lit(damping), "damped")).alias("w"))
-            solved = solve(damped, big.select(F.col("node").alias("i"), F.col("value").alias("b")), epsilon, max_iter)
-            part = part.unionByName(solved.withColumnsRenamed({"i": "node", "x": "value"}).join(big.select("node", "component"), "node").join(times, "component").select("node", "value", "damped"))
-        part = durable(part)
-        result = part if result is None else result.unionByName(part)
-    out = result.unionByName(lonely.withColumn("damped", F.lit(0).cast("long"))) if result is not None else lonely.withColumn("damped", F.lit(0).cast("long"))
-    return out.select("node", F.round("value", 6).alias("value"), "damped").where("value <> 0")
-
-
-def damping_times(rates: DataFrame, damping: float, tolerance: float = 1e-9, max_rounds: int = 4000) -> DataFrame:
+    start = durable(init.groupBy("node").agg(F.sum("value").alias("value")))
+    scc = strong_components(arcs, finish=block_limit)
+    of = lambda side, name: scc.select(F.col("node").alias(side), F.col("component").alias(name))
+    inside = durable(arcs.join(of("src", "component"), "src").join(of("dst", "c2"), "dst"))
+    own = inside.where("component = c2").select("src", "dst", "rate", "component")
+    across = durable(inside.where("component <> c2").select("src", "dst", "rate"))
+    cyclic = own.select("component").distinct().withColumn("plain", F.lit(False))
+    state = scc.join(start, "node", "left").join(cyclic, "component", "left")
+    state = durable(state.select("node", "component", "size", F.coalesce("plain", F.lit(True)).alias("plain"), F.coalesce("value", F.lit(0.0)).alias("value")))
+    state, across, layers = _lightened(state, across, block_limit)
+
+    parts: list[DataFrame] = []
+    missing = across.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
+    state = durable(state.join(missing, "node", "left").na.fill(0, ["missing"]))
+    arcs_left = across.count()
+    met = 0
+    while n := state.count():
+        if n <= block_limit:
+            still = state.select(F.col("node").alias("src"))
+            rates = own.join(still, "src", "left_semi").unionByName(across.join(still, "src", "left_semi").withColumn("component", F.lit(None)))
+            parts.append(durable(_in_blocks(state, rates, F.lit(0), damping)))
+            break
+        complete = durable(state.groupBy("component").agg(F.sum("missing").alias("missing")).where("missing = 0").select("component"))
+        part = durable(_ready(durable(state.join(complete, "component", "left_semi")), own, damping, block_limit, epsilon, max_iter))
+        flow = durable(part.join(across, part.node == across.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("value") * F.col("rate")).alias("came"), F.count("*").alias("n")))
+        rest = state.join(complete, "component", "left_anti").join(flow, "node", "left")
+        old, state = state, durable(rest.select("node", "component", "size", "plain", (F.col("value") + F.coalesce("came", F.lit(0.0))).alias("value"), (F.col("missing") - F.coalesce("n", F.lit(0))).alias("missing")))
+        parts.append(part)
+        met += flow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        for used in (old, complete, flow):
+            discard(used)
+        if 2 * met > arcs_left:  # arcs that were used go once they are half of all
+            used, across = across, durable(across.join(state.select(F.col("node").alias("src")), "src", "left_semi"))
+            discard(used)
+            arcs_left, met = arcs_left - met, 0
+
+    values = reduce(DataFrame.unionByName, parts) if parts else scc.limit(0).select("node", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("damped"))
+    nothing = F.lit(0).cast("long").alias("damped")
+    for into, left, made in reversed(layers):
+        came = into.join(values, into.src == values.node).groupBy("dst").agg(F.sum(F.col("value") * F.col("rate")).alias("came"))
+        ends = left.where("ends").select("node", F.col("value").alias("b")).join(came.withColumnRenamed("dst", "node"), "node", "left").select("node", (F.col("b") + F.coalesce("came", F.lit(0.0))).alias("value"), nothing)
+        values = durable(values.unionByName(ends))
+        entry = values.select(F.col("node").alias("entry"), F.col("value").alias("first"))
+        values = durable(values.unionByName(made.nodes.join(entry, "entry").select("node", (F.col("a") + F.col("c") * F.col("first")).alias("value"), nothing)))
+    lonely = start.join(scc, "node", "left_anti").select("node", "value", nothing)
+    out = durable(values.unionByName(lonely).select("node", F.round("value", 6).alias("value"), "damped").where("value <> 0"))
+    for used in (arcs, start, scc, inside, across, state, *parts, *[t for into, left, made in layers for t in (into, left, made.table)]):
+        discard(used)
+    return out
+
+
+def damping_times(rates: DataFrame, damping: float, tolerance: float = RADIUS_SLACK, max_rounds: int = 4000) -> DataFrame:
     """``(component, damped)``: how often each strong component of ``rates(component, src, dst, rate)`` is damped until its spectral radius is under 1.
 
     Power iteration on I + M, whose least and greatest growth bound the radius

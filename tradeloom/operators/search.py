@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeloom.operators.ordered import order_statistics
+
 #: Weights of the token labels.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
@@ -118,13 +120,9 @@ def retrieval_metrics(ranked: DataFrame, column: str = "exact", *keys: str) -> D
 
 
 def nearest_rank(df: DataFrame, column: str, q: float, *keys: str) -> DataFrame:
-    """The value at place ``floor(q * n)`` from 0 in order, the last at most; on distinct values with counts, so that a big group shrinks first."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy(*keys).orderBy(column)) if keys else F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(column))
-    total = F.sum("c").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    place = F.least(F.floor(F.lit(q) * F.col("total")), F.col("total") - 1)
-    x = counts.withColumn("till", before).withColumn("total", total)
-    return x.where((F.col("till") > place) & (F.col("till") - F.col("c") <= place)).select(*keys, F.col(column).alias("value"))
+    """``(*keys, value)``: the value at place ``floor(q * n)`` from 0 in order, the last at most; exact, by counts in narrowing intervals."""
+    found = order_statistics(df, column, list(keys), [q], from_zero=True)
+    return found.select(*keys, F.col("value").cast(dict(df.dtypes)[column]))
 
 
 def stability(runs: DataFrame, metric: str, baseline: float) -> DataFrame:

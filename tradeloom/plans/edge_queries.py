@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +75,10 @@ def a7_share_checks(v):
     return _rounded(E.share_checks(E.edge_shares(v("v_company_edge"))), least=6, most=6, mean=6, off=6)
 
 
-@query("""SELECT b.company, round(b.bought, 2) AS bought FROM (SELECT dst AS company, sum(sly_amt) AS bought FROM v_company_edge WHERE src % 3 <> 0 GROUP BY dst) b
-  LEFT JOIN (SELECT src AS company, sum(sly_amt) AS sold FROM v_company_edge WHERE src % 3 <> 0 GROUP BY src) s ON s.company = b.company WHERE s.sold IS NULL OR s.sold <= 0""")
+@query("""SELECT b.company, round(b.bought, 2) AS bought FROM (SELECT dst AS company, sum(amount) AS bought FROM v_dag_edge GROUP BY dst) b
+  LEFT JOIN (SELECT src AS company, sum(amount) AS sold FROM v_dag_edge GROUP BY src) s ON s.company = b.company WHERE s.sold IS NULL OR s.sold <= 0""")
 def j13_buyers_without_sales(v):
-    return _rounded(E.buyers_without_sales(v("v_company_edge").where("src % 3 <> 0")), bought=2)
+    return _rounded(E.buyers_without_sales(v("v_dag_edge").withColumnRenamed("amount", "sly_amt")), bought=2)
 
 
 @query("""SELECT src, dst, round(amount / sum(amount) OVER (PARTITION BY src), 6) AS rate, by_year FROM (SELECT src, dst, sum(sly_amt) AS amount, string_agg(concat(cast(trade_year AS string), '=', cast(cast(round(1000 * r) AS bigint) AS string)), ';' ORDER BY trade_year) AS by_year
@@ -92,17 +94,17 @@ def a4_in_shares(v):
     return _rounded(E.in_shares(v("v_company_edge")), share=6)
 
 
-_PARTNER = """SELECT p.{own} AS company, p.{other} AS partner, round(p.amount, 2) AS amount, round(p.amount / t.total, 6) AS share FROM v_pair p JOIN (SELECT {other}, sum(amount) AS total FROM v_pair GROUP BY {other}) t ON t.{other} = p.{other} WHERE p.{own} % 10 = 3"""
+_PARTNER = """SELECT p.{own} AS company, p.{other} AS partner, round(p.amount, 2) AS amount, round(p.amount / t.total, 6) AS share FROM v_pair p JOIN (SELECT {other}, sum(amount) AS total FROM v_pair GROUP BY {other}) t ON t.{other} = p.{other}"""
 
 
 @query(_PARTNER.format(own="src", other="dst"))
 def a5_customer_shares(v):
-    return _rounded(E.partner_shares(v("v_company_edge"), v("v_company").where("company % 10 = 3"), "customer"), amount=2, share=6)
+    return _rounded(E.partner_shares(v("v_company_edge"), v("v_company"), "customer"), amount=2, share=6)
 
 
 @query(_PARTNER.format(own="dst", other="src"))
 def a5_supplier_shares(v):
-    return _rounded(E.partner_shares(v("v_company_edge"), v("v_company").where("company % 10 = 3"), "supplier"), amount=2, share=6)
+    return _rounded(E.partner_shares(v("v_company_edge"), v("v_company"), "supplier"), amount=2, share=6)
 
 
 @query("""SELECT c.company, round(coalesce(s.a, 0), 2) AS sold, round(coalesce(b.a, 0), 2) AS bought FROM v_company c LEFT JOIN (SELECT src, sum(sly_amt) AS a FROM v_company_edge GROUP BY src) s ON s.src = c.company
@@ -221,14 +223,14 @@ def t7_edge_grid(v):
     return e.select("src", "seller", "dst", "buyer", "amount")
 
 
-@query("SELECT company, name, sales_ml, n AS place, total FROM (SELECT *, row_number() OVER (ORDER BY sales_ml DESC NULLS LAST, company) AS n, count(*) OVER () AS total FROM v_firms) x WHERE n BETWEEN 11 AND 20")
-def t8_firm_page(v):
-    f = v("v_firms").select("company", "name", "sales_ml")
-    page = f.orderBy(F.desc_nulls_last("sales_ml"), "company").limit(20)  # a page needs no more rows than its end
-    from pyspark.sql import Window
+_SORT_KEYS = ("sales_fin", "sales_est", "sales_ml", "purchases")
 
-    w = Window.orderBy(F.desc_nulls_last("sales_ml"), "company")
-    return page.withColumn("place", F.row_number().over(w)).where("place > 10").join(f.agg(F.count("*").alias("total")), F.lit(True))
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS sort_key, company, n AS place, total FROM (SELECT *, row_number() OVER (ORDER BY {k} DESC NULLS LAST, company) AS n, count(*) OVER () AS total FROM v_firms) x WHERE n BETWEEN 21 AND 40" for k in _SORT_KEYS))
+def t8_firm_page(v):
+    firms = v("v_firms").select("company", *_SORT_KEYS)
+    pages = [E.firm_page(firms, k, 2, 20, "company").withColumn("sort_key", F.lit(k)) for k in _SORT_KEYS]
+    return reduce(DataFrame.unionByName, pages).select("sort_key", "company", "place", "total")
 
 
 @query("SELECT 'lineitem' AS name, count(*) AS n FROM v_filings UNION ALL SELECT 'pairs', count(*) FROM v_pair UNION ALL SELECT 'companies', count(*) FROM v_company")
@@ -243,9 +245,9 @@ def u1_union_of_seeds(v):
     return f.where("sales_fin IS NULL").select("company").union(f.where("sales_est IS NULL").select("company")).distinct()
 
 
-@query("SELECT company FROM v_company WHERE company NOT IN (SELECT dst FROM v_block_edge)")
+@query("SELECT company FROM v_company WHERE company NOT IN (SELECT dst FROM v_dag_edge)")
 def u2_not_visited(v):
-    return v("v_company").select("company").join(v("v_block_edge").select(F.col("dst").alias("company")).distinct(), "company", "left_anti")
+    return v("v_company").select("company").join(v("v_dag_edge").select(F.col("dst").alias("company")).distinct(), "company", "left_anti")
 
 
 @query("SELECT DISTINCT substr(a.code, 1, 4) AS family FROM v_product_mix a WHERE a.company = 1 AND substr(a.code, 1, 4) IN (SELECT substr(code, 1, 4) FROM v_product_mix WHERE company = 2)")
@@ -328,7 +330,9 @@ def snk2_update_by_join(v):
     return E.update_columns(f, f.where("company % 7 = 0").select("company", (F.col("sales_ml") * 3).alias("sales_ml")), ["company"], ["sales_ml"])
 
 
-@query("""SELECT src, sum(CASE WHEN dst = 0 THEN rate END) AS d0, sum(CASE WHEN dst = 1 THEN rate END) AS d1, sum(CASE WHEN dst = 2 THEN rate END) AS d2, sum(CASE WHEN dst = 3 THEN rate END) AS d3 FROM v_block_rate WHERE src < 4 AND dst < 4 GROUP BY src""")
+_NATIONS = range(25)  # the columns of the matrix are the nations' keys
+
+
+@query(f"SELECT src, {', '.join(f'round(sum(CASE WHEN dst = {i} THEN amount END), 2) AS d{i}' for i in _NATIONS)} FROM v_nation_edge GROUP BY src")
 def a31_edge_matrix(v):
-    m = v("v_block_rate").where("src < 4 AND dst < 4").groupBy("src").pivot("dst", [0, 1, 2, 3]).agg(F.sum("rate"))
-    return m.select("src", *[F.col(str(i)).alias(f"d{i}") for i in range(4)])
+    return _rounded(E.matrix(v("v_nation_edge").select("src", "dst", F.col("amount").alias("rate")), list(_NATIONS)), **{f"d{i}": 2 for i in _NATIONS})

@@ -64,9 +64,9 @@ def g3_top_edge_expansion(v):
 
 
 @query("""WITH RECURSIVE r(node, depth) AS (SELECT company, 1 FROM v_company WHERE company IN (0, 9) UNION SELECT e.dst, r.depth + 1 FROM r JOIN v_dag_edge e ON e.src = r.node)
-  SELECT node, min(depth) AS depth FROM r GROUP BY node""".replace("v_dag_edge e", "(SELECT * FROM v_dag_edge WHERE dst - src >= 5) e"))
+  SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def g8_bfs_depth(v):
-    return G.bfs_depth(v("v_dag_edge").where("dst - src >= 5"), _seeds(v, 0, 9))
+    return G.bfs_depth(v("v_dag_edge"), _seeds(v, 0, 9))
 
 
 @query("""WITH RECURSIVE r(source, node, layer) AS (SELECT company, company, 0 FROM v_company WHERE company IN (4, 8, 30) UNION SELECT r.source, e.src, r.layer + 1 FROM r JOIN v_block_edge e ON e.dst = r.node WHERE r.layer < 2)
@@ -76,13 +76,10 @@ def g32_neighbours_in(v):
     return G.layers(v("v_block_edge"), s.select(F.col("node").alias("source"), "node"), 2, "in")
 
 
-_CLUSTER = "(SELECT src, dst FROM v_block_edge WHERE floor(src / 4) = floor(dst / 4) AND (src + dst) % 3 <> 1)"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {_CLUSTER} c UNION SELECT dst, src FROM {_CLUSTER} c), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
-  SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
+@query("SELECT src AS node, dst AS component FROM v_order_edge UNION SELECT dst, dst FROM v_order_edge")
 def g33_weak_components(v):
-    return G.weak_components(v("v_block_edge").where("floor(src / 4) = floor(dst / 4) AND (src + dst) % 3 <> 1"))
+    """Orders and their customers: a component for each customer with an order."""
+    return G.weak_components(v("v_order_edge"))
 
 
 _SCC = """WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM v_block_edge UNION SELECT r.a, e.dst FROM r JOIN v_block_edge e ON e.src = r.b),
@@ -147,10 +144,22 @@ def g31_shortest_paths(v):
     return _rounded(G.shortest_paths(e, pairs).select("source", "target", "length"), length=2)
 
 
-@query()
+def _between_sql(deepest: int) -> str:
+    """Brandes' sums from all sources, layers unrolled up to ``deepest`` steps."""
+    parts = ["e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_pair WHERE src <> dst)", "n AS MATERIALIZED (SELECT src AS node FROM v_pair UNION SELECT dst FROM v_pair)", "l0 AS MATERIALIZED (SELECT node AS s, node AS v, 1.0::DOUBLE AS p FROM n)"]
+    for k in range(1, deepest + 1):
+        seen = " UNION ALL ".join(f"SELECT s, v FROM l{j}" for j in range(k))
+        parts.append(f"l{k} AS MATERIALIZED (SELECT x.s, e.dst AS v, sum(x.p) AS p FROM l{k - 1} x JOIN e ON e.src = x.v ANTI JOIN ({seen}) y ON y.s = x.s AND y.v = e.dst GROUP BY x.s, e.dst)")
+    parts.append(f"b{deepest} AS MATERIALIZED (SELECT s, v, p, 0.0::DOUBLE AS d FROM l{deepest})")
+    for k in range(deepest - 1, 0, -1):
+        parts.append(f"b{k} AS MATERIALIZED (SELECT x.s, x.v, x.p, coalesce(sum(x.p / y.p * (1 + y.d)), 0) AS d FROM l{k} x LEFT JOIN (SELECT b.s, e.src, b.p, b.d FROM b{k + 1} b JOIN e ON e.dst = b.v) y ON y.s = x.s AND y.src = x.v GROUP BY x.s, x.v, x.p)")
+    every = " UNION ALL ".join(f"SELECT v, d FROM b{k}" for k in range(1, deepest + 1))
+    return f"WITH {', '.join(parts)} SELECT n.node, round(coalesce(sum(d), 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 6) AS betweenness FROM n LEFT JOIN ({every}) x ON x.v = n.node GROUP BY n.node"
+
+
+@query(_between_sql(4))
 def g30_betweenness(v):
-    pairs = v("v_pair").select("src", "dst")
-    return _rounded(G.betweenness(pairs, G.nodes_of(pairs).where("node % 50 = 0")), betweenness=6)
+    return _rounded(G.betweenness(v("v_pair").select("src", "dst")), betweenness=6)
 
 
 _INIT = "SELECT company AS node, cast(100 AS double) AS value FROM v_company WHERE company IN (0, 2, 6)"
@@ -224,12 +233,12 @@ def g18_row_normalise(v):
     return _rounded(P.row_normalise(_rate(v).withColumn("rate", F.col("rate") * 2)), rate=6)
 
 
-_ASSEMBLED = """SELECT e.src, e.dst, round(0.85 * e.amount / f.t, 6) AS rate FROM (SELECT src, dst, amount FROM v_pair WHERE src < 8 AND dst < 8 AND amount > 0) e JOIN (SELECT src, sum(amount) AS t FROM v_pair WHERE src < 8 AND dst < 8 GROUP BY src) f ON f.src = e.src"""
+_ASSEMBLED = """SELECT e.src, e.dst, round(0.85 * e.amount / f.t, 6) AS rate FROM (SELECT src, dst, amount FROM v_pair WHERE amount > 0) e JOIN (SELECT src, sum(amount) AS t FROM v_pair WHERE amount > 0 GROUP BY src) f ON f.src = e.src"""
 
 
 @query(_ASSEMBLED)
 def g4_assembled_rates(v):
-    nodes = v("v_company").where("company < 8").select(F.col("company").alias("node"))
+    nodes = v("v_company").select(F.col("company").alias("node"))
     return _rounded(S.assemble(v("v_pair"), nodes, direction="downstream", normalise="source", damping=0.85, within=True).select("src", "dst", "rate"), rate=6)
 
 
@@ -239,37 +248,107 @@ def g9_tariff_downstream(v):
     return _rounded(out.select("direction", "node", "value"), value=4)
 
 
-@query()
+def _numbered_terms(name: str, rates: str, init: str, rounds: int, epsilon: float) -> list[str]:
+    """The parts of a query that make the terms ``<name>0`` ... of a propagation."""
+    parts = [f"{name}a AS MATERIALIZED ({rates})", f"{name}0 AS MATERIALIZED ({init})"]
+    return parts + [f"{name}{k} AS MATERIALIZED (SELECT dst AS node, sum(value * rate) AS value FROM {name}{k - 1} JOIN {name}a ON src = node WHERE abs(value * rate) > {epsilon} GROUP BY dst)" for k in range(1, rounds + 1)]
+
+
+def _sum_of_terms(name: str, rounds: int) -> str:
+    every = " UNION ALL ".join(f"SELECT node, value FROM {name}{k}" for k in range(rounds + 1))
+    return f"SELECT node, sum(value) AS value FROM ({every}) x GROUP BY node"
+
+
+def _pinned(side: str) -> str:
+    """Rates of one direction without arcs into the seeds, as assembled for a tariff run."""
+    a, b = ("src", "dst") if side == "src" else ("dst", "src")
+    return f"SELECT e.{a} AS src, e.{b} AS dst, sum(0.85::DOUBLE * e.amount / t.total) AS rate FROM v_pair e JOIN (SELECT {side}, sum(amount) AS total FROM v_pair WHERE amount > 0 GROUP BY {side}) t ON t.{side} = e.{side} WHERE e.amount > 0 AND e.{b} NOT IN (0, 2, 6) GROUP BY e.{a}, e.{b}"
+
+
+def _tariff_sql(rounds: int) -> str:
+    parts, out = [], []
+    for name, direction, side in (("d", "downstream", "src"), ("u", "upstream", "dst")):
+        parts += _numbered_terms(name, _pinned(side), _INIT, rounds, 1e-8)
+        parts += [f"{name}r(node, depth) AS (SELECT node, 1 FROM {name}0 UNION SELECT e.dst, r.depth + 1 FROM {name}r r JOIN {name}a e ON e.src = r.node WHERE r.depth < 6)"]
+        out.append(f"SELECT '{direction}' AS direction, v.node, round(v.value, 4) AS value, min(r.depth) AS depth FROM ({_sum_of_terms(name, rounds)}) v JOIN {name}r r ON r.node = v.node GROUP BY v.node, v.value")
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(_tariff_sql(110))
 def g10_tariff_both_directions(v):
     nodes = v("v_company").select(F.col("company").alias("node"))
     return _rounded(S.run_tariff(v("v_pair"), nodes, _init(v)).select("direction", "node", "value", "depth"), value=4)
 
 
-@query()
+_CHANGED = "SELECT company AS node, cast(-0.2 AS double) AS value FROM v_company WHERE company IN (0, 2, 6)"
+
+
+@query(f"WITH {', '.join(_numbered_terms('t', 'SELECT src, dst, sum(rate) AS rate FROM v_pair_rate GROUP BY src, dst', _CHANGED, 80, 1e-8))} SELECT node, round(value + 1, 6) AS value FROM ({_sum_of_terms('t', 80)}) y")
 def g10b_volume_change(v):
     deltas = _init(v).select("node", F.lit(0.8).alias("multiplier"))
-    return _rounded(S.run_volume(_rate(v), deltas)[0], value=6)
+    return _rounded(S.run_volume(_rate(v, "v_pair_rate"), deltas)[0], value=6)
 
 
-@query()
+def _walks(name: str, rates: str, decay: float, rounds: int = 26, keys: str = "") -> list[str]:
+    """The parts of a query that make ``<name>(a, b, w)``: the weight of all walks, each step after the first by ``decay``."""
+    k, on = (f"{keys}, ", f" AND w.{keys} = m.{keys}") if keys else ("", "")
+    mk = f"m.{keys}, " if keys else ""
+    parts = [f"{name}w AS MATERIALIZED (SELECT {k}src AS a, dst AS b, sum(rate) AS w FROM {rates} GROUP BY {k}src, dst)", f"{name}1 AS MATERIALIZED (SELECT * FROM {name}w)"]
+    parts += [f"{name}{i} AS MATERIALIZED (SELECT {mk}m.a, w.b, {decay} * sum(m.w * w.w) AS w FROM {name}{i - 1} m JOIN {name}w w ON w.a = m.b{on} GROUP BY {mk}m.a, w.b)" for i in range(2, rounds + 1)]
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{i}" for i in range(1, rounds + 1))
+    return [*parts, f"{name} AS MATERIALIZED (SELECT {k}a, b, sum(w) AS w FROM ({every}) x GROUP BY {k}a, b)"]
+
+
+@query(f"WITH {', '.join(_walks('t', 'v_pair_rate', 0.5))} SELECT a AS node, round(w, 8) AS self, true AS settled FROM t WHERE a = b")
+def g13_self_returns(v):
+    """The whole company graph, one component: blocks and target batches, as its size is over the limit."""
+    return _rounded(R.self_returns(_rate(v, "v_pair_rate"), 0.5, block_limit=50), self=8)
+
+
+_SCORE = "CASE regexp_replace(grade, '[^A-Za-z]', '', 'g') WHEN 'AAA' THEN 1 WHEN 'AA' THEN 2 WHEN 'A' THEN 3 WHEN 'BBB' THEN 4 WHEN 'BB' THEN 5 WHEN 'B' THEN 6 END"
+_SCORES = f"SELECT company AS node, {_SCORE} AS score FROM v_grade WHERE grade_year = 1998 AND bat_seq = 1"
+_GRADE_OF = "coalesce(['AAA', 'AA', 'A', 'BBB', 'BB', 'B', 'CCC', 'CC', 'C', 'D'][least(greatest(floor({0} + 0.5), 1), 10)::INT], '-')"
+_METRICS_OF = "SELECT a AS node, sum(w) AS total, sum(CASE WHEN s.score IS NOT NULL THEN w ELSE 0 END) AS valid, sum(w * coalesce(s.score, 0)) AS exposure FROM {0} t LEFT JOIN s ON s.node = t.b WHERE a <> b GROUP BY a"
+
+
+def _scored(v) -> DataFrame:
+    return v("v_grade").where("grade_year = 1998 AND bat_seq = 1").select(F.col("company").alias("node"), R.grade_to_score(F.col("grade")).alias("score"))
+
+
+@query(f"""WITH {', '.join([f's AS MATERIALIZED ({_SCORES})', *_walks('t', 'v_pair_rate', 0.5)])} SELECT node, round(total, 4) AS total, round(valid, 4) AS valid, round(valid / total, 4) AS coverage, round(exposure / valid, 4) AS average, round(exposure, 4) AS exposure,
+  {_GRADE_OF.format('exposure / valid')} AS grade, true AS settled FROM ({_METRICS_OF.format('t')}) x""")
 def g15_company_risk(v):
-    nodes = v("v_grade").where("grade_year = 1998 AND bat_seq = 1").select(F.col("company").alias("node"), R.grade_to_score(F.col("grade")).alias("score"))
-    m = R.company_metrics(nodes, _rate(v), 0.5)
-    return _rounded(m, total=4, valid=4, coverage=4, average=4, exposure=4)
+    return _rounded(R.company_metrics(_scored(v), _rate(v, "v_pair_rate"), 0.5), total=4, valid=4, coverage=4, average=4, exposure=4)
 
 
-@query()
+@query(f"""WITH {', '.join([f's AS MATERIALIZED ({_SCORES})', *_walks('t', 'v_pair_rate', 0.5)])} SELECT round(sum(f.sales_ml * exposure) / sum(f.sales_ml * valid), 4) AS index, round(sum(f.sales_ml * valid) / sum(f.sales_ml * total), 4) AS coverage
+  FROM ({_METRICS_OF.format('t')}) x JOIN v_firms f ON f.company = x.node""")
 def a18_network_risk_index(v):
-    nodes = v("v_grade").where("grade_year = 1998 AND bat_seq = 1").select(F.col("company").alias("node"), R.grade_to_score(F.col("grade")).alias("score"))
     sales = v("v_firms").select(F.col("company").alias("node"), F.col("sales_ml").alias("sales"))
-    return _rounded(R.network_index(R.company_metrics(nodes, _rate(v), 0.5), sales), index=4, coverage=4)
+    return _rounded(R.network_index(R.company_metrics(_scored(v), _rate(v, "v_pair_rate"), 0.5), sales), index=4, coverage=4)
 
 
-@query()
+@query(f"""WITH {', '.join([f's AS MATERIALIZED ({_SCORES})', *_walks('t', 'v_pair_rate', 0.5), *_walks('u', 'v_buy_rate', 0.5)])} SELECT x.node, round(x.exposure / x.valid, 4) AS sell_average, {_GRADE_OF.format('x.exposure / x.valid')} AS sell_grade,
+  round(y.exposure / y.valid, 4) AS buy_average, {_GRADE_OF.format('y.exposure / y.valid')} AS buy_grade FROM ({_METRICS_OF.format('t')}) x JOIN ({_METRICS_OF.format('u')}) y ON y.node = x.node""")
+def g14_cumulative_averages(v):
+    return _rounded(R.cumulative_averages(_scored(v), _rate(v, "v_pair_rate"), _rate(v, "v_buy_rate"), 0.5), sell_average=4, buy_average=4)
+
+
+_YEARLY = "(SELECT trade_year, {a} AS src, {b} AS dst, 0.9::DOUBLE * sly_amt / sum(sly_amt) OVER (PARTITION BY {own}, trade_year) AS rate FROM v_company_edge WHERE src <> dst AND trade_year IN (SELECT grade_year FROM v_grade)) z"
+_YEARLY_METRICS = "SELECT t.trade_year, a AS node, sum(w * s.score) / sum(CASE WHEN s.score IS NOT NULL THEN w END) AS average FROM {0} t LEFT JOIN s ON s.node = t.b AND s.grade_year = t.trade_year WHERE a <> b GROUP BY t.trade_year, a"
+
+
+def _latest_scores() -> str:
+    return f"SELECT company AS node, grade_year, {_SCORE} AS score FROM (SELECT *, row_number() OVER (PARTITION BY company, grade_year ORDER BY bat_seq DESC) AS k FROM v_grade) g WHERE k = 1"
+
+
+@query(f"""WITH {', '.join([f's AS MATERIALIZED ({_latest_scores()})', *_walks('t', _YEARLY.format(a='src', b='dst', own='src'), 0.5, keys='trade_year'), *_walks('u', _YEARLY.format(a='dst', b='src', own='dst'), 0.5, keys='trade_year')])}
+  SELECT g.company, g.grade_year, g.bat_seq, g.grade, round(x.average, 4) AS weight_sell_avg, round(y.average, 4) AS weight_buy_avg FROM v_grade g LEFT JOIN ({_YEARLY_METRICS.format('t')}) x ON x.node = g.company AND x.trade_year = g.grade_year
+  LEFT JOIN ({_YEARLY_METRICS.format('u')}) y ON y.node = g.company AND y.trade_year = g.grade_year""")
 def g15b_yearly_risk_update(v):
-    e = v("v_company_edge").join(v("v_block_edge").select("src", "dst"), ["src", "dst"], "left_semi").where("src <> dst AND trade_year IN (1997, 1998, 1999)")
+    e = v("v_company_edge").where("src <> dst")
     shares = E.edge_shares(e).select("src", "dst", "trade_year", (F.col("sell_rate") * 0.9).alias("sell_rate"), (F.col("buy_rate") * 0.9).alias("buy_rate"))
-    return _rounded(R.yearly_update(v("v_grade"), shares)[0], weight_sell_avg=4, weight_buy_avg=4)
+    return _rounded(R.yearly_update(v("v_grade"), shares, 0.5)[0], weight_sell_avg=4, weight_buy_avg=4)
 
 
 _FIRM = "SELECT company AS firm, name, sector, hq, sales_fin, sales_est, sales_ml, purchases FROM v_firms"
@@ -284,11 +363,11 @@ _DENOM = "coalesce(CASE WHEN sales_fin > 0 THEN sales_fin END, CASE WHEN sales_e
 
 def _trade(v) -> DataFrame:
     cate = F.when((F.col("src") + F.col("dst")) % 7 == 0, "B2C").otherwise("B2B")
-    return v("v_company_edge").join(v("v_block_edge").select("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst", F.col("trade_year").alias("year"), F.col("sly_amt").alias("amount"), cate.alias("target_cate"))
+    return v("v_company_edge").select("src", "dst", F.col("trade_year").alias("year"), F.col("sly_amt").alias("amount"), cate.alias("target_cate"))
 
 
 @query(f"""SELECT i, j, round(CASE WHEN t > 1 THEN w / t ELSE w END, 6) AS w FROM (SELECT i, j, w, sum(w) OVER (PARTITION BY j) AS t FROM (SELECT e.src AS i, e.dst AS j, sum(e.sly_amt) / min(f.b) AS w FROM v_company_edge e
-  JOIN (SELECT src, dst FROM v_block_edge) k ON k.src = e.src AND k.dst = e.dst JOIN (SELECT company, {_DENOM} AS b FROM v_firms) f ON f.company = e.dst WHERE e.trade_year = 1998 AND (e.src + e.dst) % 7 <> 0 AND f.b > 0 GROUP BY e.src, e.dst) x) y""")
+  JOIN (SELECT company, {_DENOM} AS b FROM v_firms) f ON f.company = e.dst WHERE e.trade_year = 1998 AND (e.src + e.dst) % 7 <> 0 AND f.b > 0 GROUP BY e.src, e.dst) x) y""")
 def g17_coefficient_table(v):
     return _rounded(I.coefficients(_trade(v), _firms(v), 1998, ["sales_fin", "sales_est", "sales_ml"]), w=6)
 
@@ -433,7 +512,7 @@ def p31_severity(v):
 @query()
 def g19_supply_split(v):
     m = I.coefficients(_trade(v), _firms(v), 1998, ["sales_fin", "sales_est", "sales_ml"]).withColumn("w", F.col("w") * 0.5)
-    cost = _firms(v).where("firm < 10").select("firm", F.lit(100.0).alias("value"))
+    cost = _firms(v).select("firm", F.lit(100.0).alias("value"))
     return _rounded(I.supply_split(m, cost, cost.withColumn("value", F.lit(50.0))), **{f"{a}_{b}": 4 for a in ("cost", "revenue") for b in ("initial", "propagation", "total")})
 
 

@@ -88,9 +88,9 @@ def p4_active_codes(v):
     return v("v_catalog").where(F.col("valid_to") >= F.lit("2024-01-01").cast("date"))
 
 
-@query("SELECT code, substr(code, 1, 2) AS hs2, substr(code, 1, 4) AS hs4, substr(code, 1, 6) AS hs6 FROM v_catalog WHERE starts_with(code, '000001')")
+@query("SELECT code, substr(code, 1, 2) AS hs2, substr(code, 1, 4) AS hs4, substr(code, 1, 6) AS hs6 FROM v_catalog")
 def p5_prefix_columns(v):
-    return v("v_catalog").where(F.col("code").startswith("000001")).select("code", *T.prefixes(F.col("code")))
+    return v("v_catalog").select("code", *T.prefixes(F.col("code")))
 
 
 _RANKS = f"SELECT q.query_id, q.template, min(CASE WHEN h.code = q.target THEN rk END) AS exact, min(CASE WHEN substr(h.code, 1, 6) = substr(q.target, 1, 6) THEN rk END) AS family FROM v_query q LEFT JOIN ({_FUSED}) h ON h.query_id = q.query_id GROUP BY q.query_id, q.template"
@@ -135,15 +135,15 @@ def snk12_search_log(v):
     return S.log_rows(_hits(v), v("v_query"), 0.033).withColumn("top_codes", F.array_join("top_codes", ","))
 
 
-@query("SELECT code AS query_id, name AS query, code AS target FROM v_catalog WHERE length(trim(name)) >= 2 AND name IN (SELECT name FROM v_catalog GROUP BY name HAVING count(DISTINCT code) = 1)")
+@query("SELECT company AS query_id, name AS query, company AS target FROM v_company WHERE length(trim(name)) >= 2 AND name IN (SELECT name FROM v_company GROUP BY name HAVING count(DISTINCT company) = 1)")
 def a23_evaluation_set(v):
-    return S.evaluation_set(v("v_catalog"))
+    return S.evaluation_set(v("v_company").select(F.col("company").alias("code"), "name"))
 
 
-@query("SELECT round(avg(m), 4) AS mean, round(stddev_pop(m), 4) AS std, round(min(m), 4) AS least, round(max(m), 4) AS most, round(max(m) - min(m), 4) AS spread FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) x")
+@query("SELECT round(avg(m), 4) AS mean, round(stddev_pop(m), 4) AS std, round(min(m), 4) AS least, round(max(m), 4) AS most, round(max(m) - min(m), 4) AS spread, round((avg(m) - 10) / stddev_pop(m), 3) AS delta_sigma, CASE WHEN abs((avg(m) - 10) / stddev_pop(m)) <= 2 THEN 'noise' ELSE 'changed' END AS verdict FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) x")
 def a20_stability(v):
     runs = v("events").groupBy("event_type").agg(F.avg("value").alias("m"))
-    return _rounded(S.stability(runs, "m", 10.0).select("mean", "std", "least", "most", "spread"), mean=4, std=4, least=4, most=4, spread=4)
+    return _rounded(S.stability(runs, "m", 10.0), mean=4, std=4, least=4, most=4, spread=4, delta_sigma=3)
 
 
 @query("SELECT p_partkey AS answer_id, cast(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS cited, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS grounded, round(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END / CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END, 4) AS faithfulness FROM part")
@@ -206,9 +206,9 @@ def p9_node_ids(v):
     return x.select("node_id", a.alias("bizno"), b.alias("code"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[,;/|·ㆍ()\\[\\]{}]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[,;/|·ㆍ()\\[\\]{}]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents")
 def p10_normalised_text(v):
-    return v("documents").where("lang = 'en'").select("doc_id", T.normalise_query(F.substring("text", 1, 200)).alias("clean"))
+    return v("documents").select("doc_id", T.normalise_query(F.col("text")).alias("clean"))
 
 
 @query("SELECT code, concat(name, ' | ', category, CASE WHEN heading LIKE '%1' THEN '' ELSE ' | ' || heading END) AS text FROM v_catalog")
@@ -222,16 +222,21 @@ def p14_sentence_gate(v):
     return v("conversations").select("conv_id", "turn", T.looks_like_sentence(F.col("text"), ["the", "der"]).alias("sentence"))
 
 
-@query("SELECT query_id, CASE WHEN contains(query, 'ring') AND NOT contains(query, 'jewel') THEN query || ' jewel' ELSE query END AS expanded FROM v_query")
+_ALIASES = "SELECT DISTINCT p_name AS alias, 'x' || substr(p_type, 1, 2) AS official FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT substr(p_type, 1, 2)) = 1) UNION ALL SELECT DISTINCT p_type, 'y' || substr(p_type, 1, 2) FROM part"
+
+
+@query(f"""SELECT q.query_id, string_agg(w, ' ' ORDER BY p) AS expanded FROM (SELECT query_id, w, min(p) AS p FROM (SELECT query_id, unnest(string_split(full_text, ' ')) AS w, generate_subscripts(string_split(full_text, ' '), 1) AS p FROM
+  (SELECT q.query_id, q.query || coalesce(' ' || string_agg(a.official, ' ' ORDER BY a.alias, a.official), '') AS full_text FROM v_query q LEFT JOIN ({_ALIASES}) a ON contains(q.query, a.alias) AND NOT contains(q.query, a.official) GROUP BY q.query_id, q.query) x) y WHERE w <> '' GROUP BY query_id, w) q GROUP BY q.query_id""")
 def p17_query_expansion(v):
-    words = v("part").sparkSession.createDataFrame([("ring", "jewel"), ("zzz", "none")], "alias string, official string")  # a fixed word list
-    return T.expand_queries(v("v_query"), words)
+    part = v("part").select("p_name", "p_type", F.substring("p_type", 1, 2).alias("kind"))
+    names = part.groupBy("p_name").agg(F.countDistinct("kind").alias("n"), F.min("kind").alias("kind")).where("n = 1").select(F.col("p_name").alias("alias"), F.concat(F.lit("x"), "kind").alias("official"))
+    return T.expand_queries(v("v_query"), names.unionByName(part.select(F.col("p_type").alias("alias"), F.concat(F.lit("y"), "kind").alias("official")).distinct()))
 
 
-@query("SELECT conv_id, turn, length(trim(text)) AS n FROM conversations WHERE length(trim(text)) > 0")
+@query("SELECT conv_id, turn, trim(text) AS answer FROM conversations")
 def p21_stripped_responses(v):
     wrapped = F.concat(F.lit("<think>why\nnot</think> "), F.trim("text"))
-    return v("conversations").where("length(trim(text)) > 0").select("conv_id", "turn", F.length(T.strip_reasoning(wrapped)).cast("bigint").alias("n"))
+    return v("conversations").select("conv_id", "turn", T.strip_reasoning(wrapped).alias("answer"))
 
 
 @query("SELECT event_type, CASE WHEN upper(event_type) IN ('CLICK', 'ERROR') THEN upper(event_type) ELSE 'FIT' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2")
@@ -239,10 +244,21 @@ def p22_valid_verdicts(v):
     return v("events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", T.valid_choice(F.col("event_type"), ["CLICK", "ERROR"], "FIT").alias("verdict"), "n")
 
 
-@query("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 4) AS length FROM (SELECT vec_id, [x / sqrt(list_dot_product(embedding[1:16]::DOUBLE[], embedding[1:16]::DOUBLE[])) for x in embedding[1:16]::DOUBLE[]] AS v FROM embeddings) y")
+@query("SELECT vec_id, round(v[1], 5) AS first, round(v[16], 5) AS last, round(list_sum(v), 4) AS total, round(sqrt(list_dot_product(v, v)), 4) AS length FROM (SELECT vec_id, [x / sqrt(list_dot_product(embedding[1:16]::DOUBLE[], embedding[1:16]::DOUBLE[])) for x in embedding[1:16]::DOUBLE[]] AS v FROM embeddings) y")
 def p25_unit_vectors(v):
     u = v("embeddings").select("vec_id", T.unit_vector(F.col("embedding"), 16).alias("u"))
-    return u.select("vec_id", F.round(F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("length"))
+    return u.select("vec_id", F.round(F.get("u", 0), 5).alias("first"), F.round(F.get("u", 15), 5).alias("last"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("length"))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN event_type END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events")
+def w6_forward_fill_of_a_sheet(v):
+    e = v("events").select("event_id", F.when(F.expr("event_id % 7 = 0"), F.col("event_type")).alias("section"))
+    return T.forward_fill(e, ["section"], "event_id")
+
+
+@query("SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events) x WHERE k = least(floor(0.95 * n), n - 1)")
+def a19_latency_p95_overall(v):
+    return S.nearest_rank(v("events"), "value", 0.95)
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events")
@@ -273,10 +289,10 @@ def a15_catalog_checks(v):
     return v("v_catalog").agg(F.count("*").alias("n"), F.count_if(F.col("name").rlike("ring")).alias("rings"), F.count_if(F.col("heading").isNull()).alias("bare"))
 
 
-@query("SELECT count(*) AS n, count(p) AS covered FROM (SELECT DISTINCT substr(code, 1, 4) AS q FROM v_product_mix) a LEFT JOIN (SELECT DISTINCT substr(code, 1, 4) AS p FROM v_product_mix WHERE direction = 'EXP' AND company < 3) b ON b.p = a.q")
+@query("SELECT count(*) AS n, count(p) AS covered FROM (SELECT DISTINCT substr(code, 1, 4) AS q FROM v_product_mix) a LEFT JOIN (SELECT DISTINCT substr(code, 1, 4) AS p FROM v_product_mix WHERE direction = 'EXP') b ON b.p = a.q")
 def j12_prefix_coverage(v):
     m = v("v_product_mix")
-    have = m.where("direction = 'EXP' AND company < 3").select(F.substring("code", 1, 4).alias("q"), F.lit(1).alias("p")).distinct()
+    have = m.where("direction = 'EXP'").select(F.substring("code", 1, 4).alias("q"), F.lit(1).alias("p")).distinct()
     return m.select(F.substring("code", 1, 4).alias("q")).distinct().join(have, "q", "left").agg(F.count("*").alias("n"), F.count("p").alias("covered"))
 
 

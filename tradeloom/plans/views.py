@@ -19,8 +19,11 @@ VIEWS = {
     "v_pair": "SELECT src, dst, round(sum(sly_amt), 2) AS amount FROM v_company_edge GROUP BY src, dst",
     "v_block_edge": """SELECT src, dst, amount FROM v_pair
       WHERE floor(src / 4) = floor(dst / 4) OR (src < dst AND src % 4 = 3 AND dst - src <= 12)""",
-    "v_dag_edge": "SELECT src, dst, amount FROM v_pair WHERE src < dst AND dst - src <= 9",
+    "v_dag_edge": "SELECT src, dst, amount FROM v_pair WHERE src < dst",
     "v_block_rate": """SELECT src, dst, round(0.8 * amount / sum(amount) OVER (PARTITION BY src), 9) AS rate FROM v_block_edge WHERE src <> dst""",
+    "v_pair_rate": "SELECT src, dst, round(0.8 * amount / sum(amount) OVER (PARTITION BY src), 9) AS rate FROM v_pair",
+    "v_buy_rate": "SELECT dst AS src, src AS dst, round(0.8 * amount / sum(amount) OVER (PARTITION BY dst), 9) AS rate FROM v_pair",
+    "v_order_edge": "SELECT o_orderkey AS src, -1 - o_custkey AS dst FROM orders",
     "v_dag_rate": "SELECT src, dst, round(0.9 * amount / sum(amount) OVER (PARTITION BY src), 9) AS rate FROM v_dag_edge",
     "v_nation_edge": """SELECT s.s_nationkey AS src, c.c_nationkey AS dst, year(l.l_shipdate) AS trade_year, round(sum(l.l_extendedprice), 2) AS amount
       FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN customer c ON c.c_custkey = o.o_custkey
@@ -48,7 +51,7 @@ VIEWS = {
     "v_query": "SELECT cast(p_partkey AS string) AS query_id, concat(p_name, ' ', p_type) AS query, lpad(cast(p_partkey AS string), 10, '0') AS target, CASE WHEN p_size > 25 THEN 'T1' ELSE 'T2' END AS template FROM part WHERE p_partkey % 50 = 0",
     "v_impact": """SELECT e.dst AS firm, 'run1' AS run_id, e.trade_year AS scenario_seq, round(sum(e.sly_amt) * 0.01, 2) AS rev_demand, round(sum(e.sly_amt) * 0.002, 2) AS rev_supply,
       round(sum(e.sly_amt) * 0.005, 2) AS cost_total, round(sum(e.sly_amt) * 0.003, 2) AS cost_direct, CASE WHEN e.dst % 9 = 0 THEN true ELSE false END AS capped
-      FROM v_company_edge e WHERE e.dst % 2 = 0 GROUP BY e.dst, e.trade_year""",
+      FROM v_company_edge e GROUP BY e.dst, e.trade_year""",
 }
 
 

@@ -40,6 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new folder in the shared one."""
+    return f"{shared_folder(spark)}/tradeloom-{uuid.uuid4().hex}"
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -47,7 +58,7 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     and a result used twice is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tradeloom-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
