@@ -29,3 +29,21 @@ def test_windows_are_judged_one_by_one(spark):
     ]
     got = {(r.doc_id, r.item_id) for r in decontaminate.tainted(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
     assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)} <= got and not {i for d, i in got if d == 6}
+
+
+def test_common_windows_are_evidence_for_no_item(spark):
+    start = "please read the following question with care and then write down the answer in full on the sheet of paper "
+    parts = [" ".join(f"w{k}x{j}" for j in range(14)) for k in range(40)]
+    items = [(k, start + p) for k, p in enumerate(parts)] + [(100, start + parts[3])]
+    docs = [(k, start + " ".join(f"other{k}y{j}" for j in range(14))) for k in range(30)]
+    docs += [(50, "so then: " + start + parts[7] + " and more"), (51, "some text before " + parts[3] + " and after it"), (52, start)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.tainted(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(50, 7), (51, 3), (51, 100)}
+
+
+def test_items_of_one_form_dont_hide_each_other(spark):
+    ask = "a trader has {} crates of fine apples and sells {} crates of them on market day so how many crates are left"
+    items = [(k, ask.format(100 + k, 10 + k)) for k in range(30)]
+    docs = [(1, "note " + ask.format(105, 15) + " end"), (2, "note " + ask.format(900, 800) + " end")]
+    got = {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.tainted(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (1, 5, True) in got and {d for d, _, _ in got} == {1, 2} and {i for d, i, same in got if same} == {5}

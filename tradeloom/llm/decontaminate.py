@@ -6,6 +6,13 @@ number become typed placeholders. Windows of ``WIDTH`` such tokens with enough
 literal ones are hashed and joined with those of the benchmark; an item's other
 windows are hashed with their own values and so are met word for word only.
 
+A window that very many items hold (a preamble, a form of question) is evidence
+for none of them. Items whose whole templates are equal are of one form. A
+template that over ``COMMON`` forms hold is hashed with its values instead;
+values that over ``COMMON`` forms hold are left out, also of the number of the
+item's windows. Only items that would keep no window keep them all. Items of one
+text are sought once.
+
 Where a text and an item meet at one alignment, a window counts if its values
 are the item's own or if none of its slots clashes. A number or unit clashes if
 its value of the item stands for several of the text and the other way round;
@@ -20,8 +27,9 @@ literals are that share of the item's with enough. An item of fewer tokens than
 a window is one window of its own length.
 
 Windows of documents first pass a filter, sized by their number, made from the benchmark's
-hashes, then the exact hash join, so neither table is broadcast. Null and empty
-texts and items have no windows. Rows that repeat a document id count as one
+hashes, then the exact hash join, so neither table is broadcast; as a hash is
+held by few forms, a document meets few. Null and empty texts and items have no
+windows. Rows that repeat a document id count as one
 document; extra columns are ignored.
 """
 
@@ -31,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeloom.llm import ngram_join, sketches
@@ -42,6 +50,7 @@ WIDTH = 8
 MIN_LITERALS = 4
 MIN_SHARE = 0.3
 MIN_WINDOWS = 10
+COMMON = 8
 #: Unit words that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -100,9 +109,9 @@ _EXACT = np.uint64(0xA5A5A5A5A5A5A5A5)
 def _windows(rows: DataFrame, widths: list[int], bits=None) -> DataFrame:
     """The windows of each text of ``rows(id, text)``; with ``bits`` those that pass the filter, without it a benchmark's.
 
-    A benchmark item has windows of the full width, or one of its own length,
-    each by its template or, short of literals, by its values (``exact``). A
-    text has both for each window.
+    A benchmark item has windows of the full width, or one of its own length;
+    each gives its values (``exact``) and, unless it is short of literals, its
+    template, of which :func:`_telling` chooses. A text has both for each window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +131,7 @@ def _windows(rows: DataFrame, widths: list[int], bits=None) -> DataFrame:
                     literal = width - (slots[width : width + n] - slots[:n]) >= min(MIN_LITERALS, width)
                     for exact in (False, True):
                         hashes = K.mix(K.windows(values, width) ^ _EXACT) if exact else K.windows(frame, width)
-                        keep = inside.copy() if exact and bits is not None else inside & (literal != exact)
+                        keep = inside.copy() if exact else inside & literal
                         if bits is not None:
                             keep[keep] = sketches.in_bit_set(bits.value, hashes[keep], 8 * len(bits.value))
                         at, row = np.flatnonzero(keep), rows_of[keep]
@@ -143,6 +152,29 @@ def _windows(rows: DataFrame, widths: list[int], bits=None) -> DataFrame:
     return rows.mapInArrow(run, _WINDOW_SQL)
 
 
+def _forms(items: DataFrame) -> DataFrame:
+    """``(id, form)``: a hash of each item's whole template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame, _, _, first = templates(batch.column("text"))
+            forms = np.array([K.whole(frame[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(forms.view(np.int64))], names=["id", "form"])
+
+    return items.mapInArrow(run, "id long, form long")
+
+
+def _telling(windows: DataFrame, forms: DataFrame) -> DataFrame:
+    """One row for each window of an item that tells its form from others: by its template, else by its values, else none."""
+    held = windows.join(forms, "id").groupBy("hash", "exact").agg(F.countDistinct("form").alias("forms"))
+    rows = durable(windows.join(held, ["hash", "exact"]).withColumn("telling", F.col("forms") <= COMMON))
+    one = Window.partitionBy("id", "pos")
+    by_template = F.max(~F.col("exact") & F.col("telling")).over(one)
+    chosen = rows.withColumn("by_template", by_template).where(F.col("exact") != F.col("by_template"))
+    some = F.max("telling").over(Window.partitionBy("id"))
+    return chosen.withColumn("some", some).where("telling OR NOT some").drop("forms", "telling", "by_template", "some")
+
+
 def _short_widths(items: DataFrame) -> list[int]:
     """Token counts of the items that are shorter than a window; at most ``WIDTH - 1`` numbers."""
 
@@ -163,10 +195,13 @@ def tainted(
     ``n_slots`` counts the item's slots met; ``same_values`` says that all have the item's own values.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
+    every = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"), F.sha2(F.col(item_text).cast("binary"), 256).alias("digest")).where("text IS NOT NULL")
+    first = durable(every.groupBy("digest").agg(F.min(F.coalesce("item_id", F.lit(0))).alias("id"), F.min("text").alias("text")))
+    items = first.select("id", "text")
+    same_text = every.select("item_id", "digest").join(first.select("digest", "id"), "digest").select("id", "item_id").distinct()
     texts = K.small_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     widths = [WIDTH, *_short_widths(items)]
-    wanted = durable(_windows(items, widths))
+    wanted = durable(_telling(_windows(items, widths), _forms(items)))
     of_template = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
     totals = wanted.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("n_windows"), of_template("pos").alias("windows"))
     bits = spark.sparkContext.broadcast(sketches.bit_set(wanted, "hash", sketches.bits_for(wanted.count())))
@@ -196,6 +231,7 @@ def tainted(
     best = met.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("n_matched", "share", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("same", F.lit(1)).alias("same"))).alias("b")
     )
+    best = best.withColumnRenamed("item_id", "id").join(same_text, "id")
     return best.select(
         F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.n_matched", "b.n_windows", F.round("b.share", 4).alias("coverage"),
         "b.n_slots", (F.col("b.same") == 1).alias("same_values"),
