@@ -53,8 +53,10 @@ from tradeloom.session import discard, durable, read
 SHORT_HITS = 2
 #: Cells of the count sketch.
 SKETCH_CELLS = 1 << 19
-#: The parities of a set: whether it has an odd number of n-grams in each of 256 bins, as four longs.
-_PARITY = ["parity0", "parity1", "parity2", "parity3"]
+#: The parities of a set: whether it has an odd number of n-grams in each of 1024 bins, as sixteen longs.
+_PARITY = [f"parity{k}" for k in range(16)]
+#: One list in so many is searched first.
+FIRST_LISTS = 4
 #: Classes that a task remembers having sent.
 _HELD_CLASSES = 1 << 15
 _SHIFT = np.uint64(64 - 19)
@@ -81,7 +83,7 @@ def _class_of(grams: np.ndarray) -> int:
 
 
 def _parities(grams: np.ndarray) -> np.ndarray:
-    bins = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=64 * len(_PARITY))
+    bins = np.bincount((grams >> np.uint64(54)).astype(np.int64), minlength=64 * len(_PARITY))
     return np.packbits((bins & 1).astype(bool), bitorder="little").view(np.int64)
 
 
@@ -270,6 +272,24 @@ def _parity_room(percent: int, x: str, y: str) -> Column:
     return differ <= n + m - 2 * least
 
 
+def _met(lists: DataFrame, label: DataFrame, classes: DataFrame, tried: DataFrame, percent: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Entries of lists with several components, and the pairs ``(a, b)`` of different ones that may link and aren't in ``tried``.
+
+    Of the ``whole`` lists these are all such pairs; a part of the lists gives
+    those that it shows to be likely.
+    """
+    marked = lists.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
+    open_lists = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+    marked = durable(marked.join(open_lists, "gram", "left_semi").join(classes.select("cls", *_PARITY), "cls"))
+    x, y = marked.alias("x"), marked.alias("y")
+    asked = F.least(_hits(percent, "x.n"), _hits(percent, "y.n"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _room(percent, "x.n", "x.pos", "y.n", "y.pos", asked) & _parity_room(percent, "x", "y"))
+    across = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("hits"), *[F.min(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "pos")])
+    enough = F.least(_hits(percent, "x_n"), _hits(percent, "y_n")) if whole else F.lit(1)
+    across = across.where(F.col("hits") >= enough).where(_room(percent, "x_n", "x_pos", "y_n", "y_pos"))
+    return marked, durable(across.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+
+
 def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)`` for each row of ``documents``.
 
@@ -291,31 +311,29 @@ def linked_documents(documents: DataFrame, width: int = 4, percent: int = 85, id
 
     to_leader = shared.where("cls <> leader.cls").where(_room(percent, "n", "pos", "leader.n", "leader.pos")).select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
     tried = durable(to_leader)
-    links, sets_used = _links(tried, classes, texts, width, percent)
+    first, sets_used = _links(tried, classes, texts, width, percent)
+    links = first
     label = durable(connected_components(links, "a", "b"))
 
-    marked = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
-    open_lists = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    marked = durable(marked.join(open_lists, "gram", "left_semi").join(classes.select("cls", *_PARITY), "cls"))
-    x, y = marked.alias("x"), marked.alias("y")
-    asked = F.least(_hits(percent, "x.n"), _hits(percent, "y.n"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _room(percent, "x.n", "x.pos", "y.n", "y.pos", asked) & _parity_room(percent, "x", "y"))
-    across = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("hits"), *[F.min(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "pos")])
-    across = across.where(F.col("hits") >= F.least(_hits(percent, "x_n"), _hits(percent, "y_n"))).where(_room(percent, "x_n", "x_pos", "y_n", "y_pos"))
-    across = durable(across.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    more, more_sets = _links(across, classes, texts, width, percent)
+    # what links in every fourth list shares a component and is not met again in the search of all lists
+    made = [tried, label]
+    for lists_of, whole in ((shared.where(F.pmod("gram", F.lit(FIRST_LISTS)) == 0), False), (shared, True)):
+        marked, across = _met(lists_of, label, classes, tried, percent, whole)
+        more, more_sets = _links(across, classes, texts, width, percent)
+        links, tried = links.unionByName(more), tried.unionByName(across)
+        label = durable(connected_components(links, "a", "b"))
+        made += [marked, across, more, *more_sets, label]
 
     named = durable(docs.select("id", "cls", "n").join(classes.select("cls", F.col("id").alias("class_id")), "cls", "left"))
     # the component of a class, then the smallest document id of the component
-    groups = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "cls")
-    groups = durable(groups.join(classes.select("cls", "id"), "cls"))
+    groups = durable(label.withColumnRenamed("node", "cls").join(classes.select("cls", "id"), "cls"))
     lowest = groups.groupBy("component").agg(F.min("id").alias("component_id"))
     groups_named = groups.join(lowest, "component").select("cls", "component_id")
     out = named.join(groups_named, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "class_id", "id").alias("component_id")
     )
     out = durable(out)
-    for used in (scanned, classes, shared, *sets_used, tried, links, label, marked, across, *more_sets, more, named, groups):
+    for used in (scanned, classes, shared, first, *sets_used, *made, named, groups):
         discard(used)
     return out
 
