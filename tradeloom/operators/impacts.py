@@ -55,20 +55,42 @@ def sales_base(firms: DataFrame, columns: list[str]) -> DataFrame:
     return firms.select("firm", F.lit(0.0).alias("base"))
 
 
+#: Shocks that a join may broadcast.
+MOST_SHOCKS = 10_000
+
+
+def exports_hit(shocks: DataFrame, exports: DataFrame) -> DataFrame:
+    """``(shock_id, firm, exported)``: exports ``(firm, hs6, nation, amount)`` that a shock's ``target_codes`` and ``target_nations`` name.
+
+    Null codes, and null or no nations, mean all. Targets are exploded, so each
+    kind of shock meets the exports by an equi-join of its own; a shock on all
+    takes the firms' totals.
+    """
+    named = shocks.select("shock_id", _C("target_codes").alias("codes"), F.when(F.size("target_nations") > 0, _C("target_nations")).alias("nations"))
+    by_code, by_nation = _C("codes").isNotNull(), _C("nations").isNotNull()
+    one = lambda df, c, name: df.withColumn(name, F.explode(F.array_distinct(c))).drop(c)
+    both = one(one(named.where(by_code & by_nation), "codes", "hs6"), "nations", "nation")
+    code, nation = one(named.where(by_code & ~by_nation).drop("nations"), "codes", "hs6"), one(named.where(~by_code & by_nation).drop("codes"), "nations", "nation")
+    met = [exports.join(t, keys).select("shock_id", "firm", "amount") for t, keys in ((both, ["hs6", "nation"]), (code, "hs6"), (nation, "nation"))]
+    return met[0].unionByName(met[1]).unionByName(met[2]).groupBy("shock_id", "firm").agg(F.sum("amount").alias("exported"))
+
+
 def first_round(shocks: DataFrame, firms: DataFrame, exports: DataFrame, sales_columns: list[str]) -> DataFrame:
     """``(shock_id, firm, delta_revenue, delta_cost)`` for every shock and firm.
 
-    Tariffs and growth act on exports ``(firm, hs6, nation, amount)`` filtered
-    by the shock's ``target_codes`` and ``target_nations`` (null: all), the
+    Tariffs and growth act on the exports that :func:`exports_hit` names, the
     others on sales; supply kinds cost the firm's purchases.
     """
-    rated = F.broadcast(shock_rates(shocks).select("shock_id", "input_type", "revenue_rate", "cost_rate", "target_codes", "target_nations"))  # a scenario's few shocks
+    rated = durable(shock_rates(shocks).select("shock_id", "input_type", "revenue_rate", "cost_rate", "target_codes", "target_nations"))
     base = sales_base(firms, sales_columns).join(firms.select("firm", F.coalesce("purchases", F.lit(0.0)).alias("bought")), "firm")
-    pairs = base.join(rated, F.lit(True))
-    hit = (F.col("target_codes").isNull() | F.array_contains("target_codes", _C("hs6"))) & (F.col("target_nations").isNull() | F.array_contains("target_nations", _C("nation")))
-    sold = exports.join(rated.where(_kind("TARIFF", "GDP")), hit).groupBy("shock_id", "firm").agg(F.sum("amount").alias("exported"))
-    both = pairs.join(sold, ["shock_id", "firm"], "left")
-    revenue = F.when(_kind("TARIFF", "GDP"), F.coalesce("exported", F.lit(0.0))).otherwise(_C("base"))
+    base = base.join(exports.groupBy("firm").agg(F.sum("amount").alias("all_exports")), "firm", "left")
+    small = rated.count() <= MOST_SHOCKS
+    pairs = base.join(F.broadcast(rated) if small else rated, F.lit(True))  # a row for each firm and shock, as the result has
+    trade = _kind("TARIFF", "GDP")
+    both = pairs.join(exports_hit(rated.where(trade), exports), ["shock_id", "firm"], "left")
+    on_all = _C("target_codes").isNull() & (F.coalesce(F.size("target_nations"), F.lit(0)) <= 0)
+    exported = F.coalesce(F.when(on_all, _C("all_exports")).otherwise(_C("exported")), F.lit(0.0))
+    revenue = F.when(trade, exported).otherwise(_C("base"))
     cost = F.when(_kind(*SUPPLY), _C("bought")).otherwise(0.0)
     return both.select("shock_id", "firm", (revenue * _C("revenue_rate")).alias("delta_revenue"), (cost * _C("cost_rate")).alias("delta_cost"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeloom.operators import vectors
 from tradeloom.operators.ordered import order_statistics
 
 #: Weights of the token labels.
@@ -59,14 +60,9 @@ def trigram_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, colum
     return top(both.select("query_id", "code", F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("score")), pool)
 
 
-def vector_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50) -> DataFrame:
-    """Cosine similarity; ``queries(query_id, vec)`` is a stated batch, broadcast to the catalog ``(code, vec)``."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("q", "c", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    q = queries.select("query_id", F.col("vec").alias("q"), norm(F.col("vec")).alias("nq"))
-    c = catalog.select("code", F.col("vec").alias("c"), norm(F.col("vec")).alias("nc"))
-    scored = c.join(F.broadcast(q), F.lit(True)).select("query_id", "code", F.round(dot / F.nullif(F.col("nq") * F.col("nc"), F.lit(0.0)), 6).alias("score"))
-    return top(scored.where("score IS NOT NULL"), pool)
+def vector_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """Cosine similarity of ``queries(query_id, vec)`` and ``catalog(code, vec)``: exactly, or with ``lists`` through an index of so many (:mod:`vectors`)."""
+    return vectors.exact(queries, catalog, pool) if lists is None else vectors.by_lists(queries, catalog, pool, lists, probes)
 
 
 def autocomplete(typed: DataFrame, firms: DataFrame, limit: int = 10) -> DataFrame:
@@ -84,7 +80,7 @@ def fuse(signals: list[DataFrame], limit: int = 10, k: int = 60) -> DataFrame:
     return top(rows.groupBy("query_id", "code").agg(F.round(F.sum("part"), 8).alias("score")), limit)
 
 
-def search(queries: DataFrame, catalog: DataFrame, index: DataFrame, limit: int = 10, pool: int = 50, k: int = 60, as_of: str | None = None, prefix: str | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, catalog: DataFrame, index: DataFrame, limit: int = 10, pool: int = 50, k: int = 60, as_of: str | None = None, prefix: str | None = None, vector_tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Fused hits of a catalog ``(code, name, valid_to)``; filters apply before the pools are cut."""
     if as_of is not None:
         catalog = catalog.where(F.col("valid_to") >= F.lit(as_of).cast("date"))
@@ -93,8 +89,8 @@ def search(queries: DataFrame, catalog: DataFrame, index: DataFrame, limit: int
     if as_of is not None or prefix is not None:
         index = index.join(catalog.select("code"), "code", "left_semi")
     signals = [trigram_signal(queries, catalog, pool), token_signal(queries, index, pool)]
-    if vectors is not None:
-        signals.append(vector_signal(vectors[0], vectors[1].join(catalog.select("code"), "code", "left_semi"), pool))
+    if vector_tables is not None:
+        signals.append(vector_signal(vector_tables[0], vector_tables[1].join(catalog.select("code"), "code", "left_semi"), pool))
     return fuse(signals, limit, k)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions import text as T
 from tradeloom.operators import search as S
+from tradeloom.operators import vectors
 from tradeloom.plans.edge_queries import _rounded
 from tradeloom.plans.views import view, with_views
 from tradeloom.session import read
@@ -73,6 +74,15 @@ def r1_vector_signal(v):
     return S.vector_signal(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "code"), 10)
 
 
+@query("SELECT count(*) AS queries, true AS good FROM embeddings WHERE vec_id % 50 = 0")
+def r1_index_recall(v):
+    """The index of lists against the exact neighbours, over the whole table: recall is 0.9 at least."""
+    e = v("embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q, c = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "code")
+    share = vectors.recall(S.vector_signal(q, c, 10, lists=16), S.vector_signal(q, c, 10))
+    return q.agg(F.count("*").alias("queries")).join(share, F.lit(True)).select("queries", (F.col("recall") >= 0.9).alias("good"))
+
+
 @query(_FUSED)
 def r4_fused_search(v):
     return _hits(v)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions.text import blank_to_null, forward_fill, product_code, require, section_name, split_valid, to_date, to_number
 from tradeloom.operators.edges import upsert
+from tradeloom.sources import versions
 
 
 def read_csv(spark: SparkSession, path: str, numbers: list[str] = (), rename: dict[str, str] | None = None, required: list[str] = (), delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -94,16 +95,10 @@ def trade_tables(trade: DataFrame) -> dict[str, DataFrame]:
 
 
 def upsert_table(updates: DataFrame, path: str, keys: list[str]) -> None:
-    """Upsert into a Parquet table by key: the new table is written beside the old one and then put in its place."""
+    """Upsert into a plain Parquet table by key; for large tables see :func:`versions.upsert_versioned`, which rewrites touched buckets only."""
     spark = updates.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = updates.limit(0)
-    upsert(old, updates, keys).write.mode("overwrite").parquet(path + ".next")
-    spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
+    old = spark.read.parquet(path) if versions.recover(spark, path) else updates.limit(0)
+    versions.replace(upsert(old, updates, keys), path)
 
 
 def load_masters(masters: dict[str, DataFrame], folder: str) -> dict[str, int]:

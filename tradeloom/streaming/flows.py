@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tradeloom.operators.edges import yearly_edges
+from tradeloom.sources import versions
 
 
 def latest_low_confidence(rows: DataFrame, low: float) -> DataFrame:
@@ -15,20 +16,8 @@ def latest_low_confidence(rows: DataFrame, low: float) -> DataFrame:
     return last.select("query", "l.ts", "l.event_id")
 
 
-def _replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then put it in its place, as the new rows come from the old ones."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".next")
-    spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
-
-
 def _read(spark, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path) if versions.recover(spark, path) else spark.createDataFrame([], schema)
 
 
 def weak_search_queue(log: DataFrame, table: str, checkpoint: str, low: float = 0.025) -> StreamingQuery:
@@ -38,7 +27,7 @@ def weak_search_queue(log: DataFrame, table: str, checkpoint: str, low: float =
         new = latest_low_confidence(batch, low)
         old = _read(batch.sparkSession, table, new.schema)
         both = old.unionByName(new).groupBy("query").agg(F.max(F.struct("ts", "event_id")).alias("l"))
-        _replace_table(both.select("query", "l.ts", "l.event_id"), table)
+        versions.replace(both.select("query", "l.ts", "l.event_id"), table)
 
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -60,6 +49,28 @@ def filing_edges(filings: DataFrame, raw: str, edges: str, checkpoint: str) -> S
         fresh = yearly_edges(every.join(keys, ["supplier", "counterparty", "year"], "left_semi"), "REPLACE")
         touched = keys.select(F.col("supplier").alias("src"), F.col("counterparty").alias("dst"), F.col("year").alias("trade_year"))
         old = _read(spark, edges, fresh.schema).join(touched, ["src", "dst", "trade_year"], "left_anti")
-        _replace_table(old.unionByName(fresh), edges)
+        versions.replace(old.unionByName(fresh), edges)
+
+    return filings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def filing_tables(filings: DataFrame, raw: str, edges: str, checkpoint: str, buckets: int = versions.BUCKETS) -> StreamingQuery:
+    """As :func:`filing_edges`, in versioned tables: a batch reads and rewrites only the key buckets that its filings touch.
+
+    A batch that runs again drops the rows it stored under its number before.
+    Both tables are read by :func:`versions.read_versioned`.
+    """
+    keys, pair = ["supplier", "counterparty", "year"], ["src", "dst", "trade_year"]
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("batch", F.lit(number).cast("long"))
+        kind = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        touched = batch.select(*keys).distinct()
+        versions.change(raw, touched, keys, lambda old: old.where(F.col("batch") != number).unionByName(new), kind(new), buckets)
+        mine = versions.read_touched(spark, raw, touched).join(touched, keys, "left_semi")
+        fresh = yearly_edges(mine.drop("batch"), "REPLACE")
+        gone = touched.select(F.col("supplier").alias("src"), F.col("counterparty").alias("dst"), F.col("year").alias("trade_year"))
+        versions.change(edges, gone, pair, lambda old: old.join(gone, pair, "left_anti").unionByName(fresh), kind(fresh), buckets)
 
     return filings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
