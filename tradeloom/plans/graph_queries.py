@@ -366,8 +366,18 @@ def _trade(v) -> DataFrame:
     return v("v_company_edge").select("src", "dst", F.col("trade_year").alias("year"), F.col("sly_amt").alias("amount"), cate.alias("target_cate"))
 
 
-@query(f"""SELECT i, j, round(CASE WHEN t > 1 THEN w / t ELSE w END, 6) AS w FROM (SELECT i, j, w, sum(w) OVER (PARTITION BY j) AS t FROM (SELECT e.src AS i, e.dst AS j, sum(e.sly_amt) / min(f.b) AS w FROM v_company_edge e
-  JOIN (SELECT company, {_DENOM} AS b FROM v_firms) f ON f.company = e.dst WHERE e.trade_year = 1998 AND (e.src + e.dst) % 7 <> 0 AND f.b > 0 GROUP BY e.src, e.dst) x) y""")
+_COEFFICIENTS = f"""SELECT i, j, CASE WHEN t > 1 THEN w / t ELSE w END AS w FROM (SELECT i, j, w, sum(w) OVER (PARTITION BY j) AS t FROM (SELECT e.src AS i, e.dst AS j, sum(e.sly_amt) / min(f.b) AS w FROM v_company_edge e
+  JOIN (SELECT company, {_DENOM} AS b FROM v_firms) f ON f.company = e.dst WHERE e.trade_year = 1998 AND (e.src + e.dst) % 7 <> 0 AND f.b > 0 GROUP BY e.src, e.dst) x) y"""
+
+
+def _matrix_terms(name: str, matrix: str, start: str, rounds: int, turned: bool = False) -> list[str]:
+    """The parts of a query for ``sum of M^k b``, with ``matrix(i, j, w)`` or its transpose and ``start(node, value)``."""
+    to, of = ("j", "i") if turned else ("i", "j")
+    parts = [f"{name}0 AS MATERIALIZED ({start})"]
+    return parts + [f"{name}{k} AS MATERIALIZED (SELECT m.{to} AS node, sum(m.w * t.value) AS value FROM {matrix} m JOIN {name}{k - 1} t ON t.node = m.{of} GROUP BY m.{to})" for k in range(1, rounds + 1)]
+
+
+@query(f"SELECT i, j, round(w, 6) AS w FROM ({_COEFFICIENTS}) z")
 def g17_coefficient_table(v):
     return _rounded(I.coefficients(_trade(v), _firms(v), 1998, ["sales_fin", "sales_est", "sales_ml"]), w=6)
 
@@ -509,19 +519,30 @@ def p31_severity(v):
     return i.join(F.broadcast(most), F.lit(True)).select("firm", I.severity(F.col("revenue_sum"), F.col("most"), F.col("firm").isin(0, 2)).alias("severity"))
 
 
-@query()
+_SPLIT = ["m AS MATERIALIZED (SELECT i, j, 0.5::DOUBLE * w AS w FROM (" + _COEFFICIENTS + ") z)", *_matrix_terms("c", "m", "SELECT company AS node, 100.0::DOUBLE AS value FROM v_company", 45), *_matrix_terms("r", "m", "SELECT company AS node, 50.0::DOUBLE AS value FROM v_company", 45, True)]
+
+
+@query(f"""WITH {', '.join(_SPLIT)} SELECT c.node AS firm, 100.0::DOUBLE AS cost_initial, round(c.value - 100, 4) AS cost_propagation, round(c.value, 4) AS cost_total, 50.0::DOUBLE AS revenue_initial, round(r.value - 50, 4) AS revenue_propagation, round(r.value, 4) AS revenue_total
+  FROM ({_sum_of_terms('c', 45)}) c JOIN ({_sum_of_terms('r', 45)}) r ON r.node = c.node""")
 def g19_supply_split(v):
     m = I.coefficients(_trade(v), _firms(v), 1998, ["sales_fin", "sales_est", "sales_ml"]).withColumn("w", F.col("w") * 0.5)
     cost = _firms(v).select("firm", F.lit(100.0).alias("value"))
     return _rounded(I.supply_split(m, cost, cost.withColumn("value", F.lit(50.0))), **{f"{a}_{b}": 4 for a in ("cost", "revenue") for b in ("initial", "propagation", "total")})
 
 
-@query()
+_CHAIN = ["m AS MATERIALIZED (" + _COEFFICIENTS + ")", "f AS MATERIALIZED (SELECT company, coalesce(sales_fin, 0)::DOUBLE AS b, company % 10 AS score FROM v_firms)", *_matrix_terms("t", "m", "SELECT company AS node, -0.1::DOUBLE * b AS value FROM f", 30)]
+_CHAIN_VALUE = "CASE WHEN abs(x.value) > abs(0.2 * f.b) THEN sign(x.value) * abs(0.2 * f.b) ELSE x.value END"
+
+
+@query(f"""WITH {', '.join(_CHAIN)} SELECT firm, round(i, 2) + 0.0::DOUBLE AS revenue_initial, round(y - i, 2) + 0.0::DOUBLE AS revenue_propagation, round(y, 2) + 0.0::DOUBLE AS revenue_sum, 0.0::DOUBLE AS cost_initial, 0.0::DOUBLE AS cost_propagation, 0.0::DOUBLE AS cost_sum,
+  round(i, 2) + 0.0::DOUBLE AS profit_initial, round(y - i, 2) + 0.0::DOUBLE AS profit_propagation, round(y, 2) + 0.0::DOUBLE AS profit_sum, round(coalesce(abs(y) / nullif(b, 0) * score / 10, 0), 6) AS tis, capped
+  FROM (SELECT f.company AS firm, f.b, f.score, -0.1::DOUBLE * f.b AS i, {_CHAIN_VALUE} AS y, abs(x.value) > abs(0.2 * f.b) AS capped FROM f JOIN ({_sum_of_terms('t', 30)}) x ON x.node = f.company) z""")
 def g26_impact_chain(v):
     exports = v("v_country_mix").where("direction = 'EXP'").select(F.col("company").alias("firm"), F.col("hs").alias("hs6"), F.col("country").alias("nation"), "amount")
     shocks = _shocks(v)
     shocks = shocks.withColumns({c: F.col(c).cast("double") for c, t in shocks.dtypes if t.startswith("decimal")})
-    return _rounded(I.run_chain(3, shocks, _firms(v), exports, _trade(v), 1998, ["sales_fin", "sales_est", "sales_ml"], 0.2), tis=6, **_TWO)
+    out = _rounded(I.run_chain(3, shocks, _firms(v), exports, _trade(v), 1998, ["sales_fin", "sales_est", "sales_ml"], 0.2), tis=6, **_TWO)
+    return out.withColumns({c: F.col(c) + 0.0 for c in I.MEASURES})
 
 
 _TOP = f"(SELECT firm FROM (SELECT firm, abs(revenue_sum) AS s FROM ({_TABLE}) x WHERE scenario_seq = 1999 ORDER BY s DESC, firm LIMIT 12) y UNION SELECT 0)"
