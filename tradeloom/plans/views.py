@@ -49,8 +49,9 @@ VIEWS = {
     "v_catalog": """SELECT lpad(cast(p_partkey AS string), 10, '0') AS code, p_name AS name, p_type AS category, p_brand AS heading, concat(p_name, ' ', p_type, ' size ', cast(p_size AS string)) AS detail,
       CASE WHEN p_partkey % 7 = 0 THEN DATE '2019-12-31' ELSE DATE '2999-12-31' END AS valid_to FROM part""",
     "v_query": "SELECT cast(p_partkey AS string) AS query_id, concat(p_name, ' ', p_type) AS query, lpad(cast(p_partkey AS string), 10, '0') AS target, CASE WHEN p_size > 25 THEN 'T1' ELSE 'T2' END AS template FROM part WHERE p_partkey % 50 = 0",
-    "v_impact": """SELECT e.dst AS firm, 'run1' AS run_id, e.trade_year AS scenario_seq, round(sum(e.sly_amt) * 0.01, 2) AS rev_demand, round(sum(e.sly_amt) * 0.002, 2) AS rev_supply,
-      round(sum(e.sly_amt) * 0.005, 2) AS cost_total, round(sum(e.sly_amt) * 0.003, 2) AS cost_direct, CASE WHEN e.dst % 9 = 0 THEN true ELSE false END AS capped
+    # the small sums keep amounts off the halves, which the two engines round differently
+    "v_impact": """SELECT e.dst AS firm, 'run1' AS run_id, e.trade_year AS scenario_seq, round(sum(e.sly_amt) * 0.01 + 0.00003, 2) AS rev_demand, round(sum(e.sly_amt) * 0.002 + 0.000003, 2) AS rev_supply,
+      round(sum(e.sly_amt) * 0.005 + 0.000003, 2) AS cost_total, round(sum(e.sly_amt) * 0.003 + 0.000003, 2) AS cost_direct, CASE WHEN e.dst % 9 = 0 THEN true ELSE false END AS capped
       FROM v_company_edge e GROUP BY e.dst, e.trade_year""",
 }
 
