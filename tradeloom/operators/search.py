@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.operators import vectors
 from tradeloom.operators.ordered import order_statistics
+from tradeloom.operators.similar import filled, nearest_sets
 
 #: Weights of the token labels.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -52,12 +53,17 @@ def token_signal(queries: DataFrame, index: DataFrame, pool: int = 50) -> DataFr
     return top(q.join(index, "token").groupBy("query_id", "code").agg(F.round(F.sum("weight"), 6).alias("score")), pool)
 
 
-def trigram_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, column: str = "name") -> DataFrame:
-    """Jaccard similarity of the trigram sets, from shared counts; pairs without a shared trigram are 0 and don't appear."""
-    q = queries.select("query_id", trigrams(F.col("query")).alias("g")).select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    c = catalog.select("code", trigrams(F.col(column)).alias("g")).select("code", F.size("g").alias("nc"), F.explode("g").alias("gram"))
-    both = q.join(c, "gram").groupBy("query_id", "code", "nq", "nc").agg(F.count("*").alias("n"))
-    return top(both.select("query_id", "code", F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("score")), pool)
+def trigram_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, column: str = "name", fill: bool = False) -> DataFrame:
+    """Jaccard similarity of the trigram sets, the ``pool`` best of each query (:mod:`similar`).
+
+    Pairs without a shared trigram don't appear, unless ``fill`` fills each
+    pool with the smallest other codes at 0, as an order by distance with a
+    limit does. Of rows that share an id or code one counts.
+    """
+    q = queries.select("query_id", "query").dropDuplicates(["query_id"])
+    c = catalog.select("code", column).dropDuplicates(["code"])
+    hits = nearest_sets(q.select("query_id", trigrams(F.col("query")).alias("els")), c.select("code", trigrams(F.col(column)).alias("els")), pool)
+    return filled(hits, q, c, pool) if fill else hits
 
 
 def vector_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, lists: int | None = None, probes: int | None = None) -> DataFrame:
