@@ -106,12 +106,12 @@ def merge_synonyms(builtin: DataFrame, learned: DataFrame) -> DataFrame:
     return builtin.join(new, "alias", "full").select("alias", F.coalesce("new", "official").alias("official"))
 
 
-def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+def expand_queries(queries: DataFrame, synonyms: DataFrame, match: str = "query") -> DataFrame:
     """``(query_id, expanded)``: official terms whose alias occurs in the query, if not there already, in order of alias; tokens once.
 
-    Aliases are found by their rarest characters (:func:`matching.contained`), so dictionaries of any size will do.
+    ``match`` names the column that aliases are sought in, if another. Aliases are found by their rarest characters (:func:`matching.contained`), so dictionaries of any size will do.
     """
-    found = contained(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), synonyms.select(F.col("alias").alias("term")))
+    found = contained(queries.select(F.col("query_id").alias("id"), F.col(match).alias("text")), synonyms.select(F.col("alias").alias("term")))
     x = queries.join(found.select(F.col("id").alias("query_id"), F.col("term").alias("alias")).join(synonyms, "alias"), "query_id", "left")
     x = x.withColumn("pair", F.when(F.col("alias").isNotNull() & ~F.contains("query", "official"), F.struct("alias", "official")))
     terms = F.transform(F.array_sort(F.collect_list("pair")), lambda s: s.official)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tradeloom.operators.edges import yearly_edges
+from tradeloom.operators.learning import enqueue
 from tradeloom.sources import versions
 
 
@@ -32,6 +33,11 @@ def weak_search_queue(log: DataFrame, table: str, checkpoint: str, low: float =
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def weak_search_table(log: DataFrame, queue: str, checkpoint: str, low: float = 0.025) -> StreamingQuery:
+    """As :func:`weak_search_queue`, in the versioned queue that :func:`learning.learn` works off; a batch rewrites only the buckets of its queries."""
+    return log.writeStream.foreachBatch(lambda batch, _: enqueue(batch, queue, low)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def filing_edges(filings: DataFrame, raw: str, edges: str, checkpoint: str) -> StreamingQuery:
     """Append streamed filings to ``raw`` and keep yearly REPLACE edges in ``edges``.
 
