@@ -9,7 +9,9 @@ its identifier. One that it doesn't know is tried again without its first line
 of one line needs no full stop around it. The sequence of identifiers of a text
 is matched against licence rules in their order: a rule that finds its sequence
 of identifiers takes it out, so that a later and more general rule can't count
-it again. Unknown sentences don't break a sequence.
+it again. Unknown sentences don't break a sequence. Whoever holds the rights in
+the third BSD clause is a placeholder. Reserved rights on a copyright line, or on
+the line below it, say nothing; elsewhere they count only where no licence does.
 
 Everything happens within a row; nothing is shuffled or joined. Null and empty
 texts have no sentences. Repeated rows are scanned each; extra columns stay in
@@ -32,6 +34,12 @@ _NOISE, _EDGE, _LONE = "[^a-z0-9.+-]+", "^[ .+-]+|[ .+-]+$", " [.+-]+ "
 #: Where a sentence ends, and a "v." that ends none.
 _END = "\\n[^A-Za-z0-9\\n]*\\n|[.!?;:]+[ \\t\\r\\n]+"
 _VERSION = "([ ,(])[vV]\\.[ \\t\\r\\n]+([0-9])"
+#: A company's short form inside a sentence, and reserved rights that belong to a copyright line.
+_COMPANY = "\\b(Inc|Ltd|Corp|Co|LLC|GmbH)\\.([ \\t\\r\\n]+[a-z])"
+_RIGHTS = "([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][^\\n]{0,200}?)\\.?[ \\t]*\\r?\\n?[^A-Za-z0-9\\n]{0,20}([Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])"
+#: The holder in a normalised sentence, and what stands for it in the table.
+_HOLDER = "^neither the name of .{1,120}? nor the names of .{1,80}? may be used "
+_ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors may be used "
 
 
 def key_of(sentence: str) -> str:
@@ -71,6 +79,21 @@ NOTICES = [
     ("BsdSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("BsdBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BsdEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdEndorse", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdEndorse", "The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("LgplRedistribute", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("LgplRedistribute", "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation"),
+    ("Later21", "either version 2.1 of the License, or (at your option) any later version."),
+    ("Apache2Text", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache2Text", "Apache License Version 2.0, January 2004"),
+    ("Lgpl3", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("Gfdl13", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Gfdl12", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("Artistic1", 'The "Artistic License"'),
+    ("Mpl11", "Mozilla Public License Version 1.1"),
+    ("Mpl11", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License")'),
+    ("Mpl2", "Mozilla Public License Version 2.0"),
+    ("Cc0", "CC0 1.0 Universal"),
     ("BsdAsIs", 'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.'),
     ("IscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("IscGrant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -135,6 +158,7 @@ RULES = [
     ("Apache-2.0", ["Apache2", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["Apache2", "ApacheComply", "ApacheCopy"]),
     ("Apache-2.0", ["Apache2"]),
+    ("Apache-2.0", ["Apache2Text"]),
     ("GPL-3.0-or-later", ["Gpl3Later"]),
     ("GPL-2.0-or-later", ["Gpl2Later"]),
     ("AGPL-3.0-or-later", ["Agpl3Later"]),
@@ -143,12 +167,18 @@ RULES = [
     ("GPL-3.0-or-later", ["GplRedistribute", "Later3", "GplHope"]),
     ("GPL-3.0-or-later", ["GplRedistribute", "Later3"]),
     ("GPL-2.0-or-later", ["GplRedistribute", "Later2"]),
+    ("LGPL-3.0-or-later", ["LgplRedistribute", "Later3"]),
+    ("LGPL-2.1-or-later", ["LgplRedistribute", "Later21"]),
+    ("LGPL-2.0-or-later", ["LgplRedistribute", "Later2"]),
     ("GPL-3.0-only", ["Gpl3"]),
     ("GPL-2.0-only", ["Gpl2"]),
     ("LGPL-3.0-only", ["Lgpl3"]),
     ("AGPL-3.0-only", ["Agpl3"]),
     ("MPL-2.0", ["Mpl2"]),
+    ("MPL-1.1", ["Mpl11"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdEndorse"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdBinary", "BsdEndorse"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdEndorse"]),
     ("BSD-3-Clause", ["Bsd3"]),
@@ -164,9 +194,15 @@ RULES = [
     ("Unlicense", ["Unlicense"]),
     ("Public-Domain", ["PublicDomain"]),
     ("GPL", ["GplRedistribute"]),
+    ("LGPL", ["LgplRedistribute"]),
+    ("GFDL-1.3-only", ["Gfdl13"]),
+    ("GFDL-1.2-only", ["Gfdl12"]),
+    ("Artistic-1.0", ["Artistic1"]),
     ("MIT", ["MitTitle"]),
     ("Proprietary", ["AllRights"]),
 ]
+#: Named only where no other licence is.
+_LAST = "Proprietary"
 
 
 def _sequence(names: list[str]) -> str:
@@ -175,7 +211,7 @@ def _sequence(names: list[str]) -> str:
 
 def normalised(sentence: Column) -> Column:
     spaced = F.regexp_replace(F.lower(sentence), _NOISE, " ")
-    return F.regexp_replace(F.regexp_replace(spaced, _LONE, " "), _EDGE, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(spaced, _LONE, " "), _EDGE, ""), _HOLDER, _ANY_HOLDER)
 
 
 def scan(documents: DataFrame, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -191,7 +227,10 @@ def scan(documents: DataFrame, text_col: str = "text", sentences: dict[str, str]
         each = F.nullif(F.array_join(F.filter(F.transform(lines, known), lambda x: x.isNotNull()), ","), F.lit(""))
         return F.coalesce(known(s), F.when(F.contains(s, F.lit("\n")), F.coalesce(after, each)))
 
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _VERSION, "$1v.$2"), _END)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for pattern, put in ((_VERSION, "$1v.$2"), (_COMPANY, "$1$2"), (_RIGHTS, "$1 $2")):
+        text = F.regexp_replace(text, pattern, put)
+    cut = F.split(text, _END)
     kept = [c for c in documents.columns if c not in ("n_sentences", "sentence_ids", "licences")]
     parts = documents.select(*[F.col(f"`{c}`") for c in kept], F.filter(cut, lambda s: s.rlike("[^ \\t\\r\\n]")).alias("n_sentences"))
     found = F.array_join(F.filter(F.transform("n_sentences", identifiers), lambda s: s.isNotNull()), ",")
@@ -203,6 +242,7 @@ def scan(documents: DataFrame, text_col: str = "text", sentences: dict[str, str]
         hits.append(F.when(F.contains(left, pattern), F.lit(name)))
         left = F.replace(left, pattern, F.lit("|"))
     licences = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    licences = F.when(F.size(licences) > 1, F.array_remove(licences, _LAST)).otherwise(licences)
     some, nothing = F.col("sentence_ids") != "", F.array().cast("array<string>")
     return parts.withColumns({"licences": F.when(some, licences).otherwise(nothing), "sentence_ids": F.when(some, F.split("sentence_ids", ",")).otherwise(nothing)})
 
@@ -223,13 +263,16 @@ def sql() -> str:
         cases.append(f"CASE WHEN contains({left}, '{_sequence(ids)}') THEN '{name}' END AS r{k}")
         left = f"replace({left}, '{_sequence(ids)}', '|')"
     order = ", ".join(f"({k}, r{k})" for k in range(len(RULES)))
-    key = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '{_NOISE}', ' ', 'g'), '{_LONE}', ' ', 'g'), '{_EDGE}', '', 'g')"
+    key = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '{_NOISE}', ' ', 'g'), '{_LONE}', ' ', 'g'), '{_EDGE}', '', 'g'), '{_HOLDER}', '{_ANY_HOLDER}')"
+    text = "coalesce(text, '')"
+    for pattern, put in ((_VERSION, "\\1v.\\2"), (_COMPANY, "\\1\\2"), (_RIGHTS, "\\1 \\2")):
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
     return f"""
 WITH known(sentence, id) AS (VALUES {quoted}),
 parts AS (
   SELECT * FROM (
     SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS part
-    FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '{_VERSION}', '\\1v.\\2', 'g'), '{_END}') AS s FROM documents)
+    FROM (SELECT doc_id, string_split_regex({text}, '{_END}') AS s FROM documents)
   ) WHERE regexp_matches(part, '[^ \\t\\r\\n]')
 ),
 whole AS (SELECT p.*, k.id FROM parts p LEFT JOIN known k ON k.sentence = {key('p.part')}),
@@ -254,7 +297,7 @@ hits AS (SELECT doc_id, {', '.join(cases)} FROM ids WHERE n_known > 0),
 named AS (
   SELECT doc_id, name, min(k) AS k FROM (SELECT h.doc_id, v.k, v.name FROM hits h, LATERAL (VALUES {order}) v(k, name)) WHERE name IS NOT NULL GROUP BY doc_id, name
 ),
-joined AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS licences FROM named GROUP BY doc_id)
+joined AS (SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY k) FILTER (WHERE name <> '{_LAST}'), '{_LAST}') AS licences FROM named GROUP BY doc_id)
 SELECT d.doc_id, coalesce(i.n_sentences, 0) AS n_sentences, coalesce(i.n_known, 0) AS n_known, coalesce(i.sentence_ids, '') AS sentence_ids, coalesce(j.licences, '') AS licences
 FROM documents d LEFT JOIN ids i USING (doc_id) LEFT JOIN joined j USING (doc_id)
 """
