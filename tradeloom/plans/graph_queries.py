@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.operators import assembly
 from tradeloom.operators import edges as E
 from tradeloom.operators import exposure as X
 from tradeloom.operators import graph as G
@@ -236,6 +237,21 @@ def g18_row_normalise(v):
 _ASSEMBLED = """SELECT e.src, e.dst, round(0.85 * e.amount / f.t, 6) AS rate FROM (SELECT src, dst, amount FROM v_pair WHERE amount > 0) e JOIN (SELECT src, sum(amount) AS t FROM v_pair WHERE amount > 0 GROUP BY src) f ON f.src = e.src"""
 
 
+@query(
+    """WITH p AS (SELECT src, dst, sum(sly_amt) AS amount FROM v_company_edge WHERE trade_year = 1995 GROUP BY src, dst),
+    s AS (SELECT company FROM v_company WHERE company % 50 = 0),
+    n AS (SELECT company AS node FROM s UNION SELECT dst FROM p WHERE src IN (SELECT company FROM s) UNION SELECT src FROM p WHERE dst IN (SELECT company FROM s)),
+    e AS (SELECT * FROM p WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n) AND amount > 0)
+    SELECT concat(cast(e.src AS string), '|', coalesce(a.hq, '')) AS src, concat(cast(e.dst AS string), '|', coalesce(b.hq, '')) AS dst, round(0.85 * e.amount / sum(e.amount) OVER (PARTITION BY e.src), 6) AS rate
+    FROM e LEFT JOIN v_company a ON a.company = e.src LEFT JOIN v_company b ON b.company = e.dst"""
+)
+def g4_propagation_input(v):
+    """One call from seed firms to rates by node id, of one year."""
+    firms = v("v_company").select(F.col("company").alias("bizno"), F.col("hq").alias("code"), "name")
+    seeds = v("v_company").where("company % 50 = 0").select(F.col("company").alias("bizno"), F.lit(1.0).alias("value"))
+    return _rounded(assembly.propagation_input(v("v_company_edge"), seeds, firms, depth=1, year=1995).edges, rate=6)
+
+
 @query(_ASSEMBLED)
 def g4_assembled_rates(v):
     nodes = v("v_company").select(F.col("company").alias("node"))

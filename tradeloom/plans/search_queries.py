@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.functions import text as T
+from tradeloom.operators import learning, vectors
 from tradeloom.operators import search as S
-from tradeloom.operators import vectors
 from tradeloom.plans.edge_queries import _rounded
 from tradeloom.plans.views import view, with_views
 from tradeloom.session import read
@@ -65,6 +65,12 @@ def r2_trigram_signal(v):
     return S.trigram_signal(v("v_query"), v("v_catalog"), 20)
 
 
+@query(_cut(f"SELECT q.query_id, c.code, coalesce(t.score, 0) AS score FROM v_query q CROSS JOIN v_catalog c LEFT JOIN ({_TRGSIG}) t ON t.query_id = q.query_id AND t.code = c.code", 800))
+def r2_filled_pool(v):
+    """Pools larger than what shares a trigram: the rest of each is filled."""
+    return S.trigram_signal(v("v_query"), v("v_catalog"), 800, fill=True)
+
+
 _DOT = "list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
@@ -130,6 +136,15 @@ def a19_latency_p95(v):
     return S.nearest_rank(v("events"), "value", 0.95, "event_type")
 
 
+@query(f"SELECT query_id, code, score, rk FROM (SELECT h.*, q.template, max(h.score) OVER (PARTITION BY h.query_id) AS best FROM ({_FUSED}) h JOIN v_query q ON q.query_id = h.query_id) x WHERE template = 'T2' OR best >= 0.033")
+def r10_search_flow(v):
+    """The flow without synonyms; queries of one template that find little are judged unrelated."""
+    catalog, index = v("v_catalog"), _index(v)
+    verdicts = v("v_query").where("template = 'T1'").select("query_id", F.lit("unrelated").alias("verdict"), F.lit(None).cast("string").alias("keywords"))
+    none = v("v_catalog").limit(0).select(F.col("name").alias("alias"), F.col("name").alias("official"))
+    return learning.search_flow(v("v_query").select("query_id", "query"), lambda q, n: S.search(q, catalog, index, n), none, verdicts, 10, 0.033)[0]
+
+
 @query(f"SELECT query_id, string_agg(concat(cast(rk AS string), '. ', h.code, ' ', c.name), chr(10) ORDER BY rk) AS context FROM ({_FUSED}) h JOIN v_catalog c ON c.code = h.code GROUP BY query_id")
 def r11_context_text(v):
     return S.context_text(_hits(v), v("v_catalog"))
