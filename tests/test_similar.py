@@ -56,3 +56,34 @@ def test_pools_are_filled_by_the_smallest_codes(spark):
     assert got[("q", "3")] == (True, 1) and got[("q", "4")] == (True, 2) and got[("q", "1")] == (False, 3)
     assert sorted(rk for (q, _), (_, rk) in got.items() if q == "n") == [1, 2, 3]
     assert S.trigram_signal(queries.limit(0), catalog, 3, fill=True).count() == 0 and S.trigram_signal(queries, catalog.limit(0), 3, fill=True).count() == 0
+
+
+def test_copies_meet_as_one_and_rank_as_all_pairs(spark, monkeypatch):
+    """Copies of texts: both signals equal a plain version, and only distinct texts are met."""
+    names = ["red bolt", "red ring", "old bolt", "hot red gear"]
+    catalog = spark.createDataFrame([(f"c{k:03d}", names[k % 4], "iron" if k % 8 < 4 else "steel bolt") for k in range(96)], "code string, name string, kind string").repartition(3)
+    queries = spark.createDataFrame([(f"q{k}", ["red bolt", "hot gear steel", None][k % 3]) for k in range(12)], "query_id string, query string")
+    met = []
+    seen = similar.nearest_sets
+
+    def spy(q, c, pool):
+        met.append((q.count(), c.count()))
+        return seen(q, c, pool)
+
+    monkeypatch.setattr(S, "nearest_sets", spy)
+    sets = lambda rows, f: {k: f(v) for k, v in rows}
+    grams = lambda t: {("  " + (t or "") + " ")[i : i + 3] for i in range(len(t or "") + 1)}
+    texts, rows = [(r.query_id, r.query) for r in queries.collect()], catalog.collect()
+    weights = {r.code: dict.fromkeys(r.kind.split(), 0.4) | dict.fromkeys(r.name.split(), 1.0) for r in rows}
+    index = S.weighted_tokens(catalog, {"kind": "B", "name": "A"})
+    assert {(r.code, r.token): r.weight for r in index.collect()} == {(c, t): w for c, x in weights.items() for t, w in x.items()}
+    for pool in (1, 30, 60):
+        got = {(r.query_id, r.code): (r.score, r.rk) for r in S.trigram_signal(queries, catalog, pool).collect()}
+        assert got == plain(sets(texts, grams), sets([(r.code, r.name) for r in rows], grams), pool)
+        got = {(r.query_id, r.code): (r.score, r.rk) for r in S.token_signal(queries, index, pool).collect()}
+        want = {}
+        for q, t in texts:
+            scores = sorted((-round(sum(w for x, w in weights[c].items() if x in (t or "").split()), 6), c) for c in weights)
+            want |= {(q, c): (-s, k + 1) for k, (s, c) in enumerate([x for x in scores if x[0] < 0][:pool])}
+        assert got == want
+    assert met == [(3, 4)] * 3

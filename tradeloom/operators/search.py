@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tradeloom.operators import vectors
 from tradeloom.operators.ordered import order_statistics
-from tradeloom.operators.similar import filled, nearest_sets
+from tradeloom.operators.similar import by_member, classes, filled, nearest_sets
+from tradeloom.session import durable
 
 #: Weights of the token labels.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -33,12 +34,20 @@ def trigrams(text: Column) -> Column:
 
 
 def weighted_tokens(catalog: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """``(code, token, weight)``: distinct tokens of each labelled column, the best label of a token holding."""
-    parts = [catalog.select("code", F.explode(tokens(F.col(c))).alias("token"), F.lit(LABEL_WEIGHTS[label]).alias("weight")) for c, label in labels.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("code", "token").agg(F.max("weight").alias("weight"))
+    """``(code, token, weight)``: distinct tokens of each labelled column, the best label of a token holding.
+
+    A row gives each token once. The rows of a code meet before they are cut
+    into tokens, so no task sums up the tokens of a whole file.
+    """
+    entries, before = [], None
+    for c, label in sorted(labels.items(), key=lambda x: -LABEL_WEIGHTS[x[1]]):
+        own = F.coalesce(tokens(F.col(c)), F.array().cast("array<string>"))
+        new = own if before is None else F.array_except(own, before)
+        before = own if before is None else F.concat(before, own)
+        weight = F.lit(LABEL_WEIGHTS[label]).alias("weight")
+        entries.append(F.transform(new, lambda t: F.struct(t.alias("token"), weight)))  # noqa: B023 (called here)
+    rows = catalog.select("code", *labels).repartition("code").select("code", F.explode(F.concat(*entries)).alias("e"))
+    return rows.groupBy("code", "e.token").agg(F.max("e.weight").alias("weight"))
 
 
 def top(scored: DataFrame, pool: int) -> DataFrame:
@@ -47,10 +56,45 @@ def top(scored: DataFrame, pool: int) -> DataFrame:
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= pool)
 
 
+def by_text(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, query)`` with one id for each text, a durable table, and ``(query_id, query)`` of all; of rows that share an id the least text counts."""
+    every = queries.where("query_id IS NOT NULL").groupBy("query_id").agg(F.min("query").alias("query"))
+    return durable(every.groupBy("query").agg(F.min("query_id").alias("query_id")).select("query_id", "query")), every
+
+
+def _for_all(hits: DataFrame, texts: DataFrame, every: DataFrame) -> DataFrame:
+    """The hits of each text for all queries with it."""
+    found = texts.withColumnRenamed("query", "text").join(hits, "query_id").drop("query_id")
+    return every.join(found, every["query"].eqNullSafe(found["text"])).select("query_id", "code", "score", "rk")
+
+
+def _token_hits(texts: DataFrame, index: DataFrame, pool: int) -> DataFrame:
+    """Codes that have the same weighted tokens, of those that queries ask for, are met as one."""
+    q = texts.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
+    entry = F.array_sort(F.collect_list(F.struct("token", "weight")))
+    have = index.where("code IS NOT NULL").join(durable(q.select("token").distinct()), "token", "left_semi").groupBy("code").agg(entry.alias("content"))
+    members, sets = classes(have, pool)
+    rows = sets.select("code", F.explode("content").alias("e")).select("code", "e.token", "e.weight")
+    met = top(q.join(rows, "token").groupBy("query_id", "code").agg(F.round(F.sum("weight"), 6).alias("score")), pool)
+    return durable(by_member(met, members, pool))
+
+
 def token_signal(queries: DataFrame, index: DataFrame, pool: int = 50) -> DataFrame:
-    """Sum of the label weights of the distinct query tokens that a code has."""
-    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    return top(q.join(index, "token").groupBy("query_id", "code").agg(F.round(F.sum("weight"), 6).alias("score")), pool)
+    """Sum of the label weights of the distinct query tokens that a code has.
+
+    Queries of one text are searched once. Null ids and codes don't appear.
+    """
+    texts, every = by_text(queries)
+    return _for_all(_token_hits(texts, index, pool), texts, every)
+
+
+def _trigram_hits(texts: DataFrame, catalog: DataFrame, pool: int, column: str, fill: bool = False) -> DataFrame:
+    """Codes of the same text are met as one."""
+    have = catalog.where("code IS NOT NULL").select("code", F.col(column).alias("content")).repartition("code").groupBy("code").agg(F.min("content").alias("content"))
+    members, sets = classes(have, 2 * pool if fill else pool)  # the smallest codes of all are among these
+    met = nearest_sets(texts.select("query_id", trigrams(F.col("query")).alias("els")), sets.select("code", trigrams(F.col("content")).alias("els")), pool)
+    hits = durable(by_member(met, members, pool))
+    return filled(hits, texts, members, pool) if fill else hits
 
 
 def trigram_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, column: str = "name", fill: bool = False) -> DataFrame:
@@ -58,12 +102,11 @@ def trigram_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, colum
 
     Pairs without a shared trigram don't appear, unless ``fill`` fills each
     pool with the smallest other codes at 0, as an order by distance with a
-    limit does. Of rows that share an id or code one counts.
+    limit does. Of rows that share an id or code the least text counts; queries
+    of one text are searched once.
     """
-    q = queries.select("query_id", "query").dropDuplicates(["query_id"])
-    c = catalog.select("code", column).dropDuplicates(["code"])
-    hits = nearest_sets(q.select("query_id", trigrams(F.col("query")).alias("els")), c.select("code", trigrams(F.col(column)).alias("els")), pool)
-    return filled(hits, q, c, pool) if fill else hits
+    texts, every = by_text(queries)
+    return _for_all(_trigram_hits(texts, catalog, pool, column, fill), texts, every)
 
 
 def vector_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, lists: int | None = None, probes: int | None = None) -> DataFrame:
@@ -94,9 +137,12 @@ def search(queries: DataFrame, catalog: DataFrame, index: DataFrame, limit: int
         catalog = catalog.where(F.col("code").startswith(prefix))
     if as_of is not None or prefix is not None:
         index = index.join(catalog.select("code"), "code", "left_semi")
-    signals = [trigram_signal(queries, catalog, pool), token_signal(queries, index, pool)]
-    if vector_tables is not None:
-        signals.append(vector_signal(vector_tables[0], vector_tables[1].join(catalog.select("code"), "code", "left_semi"), pool))
+    texts, every = by_text(queries)
+    signals = [_trigram_hits(texts, catalog, pool, "name"), _token_hits(texts, index, pool)]
+    if vector_tables is None:
+        return _for_all(durable(fuse(signals, limit, k)), texts, every)
+    signals = [_for_all(s, texts, every) for s in signals]  # queries of one text may have several vectors
+    signals.append(vector_signal(vector_tables[0], vector_tables[1].join(catalog.select("code"), "code", "left_semi"), pool))
     return fuse(signals, limit, k)
 
 

@@ -77,6 +77,35 @@ def nearest_sets(queries: DataFrame, catalog: DataFrame, pool: int) -> DataFrame
     return found
 
 
+def classes(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(code, content)`` of one content as a class that the least code stands for: members and classes.
+
+    Members are ``(code, class, place, n)``, the ``most`` smallest codes of each
+    class with their places from 1 and their number; classes are ``(code,
+    content)``. Codes must be distinct.
+    """
+    w = Window.partitionBy("content").orderBy("code")
+    first = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    every = Window.partitionBy("content")
+    held = durable(first.select("code", F.min("code").over(every).alias("class"), "place", F.count("*").over(every).alias("n"), "content"))
+    return held.drop("content"), held.where("place = 1").select("code", "content")
+
+
+def by_member(hits: DataFrame, members: DataFrame, pool: int) -> DataFrame:
+    """The ``pool`` best codes of each query, ties by code, from the ``pool`` best classes (ties by the least codes).
+
+    A class that stands behind so many has so many codes before its own. Of a
+    class so many of its smallest codes are taken as the better classes leave.
+    """
+    sized = hits.select("query_id", F.col("code").alias("class"), "score").join(members.where("place = 1").select("class", "n"), "class")
+    tied = Window.partitionBy("query_id", "score")
+    until = Window.partitionBy("query_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    left = sized.withColumn("room", pool - (F.sum("n").over(until) - F.sum("n").over(tied))).where("room > 0")
+    pairs = left.drop("n").join(members.drop("n"), "class").where("place <= room")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "code")
+    return pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= pool).select("query_id", "code", "score", "rk")
+
+
 def filled(hits: DataFrame, queries: DataFrame, catalog: DataFrame, pool: int) -> DataFrame:
     """``hits`` where each query has ``pool`` rows: the smallest codes of the catalog that it didn't hit follow with score 0.
 
