@@ -79,8 +79,10 @@ def first_round(shocks: DataFrame, firms: DataFrame, exports: DataFrame, sales_c
     """``(shock_id, firm, delta_revenue, delta_cost)`` for every shock and firm.
 
     Tariffs and growth act on the exports that :func:`exports_hit` names, the
-    others on sales; supply kinds cost the firm's purchases.
+    others on sales; supply kinds cost the firm's purchases. Firms and exports
+    are read several times, so both are made once.
     """
+    firms, exports = durable(firms.select("firm", "purchases", *sales_columns)), durable(exports.select("firm", "hs6", "nation", "amount"))
     rated = durable(shock_rates(shocks).select("shock_id", "input_type", "revenue_rate", "cost_rate", "target_codes", "target_nations"))
     base = sales_base(firms, sales_columns).join(firms.select("firm", F.coalesce("purchases", F.lit(0.0)).alias("bought")), "firm")
     base = base.join(exports.groupBy("firm").agg(F.sum("amount").alias("all_exports")), "firm", "left")
@@ -210,6 +212,7 @@ def severity(value: Column, most: Column, seed: Column) -> Column:
 
 def run_chain(shock_id: int, shocks: DataFrame, firms: DataFrame, exports: DataFrame, edges: DataFrame, year: int, sales_columns: list[str], threshold: float = 1.0) -> DataFrame:
     """First round, coefficients, radius check, split, cap and impact table of one shock, with TIS."""
+    firms = durable(firms)
     change = durable(first_round(shocks.where(_C("shock_id") == shock_id), firms, exports, sales_columns))
     matrix = durable(check_and_normalise(durable(coefficients(edges, firms, year, sales_columns)))[0])
     split = durable(demand_split(matrix, change.select("firm", _C("delta_revenue").alias("value"))))
