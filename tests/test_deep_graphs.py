@@ -145,3 +145,23 @@ def test_batches_of_sources_add_up_and_start_again(spark, tmp_path, monkeypatch)
         G.betweenness(edges, batch=5, progress=folder)
     assert of(G.betweenness(edges, batch=5, progress=folder)) == pytest.approx(whole, abs=1e-12)
     assert len(calls) == 4  # three batches, of which the first was not done again
+
+
+def test_large_components_are_inverted_by_blocks(spark, monkeypatch):
+    """Blocks of bounded size give what the batches of targets give, in a step a block and not a solution a target."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for c, n in enumerate((23, 10, 7)):
+        m = np.where(rng.random((n, n)) < 0.4, rng.normal(size=(n, n)), 0.0)
+        m[np.arange(n), (np.arange(n) + 1) % n] = 0.3
+        m *= 0.9 / np.abs(np.linalg.eigvals(np.abs(m))).max()
+        back = (np.diag(np.linalg.inv(np.eye(n) - 0.8 * m)) - 1) / 0.8
+        rows += [(c, 100 * c + i, 100 * c + int(j), float(m[i, j])) for i in range(n) for j in np.flatnonzero(m[i])]
+        want |= {100 * c + i: back[i] for i in range(n)}
+    arcs = spark.createDataFrame(rows, "component long, src int, dst int, rate double")
+    of = lambda **o: {r.node: r.self for r in blocked.returns(arcs, 0.8, **o).collect()}
+    assert of(direct=0) == pytest.approx(want, rel=1e-9, abs=1e-11)
+    assert of(direct=10, side=5) == pytest.approx(want, rel=1e-9, abs=1e-11)
+    monkeypatch.setattr(blocked, "_solve_batch", None)
+    assert of(side=5) == pytest.approx(want, rel=1e-9, abs=1e-11)
+    assert of() == pytest.approx(want, rel=1e-9, abs=1e-11)
