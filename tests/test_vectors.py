@@ -45,3 +45,28 @@ def test_nothing_is_near_nothing(tables):
     queries, catalog, _ = tables
     assert vectors.exact(queries.limit(0), catalog).count() == 0
     assert vectors.exact(queries, catalog.limit(0)).count() == 0
+
+
+def test_lists_in_pieces_find_what_all_lists_hold(tables, monkeypatch):
+    """With every list probed the pieces give the exact neighbours, and each piece sends no more than the pool of a query."""
+    queries, catalog, want = tables
+    monkeypatch.setattr(vectors, "PIECE", 20)
+    monkeypatch.setattr(vectors, "ASKING", 3)
+    sent = []
+    real = vectors._cut
+    monkeypatch.setattr(vectors, "_cut", lambda scored, pool: (sent.append(scored.groupBy("query_id").count().agg({"count": "max"}).first()[0]), real(scored, pool))[1])
+    got = {(r.query_id, r.code): r.rk for r in vectors.by_lists(queries, catalog, 10, lists=4, probes=4).collect()}
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= 2
+    assert sent[-1] < 900  # not every vector of the lists
+
+
+def test_best_of_batches_keep_ties_by_code():
+    rng = np.random.default_rng(3)
+    sims = np.round(rng.random((7, 400)), 2)
+    sims[:, ::9], sims[4] = np.nan, np.nan
+    best, codes = vectors._Best(7, 10), rng.permutation(400)
+    for a in (0, 6, 150, 155, 400):
+        best.add(sims[:, a : a + {0: 6, 6: 144, 150: 5, 155: 245}.get(a, 0)], codes[a : a + {0: 6, 6: 144, 150: 5, 155: 245}.get(a, 0)])
+    for q in range(7):
+        order = sorted((k for k in range(400) if not np.isnan(sims[q, k])), key=lambda k: (-sims[q, k], codes[k]))[:10]
+        assert list(best.codes[best.at == q]) == [codes[k] for k in order]

@@ -16,35 +16,71 @@ from tradeloom.session import discard, durable
 BLOCK = 1024
 #: Vectors that the lists of an index are fitted on.
 SAMPLE = 20_000
+#: Vectors of a list, and queries that look into it, which meet in one task.
+PIECE = 4096
+ASKING = 2048
+#: Scores have six decimals; what lies below another by more than this doesn't round to it.
+_HALF_STEP = 1e-6
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """The vectors of an array column at length 1; null, empty and zero vectors are rows of nan."""
-    rows = column.to_pylist()
-    dim = max((len(r) for r in rows if r), default=0)
-    out = np.array([r if r and len(r) == dim else [np.nan] * dim for r in rows], np.float64).reshape(len(rows), dim)
+    if not pa.types.is_list(column.type):
+        column = column.cast(pa.list_(pa.float64()))
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    dim = int(sizes.max(initial=0))
+    whole = (sizes == dim) & (dim > 0)
+    values = column.flatten().to_numpy(zero_copy_only=False)[np.repeat(whole, sizes)]
+    out = np.full((len(column), dim), np.nan)
+    out[whole] = values.reshape(-1, dim) if dim else 0
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=np.full_like(out, np.nan), where=norm > 0)
 
 
+def _plain(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column of arrays of one length."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _cut(scored: DataFrame, pool: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "code")
     return scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= pool)
 
 
-def _best(ids: list, sims: np.ndarray, codes: np.ndarray, pool: int, held: dict) -> None:
-    """Keep the ``pool`` best codes of each query in ``held``; ties by code."""
-    for k in np.flatnonzero(~np.isnan(sims).all(1)):
-        fine = np.flatnonzero(~np.isnan(sims[k]))
-        scores, named = np.round(sims[k, fine], 6), codes[fine]
-        if len(fine) > pool:
-            least = np.partition(scores, len(fine) - pool)[len(fine) - pool]
-            keep = scores >= least
-            scores, named = scores[keep], named[keep]
-        old_scores, old_codes = held.get(ids[k], (np.zeros(0), codes[:0]))
-        scores, named = np.concatenate([old_scores, scores]), np.concatenate([old_codes, named])
-        order = np.lexsort((named, -scores))[:pool]
-        held[ids[k]] = scores[order], named[order]
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+class _Best:
+    """The ``pool`` best codes of each of so many queries; ties by code."""
+
+    def __init__(self, queries: int, pool: int):
+        self.pool, self.least = pool, np.full(queries, -np.inf)
+        self.at, self.scores, self.codes = np.zeros(0, np.int64), np.zeros(0), None
+        self.last = np.zeros(queries, np.int64)  # where the last of a full pool stands
+
+    def add(self, sims: np.ndarray, codes: np.ndarray) -> None:
+        """Take in ``sims`` (queries x codes), of which those that are nan don't count."""
+        sims = np.where(np.isnan(sims), -np.inf, sims)
+        floor = self.least - _HALF_STEP
+        new = np.flatnonzero(np.isinf(self.least))
+        if len(new) and sims.shape[1] > self.pool:
+            place = sims.shape[1] - self.pool
+            floor[new] = np.partition(sims[new], place, axis=1)[:, place] - _HALF_STEP
+        at, col = np.nonzero((sims >= floor[:, None]) & (sims > -np.inf))
+        scores, named = np.round(sims[at, col], 6), codes[col]
+        if self.codes is not None:
+            tied = np.flatnonzero(scores <= self.least[at])
+            behind = tied[(scores[tied] < self.least[at[tied]]) | (named[tied] > self.codes[self.last[at[tied]]])]
+            at, scores, named = np.delete(at, behind), np.delete(scores, behind), np.delete(named, behind)
+            at, scores, named = np.concatenate([self.at, at]), np.concatenate([self.scores, scores]), np.concatenate([self.codes, named])
+        order = np.lexsort((named, -scores, at))
+        at, scores, named = at[order], scores[order], named[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = place < self.pool
+        self.at, self.scores, self.codes = at[kept], scores[kept], named[kept]
+        last = np.flatnonzero(place[kept] == self.pool - 1)
+        self.least[self.at[last]], self.last[self.at[last]] = self.scores[last], last
 
 
 def exact(queries: DataFrame, catalog: DataFrame, pool: int = 50, block: int = BLOCK) -> DataFrame:
@@ -56,7 +92,7 @@ def exact(queries: DataFrame, catalog: DataFrame, pool: int = 50, block: int = B
     """
     spark = queries.sparkSession
     asked = durable(queries.select("query_id", "vec").withColumn("_at", F.monotonically_increasing_id()))
-    base = catalog.select("code", "vec")
+    base = durable(catalog.select("code", "vec").repartition(spark.sparkContext.defaultParallelism, "code"))
     kinds = dict(asked.dtypes)["query_id"], dict(base.dtypes)["code"]
     id_type = to_arrow_type(asked.schema["query_id"].dataType)
     found: list[DataFrame] = []
@@ -64,14 +100,13 @@ def exact(queries: DataFrame, catalog: DataFrame, pool: int = 50, block: int = B
         ids, mine = [r.query_id for r in rows], spark.sparkContext.broadcast(_matrix(pa.array([r.vec for r in rows])))
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, mine=mine) -> Iterator[pa.RecordBatch]:
-            held: dict = {}
-            code_type = None
+            best, code_type = _Best(len(ids), pool), None
             for batch in batches:
                 theirs, code_type = _matrix(batch.column("vec")), batch.column("code").type
                 if theirs.shape[1] == mine.value.shape[1]:
-                    _best(ids, mine.value @ theirs.T, np.array(batch.column("code").to_pylist()), pool, held)
-            for q, (scores, codes) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(codes), id_type), pa.array(codes.tolist(), code_type), pa.array(scores)], names=["query_id", "code", "score"])
+                    best.add(mine.value @ theirs.T, np.array(batch.column("code").to_pylist()))
+            if len(best.at):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in best.at], id_type), pa.array(best.codes.tolist(), code_type), pa.array(best.scores)], names=["query_id", "code", "score"])
 
         found.append(base.mapInArrow(run, f"query_id {kinds[0]}, code {kinds[1]}, score double"))
     if not found:
@@ -81,6 +116,7 @@ def exact(queries: DataFrame, catalog: DataFrame, pool: int = 50, block: int = B
     for more in parts[1:]:
         out = out.unionByName(more)
     discard(asked)
+    discard(base)
     return out
 
 
@@ -123,7 +159,7 @@ def _assigned(rows: DataFrame, key: str, centres: np.ndarray, probes: int) -> Da
             fine = np.flatnonzero(~np.isnan(x).any(1))
             near = np.argsort(-(x[fine] @ held.value.T), axis=1, kind="stable")[:, :probes]
             at = np.repeat(fine, near.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(list(x[at]), pa.list_(pa.float64())), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(fine)))], names=[key, "vec", "list", "nth"])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), _lists(x[at]), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(fine)))], names=[key, "vec", "list", "nth"])
 
     return rows.select(key, "vec").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, vec array<double>, list int, nth int")
 
@@ -148,16 +184,34 @@ def by_lists(queries: DataFrame, catalog: DataFrame, pool: int = 50, lists: int
     Only the centres are fitted on a sample; they are ``lists`` vectors, which
     every task gets. Without ``probes`` their number follows from the recall
     ``least``, measured against the exact neighbours of a block of queries.
-    Query and list meet by an equi-join that can be split.
+    A list's vectors and the queries that look into it meet piece by piece; of
+    a piece each query sends its best.
     """
     centres = fit_lists(catalog, lists, sample=sample)
     index = durable(_assigned(catalog, "code", centres, 1))
     probes = probes or _probes_for(index, queries, catalog, pool, centres, least)
     asked = durable(_assigned(queries, "query_id", centres, probes).withColumnRenamed("vec", "q").drop("nth"))
-    dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    out = durable(_cut(asked.join(index.drop("nth"), "list").select("query_id", "code", F.round(dot, 6).alias("score")), pool))
-    discard(index)
-    discard(asked)
+    count = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    parts = durable(count(index, PIECE, "pieces").join(count(asked, ASKING, "turns"), "list"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    theirs = index.drop("nth").join(parts, "list").select("list", one("code", "pieces").alias("piece"), every("turns").alias("turn"), "code", "vec")
+    mine = asked.join(parts, "list").select("list", every("pieces").alias("piece"), one("query_id", "turns").alias("turn"), "query_id", "q")
+    kinds = dict(asked.dtypes)["query_id"], dict(index.dtypes)["code"]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, codes = left.column("query_id").combine_chunks(), right.column("code").combine_chunks()
+        best = _Best(len(ids), pool)
+        if len(ids) and len(codes):
+            best.add(_plain(left.column("q")) @ _plain(right.column("vec")).T, np.array(codes.to_pylist()))
+        named = [] if best.codes is None else best.codes.tolist()
+        return pa.table({"query_id": ids.take(pa.array(best.at)), "code": pa.array(named, codes.type), "score": pa.array(best.scores)})
+
+    keys = "list", "piece", "turn"
+    met = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, f"query_id {kinds[0]}, code {kinds[1]}, score double")
+    out = durable(_cut(met, pool))
+    for used in (index, asked, parts):
+        discard(used)
     return out
 
 
