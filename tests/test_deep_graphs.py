@@ -147,6 +147,42 @@ def test_batches_of_sources_add_up_and_start_again(spark, tmp_path, monkeypatch)
     assert len(calls) == 4  # three batches, of which the first was not done again
 
 
+def plain_betweenness(links):
+    """Brandes' sums from every source, one at a time."""
+    out = {v: [] for v in {x for link in links for x in link}}
+    for a, b in sorted(links):
+        out[a] += [b] if a != b else []
+    total = dict.fromkeys(out, 0.0)
+    for s in out:
+        level, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in out[v]:
+                if w not in level:
+                    level[w], paths[w] = level[v] + 1, 0.0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    paths[w] += paths[v]
+        dep = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            dep[v] = sum(paths[v] / paths[w] * (1 + dep[w]) for w in out[v] if level[w] == level[v] + 1)
+            total[v] += dep[v] if v != s else 0.0
+    return total
+
+
+def test_dense_graphs_go_by_blocks(spark, monkeypatch):
+    """Groups of sources end at different levels; a dense graph makes no pairs of sources and arcs."""
+    monkeypatch.setattr(G.between, "SIDE", 7)
+    monkeypatch.setattr(G.between, "MOST", 3)
+    rng = random.Random(5)
+    links = {(a, b) for a in range(18) for b in rng.sample(range(18), 4)} | {(17, 18), (18, 19), (30, 0), (31, 31)}
+    of = lambda df: {r.node: r.betweenness for r in df.collect()}
+    edges = spark.createDataFrame(sorted(links), "src int, dst int")
+    assert of(G.betweenness(edges, batch=12, dense=True, normalised=False)) == pytest.approx(plain_betweenness(links), abs=1e-12)
+    full = {(a, b) for a in range(22) for b in range(22) if (a * b) % 7 != 1}
+    monkeypatch.setattr(G, "_dependencies", None)
+    assert of(G.betweenness(spark.createDataFrame(sorted(full), "src int, dst int"), normalised=False)) == pytest.approx(plain_betweenness(full), abs=1e-12)
+
+
 def test_large_components_are_inverted_by_blocks(spark, monkeypatch):
     """Blocks of bounded size give what the batches of targets give, in a step a block and not a solution a target."""
     rng = np.random.default_rng(8)
