@@ -87,3 +87,47 @@ def test_copies_meet_as_one_and_rank_as_all_pairs(spark, monkeypatch):
             want |= {(q, c): (-s, k + 1) for k, (s, c) in enumerate([x for x in scores if x[0] < 0][:pool])}
         assert got == want
     assert met == [(3, 4)] * 3
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_many_blocks_give_the_pools_of_all_pairs(spark, monkeypatch, weighted):
+    """Blocks of few sets and pieces of few queries: bounds of the first blocks cut nothing that belongs to a pool, ties included."""
+    monkeypatch.setattr(similar, "SETS", 20)
+    monkeypatch.setattr(similar, "ASKING", 7)
+    r = random.Random(5)
+    draw = lambda n: {f"e{int(40 * r.random() ** 2)}" for _ in range(n)}
+    catalog = {f"c{i:03d}": draw(r.randint(0, 9)) for i in range(300)}
+    queries = {f"q{i}": draw(r.randint(0, 9)) for i in range(20)}
+    weight = lambda c, e: (len(c) + int(c[1:]) % 3 + len(e)) / 10
+    for pool in (1, 5, 200):
+        if weighted:
+            rows = spark.createDataFrame([(c, sorted(v), [weight(c, e) for e in sorted(v)]) for c, v in catalog.items()], "code string, els array<string>, weights array<double>")
+            got = similar.heaviest_sets(table(spark, queries, "query_id"), rows, pool)
+            want = {}
+            for q, a in queries.items():
+                scored = sorted((-round(sum(weight(c, e) for e in a & b), 6), c) for c, b in catalog.items() if a & b)
+                want |= {(q, c): (-s, k + 1) for k, (s, c) in enumerate(scored[:pool])}
+        else:
+            got, want = similar.nearest_sets(table(spark, queries, "query_id"), table(spark, catalog, "code"), pool), plain(queries, catalog, pool)
+        assert {(x.query_id, x.code): (x.score, x.rk) for x in got.collect()} == want
+
+
+def test_names_that_all_share_their_words_make_no_pair_a_row(spark, monkeypatch):
+    """4,000 different names of two words and a number: no plan joins the sets by their elements, and each text finds its own."""
+    names = spark.range(4000).select(F.col("id").alias("k"), F.concat_ws(" ", F.lit("steel bolt"), (F.col("id") + 100000).cast("string")).alias("name"))
+    catalog = names.select(F.col("k").alias("code"), S.trigrams(F.col("name")).alias("els"))
+    queries = names.where("k % 20 = 0").select(F.col("k").alias("query_id"), S.trigrams(F.concat_ws(" ", "name", F.lit("large"))).alias("els"))
+    kind = type(queries)
+    met, seen = [], kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **k: met.append(a) or seen(self, *a, **k))
+    found = similar.nearest_sets(queries, catalog, 5)
+    assert not met
+    assert found.where("query_id = code AND rk = 1").count() == 200
+
+
+def test_tokens_are_summed_in_as_many_pieces_as_the_catalog_asks_for(spark, monkeypatch):
+    """Small rows aren't gathered into few tasks before they are cut into tokens."""
+    monkeypatch.setattr(S, "ROWS", 10)
+    catalog = spark.range(300).select(F.col("id").cast("string").alias("code"), F.lit("red bolt").alias("name"))
+    index = S.weighted_tokens(catalog, {"name": "A"})
+    assert index.rdd.getNumPartitions() == 30 and index.count() == 600

@@ -6,12 +6,14 @@ within a query.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.operators import vectors
 from tradeloom.operators.ordered import order_statistics
-from tradeloom.operators.similar import by_member, classes, filled, nearest_sets
+from tradeloom.operators.similar import by_member, classes, filled, heaviest_sets, nearest_sets
 from tradeloom.session import durable
 
 #: Weights of the token labels.
@@ -21,6 +23,9 @@ LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 LEARN_THRESHOLD = 0.03
 ONE_SIGNAL = 0.0165
 
+#: Rows of a catalog whose tokens one task sums up.
+ROWS = 25_000
+
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case words of letters, marks and digits of any script."""
@@ -37,7 +42,8 @@ def weighted_tokens(catalog: DataFrame, labels: dict[str, str]) -> DataFrame:
     """``(code, token, weight)``: distinct tokens of each labelled column, the best label of a token holding.
 
     A row gives each token once. The rows of a code meet before they are cut
-    into tokens, so no task sums up the tokens of a whole file.
+    into tokens, in partitions of so many rows each, so what a task sums up
+    doesn't grow with the catalog.
     """
     entries, before = [], None
     for c, label in sorted(labels.items(), key=lambda x: -LABEL_WEIGHTS[x[1]]):
@@ -46,7 +52,8 @@ def weighted_tokens(catalog: DataFrame, labels: dict[str, str]) -> DataFrame:
         before = own if before is None else F.concat(before, own)
         weight = F.lit(LABEL_WEIGHTS[label]).alias("weight")
         entries.append(F.transform(new, lambda t: F.struct(t.alias("token"), weight)))  # noqa: B023 (called here)
-    rows = catalog.select("code", *labels).repartition("code").select("code", F.explode(F.concat(*entries)).alias("e"))
+    pieces = max(1, math.ceil(catalog.count() / ROWS))  # a number that is given isn't made less where the rows are small before they are cut
+    rows = catalog.select("code", *labels).repartition(pieces, "code").select("code", F.explode(F.concat(*entries)).alias("e"))
     return rows.groupBy("code", "e.token").agg(F.max("e.weight").alias("weight"))
 
 
@@ -70,12 +77,12 @@ def _for_all(hits: DataFrame, texts: DataFrame, every: DataFrame) -> DataFrame:
 
 def _token_hits(texts: DataFrame, index: DataFrame, pool: int) -> DataFrame:
     """Codes that have the same weighted tokens, of those that queries ask for, are met as one."""
-    q = texts.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
+    q = texts.select("query_id", tokens(F.col("query")).alias("els"))
     entry = F.array_sort(F.collect_list(F.struct("token", "weight")))
-    have = index.where("code IS NOT NULL").join(durable(q.select("token").distinct()), "token", "left_semi").groupBy("code").agg(entry.alias("content"))
+    wanted = durable(q.select(F.explode("els").alias("token")).distinct())
+    have = index.where("code IS NOT NULL").join(wanted, "token", "left_semi").groupBy("code").agg(entry.alias("content"))
     members, sets = classes(have, pool)
-    rows = sets.select("code", F.explode("content").alias("e")).select("code", "e.token", "e.weight")
-    met = top(q.join(rows, "token").groupBy("query_id", "code").agg(F.round(F.sum("weight"), 6).alias("score")), pool)
+    met = heaviest_sets(q, sets.select("code", F.col("content.token").alias("els"), F.col("content.weight").alias("weights")), pool)
     return durable(by_member(met, members, pool))
 
 
