@@ -113,3 +113,12 @@ def test_segments_leave_one_bit_at_most():
 def test_copies_of_one_text_are_one_class(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(BASE).alias("text"))
     assert simhash.near_duplicates(docs).select("component_id", "n_copies").distinct().collect() == [(0, 5000)]
+
+
+def test_exploded_variants_are_never_broadcast(spark):
+    """Spark sizes the 64 variants of a class as one row: many classes are near the limit of a broadcast, their variants far over it."""
+    classes = spark.range(300).select(F.col("id").alias("fp"), F.col("id").alias("component"))
+    rows = simhash.variants(classes, 4)
+    joined = simhash._across(rows, rows, ["variant", "rest"], 4, F.col("p") < F.col("q"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

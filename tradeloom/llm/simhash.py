@@ -121,6 +121,11 @@ def _near(a: str, b: str, distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is sorted and never broadcast: Spark sizes exploded rows as if there were one for each row they come from."""
+    return rows.hint("merge")
+
+
 def _same(keys: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys])
 
@@ -130,7 +135,7 @@ def _across(one: DataFrame, two: DataFrame, keys: list[str], distance: int, *als
     x = one.select(*keys, F.col("fp").alias("p"), F.col("component").alias("of_p")).alias("x")
     y = two.select(*keys, F.col("fp").alias("q"), F.col("component").alias("of_q")).alias("y")
     wanted = [F.col("of_p") != F.col("of_q"), _near("p", "q", distance), *also]
-    return x.join(y, reduce(Column.__and__, wanted, _same(keys))).select("p", "q")
+    return _large(x).join(_large(y), reduce(Column.__and__, wanted, _same(keys))).select("p", "q")
 
 
 def links(classes: DataFrame, distance: int = 4, many: int = MANY) -> tuple[DataFrame, list[DataFrame]]:
@@ -144,22 +149,22 @@ def links(classes: DataFrame, distance: int = 4, many: int = MANY) -> tuple[Data
     sizes = durable(variants(classes.select("fp"), distance).groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"))
     x, y = variants(classes.select("fp"), distance).alias("x"), sizes.alias("y")
     to_end = [(F.col("fp") != F.col(end)) & _near("fp", end, distance) for end in ("low", "high")]
-    met = durable(x.join(y, _same(key) & (to_end[0] | to_end[1])).select("fp", "low", "high").distinct())
+    met = durable(_large(x).join(y, _same(key) & (to_end[0] | to_end[1])).select("fp", "low", "high").distinct())
     first = durable(reduce(DataFrame.unionByName, [met.where(near).select(*pair("fp", end)) for near, end in zip(to_end, ("low", "high"), strict=True)]).distinct())
     label = durable(connected_components(first, "a", "b"))
     named = durable(classes.select("fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")))
 
     crowded = durable(sizes.where(F.col("n") > many).select(*key))
     every, wide = variants(named, distance), not crowded.isEmpty()
-    short = every.join(crowded, key, "left_anti") if wide else every
+    short = _large(every).join(crowded, key, "left_anti") if wide else every
     found = [_across(short, short, key, distance, F.col("p") < F.col("q")).select(*pair("p", "q"))]
     made = [sizes, met, first, label, named, crowded]
     if wide:
         cut = [*key, "cut", "cut_bits"]
-        pieces = durable(_cut_again(every.join(crowded, key), distance))
+        pieces = durable(_cut_again(_large(every).join(crowded, key), distance))
         largest = pieces.groupBy(*cut, "component").agg(F.count("*").alias("n")).groupBy(*cut).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
         largest = durable(largest.where(F.col("all") > F.col("top.n")).select(*cut, F.col("top.component").alias("largest")))
-        live = durable(pieces.join(largest, cut))
+        live = durable(_large(pieces).join(largest, cut))
         found.append(_across(live.where(F.col("component") != F.col("largest")), live, cut, distance).select(*pair("p", "q")))
         made += [pieces, largest, live]
     second = durable(reduce(DataFrame.unionByName, found).distinct())
