@@ -122,9 +122,9 @@ def vector_signal(queries: DataFrame, catalog: DataFrame, pool: int = 50, lists:
 
 
 def autocomplete(typed: DataFrame, firms: DataFrame, limit: int = 10) -> DataFrame:
-    """``(query_id, firm, score, rk)``: firm names by trigram similarity from 0 to 1 to what was typed."""
+    """``(query_id, firm, score, rk)``: firm names by trigram similarity from 0 to 1 to what was typed, the best first."""
     names = firms.select(F.col("firm").alias("code"), "name")
-    return trigram_signal(typed, names, limit).withColumnRenamed("code", "firm")
+    return trigram_signal(typed, names, limit).withColumnRenamed("code", "firm").orderBy("query_id", "rk")
 
 
 def fuse(signals: list[DataFrame], limit: int = 10, k: int = 60) -> DataFrame:
