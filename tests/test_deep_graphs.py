@@ -201,3 +201,26 @@ def test_large_components_are_inverted_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(blocked, "_solve_batch", None)
     assert of(side=5) == pytest.approx(want, rel=1e-9, abs=1e-11)
     assert of() == pytest.approx(want, rel=1e-9, abs=1e-11)
+
+
+def test_large_components_go_by_a_few_hops(spark, monkeypatch):
+    """Targets in groups and a few hops each give what a dense inverse gives, without a solution a target; what stays open is solved as before."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for c, (n, degree) in enumerate(((90, 12), (40, 40))):
+        m = np.zeros((n, n))
+        for i in range(n):
+            m[i, rng.choice(n, degree, replace=False)] = rng.random(degree)
+        m *= 0.8 / m.sum(1, keepdims=True)
+        back = (np.diag(np.linalg.inv(np.eye(n) - 0.5 * m)) - 1) / 0.5
+        rows += [(c, 100 * c + i, 100 * c + int(j), float(m[i, j])) for i in range(n) for j in np.flatnonzero(m[i])]
+        want |= {100 * c + i: back[i] for i in range(n)}
+    of = lambda rows, **o: {r.node: r.self for r in blocked.returns(spark.createDataFrame(rows, "component long, src int, dst int, rate double"), 0.5, direct=0, **o).collect()}
+    monkeypatch.setattr(blocked.walks, "LEAST", 1)
+    monkeypatch.setattr(blocked.walks, "PIECE", 100)
+    monkeypatch.setattr(blocked.walks, "AT_ONCE", 5)
+    with monkeypatch.context() as m:
+        m.setattr(blocked, "_solve_batch", None)
+        assert of(rows) == pytest.approx(want, rel=1e-11, abs=1e-12)
+    ring = [(7, 700 + i, 700 + (i + 1) % 5, 1.9) for i in range(5)]  # decays too slowly for hops
+    assert of(rows[-1600:] + ring) == pytest.approx({k: v for k, v in want.items() if k >= 100} | {700 + i: (1 / (1 - 0.95**5) - 1) / 0.5 for i in range(5)}, rel=1e-9, abs=1e-11)
